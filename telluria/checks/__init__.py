@@ -1,7 +1,7 @@
 """Queries over the driver tables, with their SQL twins."""
 
-from telluria.checks import base, ingest, rows, series, stats
+from telluria.checks import base, ingest, learned, rows, series, stats, streams
 
 QUERIES, SQL = base.QUERIES, base.SQL
 
-__all__ = ["QUERIES", "SQL", "ingest", "rows", "series", "stats"]
+__all__ = ["QUERIES", "SQL", "ingest", "learned", "rows", "series", "stats", "streams"]

@@ -126,7 +126,7 @@ SELECT 'magneto' AS record_type, count(*) AS n FROM lg WHERE m = 0 UNION ALL SEL
 UNION ALL SELECT 'adc', count(*) FROM rec UNION ALL SELECT 'thermo', count(*) FROM tr WHERE m = 6 AND m1 = 7
 UNION ALL SELECT 'events', count(*) FROM ev"""))
 def _(s, d):
-    return logs.parse_telemetry(log_lines(s, d)).counts()
+    return logs.parse_telemetry(log_lines(s, d), store=scratch_path(s, "typed")).counts()
 
 
 SKIP = """CASE WHEN event = 'Heartbeat ok' THEN 'heartbeat' WHEN event = 'Time to launch 30' THEN 'time to launch'
@@ -228,7 +228,7 @@ def _(s, d):
     return csv.detect_format(s, f"{path}/*").groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("read_flight_csv", sql(select="""SELECT round(mission_time_s, 4) AS mission_time_s, sensor_id, bx AS bx_raw, bz AS bz_raw,
+@query("read_flight_csv", sql(select="""SELECT round(mission_time_s, 6) AS mission_time_s, sensor_id, bx AS bx_raw, bz AS bz_raw,
   round(magnitude, 4) AS magnitude_measured FROM readings"""))
 def _(s, d):
     path = scratch_path(s, "flight")
@@ -237,8 +237,8 @@ def _(s, d):
                    F.when(F.col("reading_number") % 3 == 0, F.lit("NaN")).otherwise(F.col("magnitude").cast("string")).alias("Magnitude")
                    ).write.option("header", "true").csv(path)
     out = csv.read_flight_csv(s, path)
-    return rounded(out.select("mission_time_s", "sensor_id", "bx_raw", "bz_raw", "magnitude_measured"), 4,
-                   "mission_time_s", "magnitude_measured")
+    out = out.select("mission_time_s", "sensor_id", "bx_raw", "bz_raw", "magnitude_measured")
+    return rounded(rounded(out, 6, "mission_time_s"), 4, "magnitude_measured")
 
 
 @query("read_raw_readings", sql(select="""SELECT sensor_id, count(*) AS n, round(sum(magnitude), 2) AS magnitude_sum FROM readings GROUP BY sensor_id"""))
@@ -273,10 +273,10 @@ mt AS (SELECT *, mission_time_s + 1.5e6 - boot * 5e5 - 150 AS own FROM bt)"""
 
 
 @query("merge_sessions", sql(BOOTS, select="""SELECT reading_number, (dense_rank() OVER (ORDER BY 'boot_' || boot::BIGINT) - 1)::INT AS boot_id,
-  round(first_value(own) OVER o + u - first_value(u) OVER o, 3) AS mission_time_s FROM mt WINDOW o AS (ORDER BY u, reading_number)"""))
+  round(first_value(own) OVER o + (u - first_value(u) OVER o), 6) AS mission_time_s FROM mt WINDOW o AS (ORDER BY u, reading_number)"""))
 def _(s, d):
     rows, _ = csv.merge_sessions(_boots(s, d), threshold=GAP_POOLED)
-    return rounded(rows.select("reading_number", "boot_id", "mission_time_s"), 3)
+    return rounded(rows.select("reading_number", "boot_id", "mission_time_s"), 6)
 
 
 @query("merge_sessions_gaps")
@@ -323,7 +323,7 @@ def _(s, d):
 
 # Sinks
 
-@query("write_readings", sql(DET, select="""SELECT round(epoch_us(event_ts) / 1e6, 6) AS timestamp_unix, round(mission_time_s, 4) AS mission_time_s,
+@query("write_readings", sql(DET, select="""SELECT round(epoch_us(event_ts) / 1e6, 6) AS timestamp_unix, round(mission_time_s::DECIMAL(18, 6), 4)::DOUBLE AS mission_time_s,
   sensor_id, round(magnitude, 2) AS magnitude_measured, round(z, 4) AS anomaly_zscore, is_z::INT AS anomaly_is_zscore,
   is_roc::INT AS anomaly_is_roc, is_anomaly::INT AS anomaly_is_ensemble, round(roc, 2) AS anomaly_rate_of_change, reading_number FROM det"""))
 def _(s, d):

@@ -79,10 +79,10 @@ def _(s, d):
 
 @query("rebase_mission_time", sql(select=f"""SELECT reading_number,
   round(first_value(mission_time_s) OVER ({WP}) + (epoch_us(event_ts) / 1e6
-    - first_value(epoch_us(event_ts) / 1e6) OVER ({WP})), 4) AS mission_time_s FROM readings"""))
+    - first_value(epoch_us(event_ts) / 1e6) OVER ({WP})), 6) AS mission_time_s FROM readings"""))
 def _(s, d):
     rows = r(s, d).withColumn("timestamp_unix", F.unix_micros("event_ts") / F.lit(1e6))
-    return rounded(P.rebase_mission_time(rows).select("reading_number", "mission_time_s"))
+    return rounded(P.rebase_mission_time(rows).select("reading_number", "mission_time_s"), 6)
 
 
 @query("standardize", sql("""m AS (SELECT avg(bx) a, stddev_pop(bx) sa, avg(b_y) b, stddev_pop(b_y) sb,
@@ -109,11 +109,11 @@ def _(s, d):
     return P.flight_window(r(s, d)).select("reading_number", "sensor_id")
 
 
-@query("flight_window_counts", sql(FLIGHT_WINDOW, select="""SELECT round(t_start, 4) AS t_start, round(t_end, 4) AS t_end,
-  round(t_cutoff, 4) AS t_cutoff, count(*) FILTER (mission_time_s BETWEEN t_start AND t_cutoff) AS n_kept,
+@query("flight_window_counts", sql(FLIGHT_WINDOW, select="""SELECT round(t_start, 6) AS t_start, round(t_end, 6) AS t_end,
+  round(t_cutoff, 6) AS t_cutoff, count(*) FILTER (mission_time_s BETWEEN t_start AND t_cutoff) AS n_kept,
   count(*) FILTER (NOT mission_time_s BETWEEN t_start AND t_cutoff) AS n_removed FROM readings, c GROUP BY ALL"""))
 def _(s, d):
-    return rounded(P.flight_window_counts(r(s, d)).drop("flight_id"))
+    return rounded(P.flight_window_counts(r(s, d)).drop("flight_id"), 6)
 
 
 @query("after_last_gap", sql(f"""t AS (SELECT mission_time_s AS t, lead(mission_time_s) OVER (ORDER BY mission_time_s) AS e

@@ -31,10 +31,10 @@ def _(s, d):
 
 @query("detect_gaps", sql("""t AS (SELECT DISTINCT flight_id, sensor_id, mission_time_s AS gap_start FROM readings),
 g AS (SELECT *, lead(gap_start) OVER (PARTITION BY flight_id, sensor_id ORDER BY gap_start) AS gap_end FROM t)""",
-    select=f"""SELECT sensor_id, round(gap_start, 4) AS gap_start, round(gap_end, 4) AS gap_end,
-  round(gap_end - gap_start, 4) AS gap_s FROM g WHERE gap_end - gap_start > {GAP_SENSOR}"""))
+    select=f"""SELECT sensor_id, round(gap_start, 6) AS gap_start, round(gap_end, 6) AS gap_end,
+  round(gap_end - gap_start, 6) AS gap_s FROM g WHERE gap_end - gap_start > {GAP_SENSOR}"""))
 def _(s, d):
-    return rounded(O.detect_gaps(r(s, d), GAP_SENSOR).drop("flight_id"))
+    return rounded(O.detect_gaps(r(s, d), GAP_SENSOR).drop("flight_id"), 6)
 
 
 SESSIONS = f"""g AS (SELECT *, epoch_us(event_ts) / 1e6 AS u FROM readings),
@@ -50,10 +50,11 @@ def _unix(rows):
     return rows.withColumn("timestamp_unix", F.unix_micros("event_ts") / F.lit(1e6))
 
 
-@query("detect_sessions", sql(SESSIONS, select="""SELECT session, n_rows, round(t_first, 3) AS t_first, round(t_last, 3) AS t_last,
-  round(mission_time_first, 3) AS mission_time_first, round(missing_s, 3) AS missing_s FROM se"""))
+@query("detect_sessions", sql(SESSIONS, select="""SELECT session, n_rows, round(t_first, 6) AS t_first, round(t_last, 6) AS t_last,
+  round(mission_time_first, 6) AS mission_time_first, round(missing_s, 3) AS missing_s FROM se"""))
 def _(s, d):
-    return rounded(O.detect_sessions(_unix(r(s, d)), GAP_POOLED).drop("flight_id"), 3)
+    out = O.detect_sessions(_unix(r(s, d)), GAP_POOLED).drop("flight_id")
+    return rounded(rounded(out, 6, "t_first", "t_last", "mission_time_first"), 3, "missing_s")
 
 
 @query("session_summary", sql(SESSIONS, select="""SELECT count(*) AS n_sessions, round(coalesce(sum(missing_s), 0), 3) AS missing_s FROM se"""))
@@ -182,11 +183,12 @@ WINDOWS = SEGMENT + ",\nwin AS (SELECT * FROM (SELECT reading_number, sensor_id,
   WHERE k > 3)"""
 
 
-@query("make_windows", sql(WINDOWS, select="""SELECT reading_number, sensor_id, round(target, 4) AS target, round(target_time, 4) AS target_time,
+@query("make_windows", sql(WINDOWS, select="""SELECT reading_number, sensor_id, round(target, 4) AS target, round(target_time, 6) AS target_time,
   round(x_0, 4) AS x_0, round(y_1, 4) AS y_1, round(z_2, 4) AS z_2, round(mag_0, 4) AS mag_0, round(mag_2, 4) AS mag_2 FROM win"""))
 def _(s, d):
     out = O.make_windows(r(s, d), gap=GAP_SENSOR)
-    return rounded(out.select(*VIEW, "target", "target_time", "x_0", "y_1", "z_2", "mag_0", "mag_2"))
+    return rounded(rounded(out, 6, "target_time").select(*VIEW, "target", "target_time", "x_0", "y_1", "z_2", "mag_0", "mag_2"),
+                   4, "target", "x_0", "y_1", "z_2", "mag_0", "mag_2")
 
 
 def _features() -> str:

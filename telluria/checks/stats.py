@@ -31,10 +31,11 @@ def _(s, d):
 
 @query("sensor_summary", sql(select="""SELECT sensor_id, count(*) AS n, count(*) FILTER (mission_time_s > 0) AS n_in_flight,
   round(min(magnitude), 4) AS mag_min, round(max(magnitude), 4) AS mag_max, round(avg(magnitude), 4) AS mag_mean,
-  round(min(mission_time_s), 4) AS t_first, round(max(mission_time_s), 4) AS t_last,
-  round(max(mission_time_s) - min(mission_time_s), 4) AS t_span FROM readings GROUP BY sensor_id"""))
+  round(min(mission_time_s), 6) AS t_first, round(max(mission_time_s), 6) AS t_last,
+  round(max(mission_time_s) - min(mission_time_s), 6) AS t_span FROM readings GROUP BY sensor_id"""))
 def _(s, d):
-    return rounded(A.sensor_summary(r(s, d)).drop("flight_id"))
+    out = rounded(A.sensor_summary(r(s, d)).drop("flight_id"), 6, "t_first", "t_last", "t_span")
+    return rounded(out, 4, "mag_min", "mag_max", "mag_mean")
 
 
 FLAG_SQL = " UNION ALL ".join(
@@ -211,18 +212,18 @@ def _(s, d):
 
 
 @query("flight_report", sql(DET, "rep AS (SELECT *, magnitude * 0.9 + bz * 0.1 AS p FROM det)", select="""
-SELECT 'sensor' AS section, u.metric, sensor_id::VARCHAR AS key, round(u.value, 4) AS value FROM (SELECT sensor_id, count(*) AS n,
+SELECT 'sensor' AS section, u.metric, sensor_id::VARCHAR AS key, round(u.value, 6) AS value FROM (SELECT sensor_id, count(*) AS n,
   count(*) FILTER (mission_time_s > 0) AS f, min(magnitude) AS a, max(magnitude) AS b, avg(magnitude) AS c, min(mission_time_s) AS t0,
   max(mission_time_s) AS t1 FROM rep GROUP BY sensor_id), LATERAL (VALUES ('n', n::DOUBLE), ('n_in_flight', f::DOUBLE), ('mag_min', a),
   ('mag_max', b), ('mag_mean', c), ('t_first', t0), ('t_last', t1)) AS u(metric, value)
-UNION ALL SELECT 'flag', m, k, round(v, 4) FROM (""" + " UNION ALL ".join(
+UNION ALL SELECT 'flag', m, k, round(v, 6) FROM (""" + " UNION ALL ".join(
     f"SELECT '{f}' AS k, 'n_flagged' AS m, count(*) FILTER ({f})::DOUBLE AS v FROM rep UNION ALL "
     f"SELECT '{f}', 'pct', 100.0 * count(*) FILTER ({f}) / count(*) FROM rep" for f in FLAGS) + """)
-UNION ALL SELECT 'model', u.metric, 'rf', round(u.value, 4) FROM (SELECT count(*) AS n, 1 - sum((magnitude - p) ** 2)
+UNION ALL SELECT 'model', u.metric, 'rf', round(u.value, 6) FROM (SELECT count(*) AS n, 1 - sum((magnitude - p) ** 2)
   / (var_pop(magnitude) * count(*)) AS r2, sqrt(avg((magnitude - p) ** 2)) AS rmse FROM rep), LATERAL (VALUES ('n', n::DOUBLE), ('r2', r2), ('rmse', rmse)) AS u(metric, value)"""))
 def _(s, d):
     rows = _det(s, d).withColumn("p", F.col("magnitude") * 0.9 + F.col("bz") * 0.1)
-    return rounded(A.flight_report(rows, FLAGS, predictions={"rf": "p"}))
+    return rounded(A.flight_report(rows, FLAGS, predictions={"rf": "p"}), 6)
 
 
 @query("split_temporal", sql("p AS (SELECT quantile_cont(mission_time_s, 0.7) AS q FROM readings)",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telluria import params
+from telluria.operators.forest import isolation_forest, score_isolation_forest
+from telluria.operators.neighbors import local_outlier_factor
+from telluria.operators.projections import after_last_gap
 from telluria.operators.series import Series
-from telluria.operators.windows import roc, trailing_z
+from telluria.operators.windows import (adaptive_roc_flag, classic_z, history_rule, roc, trailing_z,
+                                        zscore_detrended)
 from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS
+from telluria.session import SLICE_ROWS, attach, materialize, profile
 
 
 def ensemble_vote(df: DataFrame, flags: Sequence[str], min_votes: int = params.MIN_VOTES,
@@ -38,3 +42,60 @@ def detect_flight(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str]
 def top_anomalies(df: DataFrame, n: int = 10, order: Sequence[str] = ORDER) -> DataFrame:
     """Rows with the most votes; equal votes go by time."""
     return df.where("is_anomaly").orderBy(F.desc("votes"), *order).limit(n)
+
+
+def detect_anomalies(df: DataFrame, by: Sequence[str] = KEYS, key: str = "reading_number",
+                     order: Sequence[str] = ORDER, z_threshold: float = params.Z_THRESHOLD,
+                     contamination: float = params.FOREST_CONTAMINATION, neighbors: int = params.LOF_NEIGHBORS,
+                     lof_contamination: float = params.LOF_CONTAMINATION, min_votes: int = params.MIN_VOTES,
+                     trees: int = 100, min_rows: int = 10, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Isolation forest, detrended z-score, local outlier factor and adaptive
+    rate of change on one frame, and their vote.  Groups below ``min_rows`` rows
+    keep their scores but get NULL flags and no vote."""
+    rows = zscore_detrended(df, z_threshold, by=by, order=order, slice_rows=slice_rows)
+    s = roc(Series.of(rows, by, order, slice_rows=slice_rows))
+    rows = materialize(adaptive_roc_flag(s.df, "magnitude", by, slice_rows))
+    rows = isolation_forest(rows, [key], by=by, contamination=contamination, trees=trees, slice_rows=slice_rows)
+    rows = materialize(rows)
+    rows = local_outlier_factor(rows, key, neighbors, lof_contamination, by=by, slice_rows=slice_rows)
+    flags = ["is_iso", "is_z_detrended", "is_lof", "is_roc_adaptive"]
+    sizes = rows.groupBy(*by).agg((F.count(F.lit(1)) >= min_rows).alias("_enough"))
+    rows = attach(rows, sizes, by, groups=profile(rows, by).groups)
+    rows = ensemble_vote(rows, flags, min_votes)
+    return rows.withColumns({c: F.when(F.col("_enough"), F.col(c)) for c in (*flags, "votes", "is_anomaly")}
+                            ).drop("_enough")
+
+
+def detect_per_sensor(df: DataFrame, detector: Callable[..., DataFrame] = detect_anomalies,
+                      gap: float = 5.0, pad: float = 5.0, z_share: float = 0.15, **options) -> DataFrame:
+    """The detector on every sensor after the last gap of its flight, as one
+    job.  ``show_z`` is false where the z-score flags too much to be useful."""
+    rows = detector(after_last_gap(df, gap, pad), by=KEYS, **options)
+    shares = rows.groupBy(*KEYS).agg(
+        (F.count_if(F.coalesce(F.col("is_z_detrended"), F.lit(False))) <= F.lit(z_share) * F.count(F.lit(1))).alias("show_z"))
+    return attach(rows, shares, KEYS, groups=profile(rows, KEYS).groups)
+
+
+def online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, key: str = "reading_number",
+                 order: Sequence[str] = ORDER, rows: int = params.HISTORY_ROWS, min_rows: int = params.HISTORY_MIN,
+                 z_threshold: float = 3.0, iso_limit: float = -0.5, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The live rules against a trailing history: classic z, a frozen forest and
+    mean distance; two of three make an anomaly, none before ``min_rows`` rows."""
+    s = classic_z(Series.of(df, by, order, slice_rows=slice_rows), z_threshold, rows, min_rows, "magnitude")
+    s = history_rule(s, rows, min_rows)
+    scored = score_isolation_forest(s.df, forest, [key], by=by)
+    known = F.col("history_mean").isNotNull()
+    scored = scored.withColumn("iso_score", F.when(known, F.col("iso_score"))).withColumn(
+        "is_iso_online", F.coalesce(F.col("iso_score") < iso_limit, F.lit(False)))
+    return ensemble_vote(scored, ["is_z_classic", "is_iso_online", "is_far"])
+
+
+def prediction_error_anomalies(df: DataFrame, target: str = "target", prediction: str = "forecast",
+                               test: str = "is_train", multiplier: float = 3.0,
+                               by: Sequence[str] = ("flight_id",)) -> DataFrame:
+    """Rows whose error exceeds a multiple of the mean error on the test rows."""
+    error = F.abs(F.col(target) - F.col(prediction))
+    mae = df.where(~F.col(test)).groupBy(*by).agg(F.avg(error).alias("_mae"))
+    rows = attach(df, mae, by, groups=profile(df, by).groups)
+    return (rows.withColumn("abs_error", error).withColumn("error_threshold", F.col("_mae") * multiplier)
+            .withColumn("is_error_anomaly", F.col("abs_error") > F.col("error_threshold")).drop("_mae"))

@@ -53,7 +53,14 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_replace(F.regexp_replace("line", "\ufffd", ""), r"\s+", " "))
-    return lines.withColumn("line", text).where(F.col("line") != "")
+    rest = [c for c in lines.columns if c != "line"]
+    return lines.select(*rest, _once(text).alias("line")).where(F.col("line") != "")
+
+
+def _once(value: Column) -> Column:
+    """Compute an expensive text once per row: filters on a generated column
+    are not copied below it, so the expression is not evaluated again there."""
+    return F.explode(F.array(value))
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -68,7 +75,7 @@ def classify(lines: DataFrame) -> DataFrame:
             for bar in NOT_EVENT_TEXT:
                 test = test & ~F.contains(text, F.lit(bar))
         kind = F.when(test, F.lit(name)).otherwise(kind)
-    return lines.withColumn("line_type", kind)
+    return lines.select("*", _once(kind).alias("line_type"))
 
 
 def _part(kind: str, group: int, cast: str | None = None) -> Column:
@@ -180,8 +187,14 @@ class Telemetry:
         return out
 
 
-def parse_telemetry(lines: DataFrame, slice_rows: int = SLICE_ROWS) -> Telemetry:
+def parse_telemetry(lines: DataFrame, slice_rows: int = SLICE_ROWS, store: str | None = None) -> Telemetry:
+    """All record types of a log.  With ``store`` the classified lines are
+    written there once, one folder per type, and each output reads only its own
+    folders; without it each output classifies the lines when it runs."""
     typed = classify(lines)
+    if store is not None:
+        typed.where("line_type IS NOT NULL").write.mode("overwrite").partitionBy("line_type").parquet(store)
+        typed = lines.sparkSession.read.parquet(store)
     return Telemetry(typed, parse_magnetometer(typed), parse_pressure(typed),
                      parse_adc(typed, slice_rows), parse_thermocouple(typed, slice_rows), parse_events(typed))
 
