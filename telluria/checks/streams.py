@@ -13,7 +13,7 @@ WATERMARK = "40 days"
 
 def _stream(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet")
+    raw = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     return as_readings(raw)
 
 
@@ -21,7 +21,7 @@ def _stream(s, d):
 def _(s, d):
     out = scratch_path(s, "bronze")
     schema = table(s, d, "events").schema
-    core.stream_bronze(s, f"{d}/events.parquet", schema, scratch_path(s, "progress"), out, once=True).awaitTermination()
+    core.stream_bronze(s, f"{d}/events.parquet*", schema, scratch_path(s, "progress"), out, once=True).awaitTermination()
     return s.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

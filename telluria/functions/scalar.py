@@ -14,6 +14,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column) -> Column:
+    """Compute a costly value once per row.  What a generator makes is opaque to
+    the optimizer: filters and projections above it do not copy the expression."""
+    return F.explode(F.array(value))
+
+
 def magnitude(x: str | Column, y: str | Column, z: str | Column) -> Column:
     x, y, z = _col(x), _col(y), _col(z)
     return F.sqrt(x * x + y * y + z * z)

@@ -63,9 +63,11 @@ def stratified_sample(df: DataFrame, key: Sequence[str], chunks: int = 20, total
 
 # Regressors and clusters
 
-def _pipeline(learner, cols: Sequence[str]) -> Pipeline:
+def _pipeline(learner, cols: Sequence[str], invalid: str = "skip") -> Pipeline:
+    """Skipping rows with missing values tests all columns in one predicate,
+    which the optimizer spells out for every renaming; wide inputs use "error"."""
     return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_features",
-                                            handleInvalid="skip"), learner])
+                                            handleInvalid=invalid), learner])
 
 
 def fit_reconstruction_forest(df: DataFrame, target: str = "magnitude", cols: Sequence[str] = AXES,
@@ -93,7 +95,7 @@ def fit_forecaster(features: DataFrame, trees: int = 50, depth: int = 12, min_le
     """Random forest on the 31 window features."""
     rf = RandomForestRegressor(featuresCol="_features", labelCol="target", predictionCol=out, numTrees=trees,
                                maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed)
-    return _pipeline(rf, feature_names()).fit(features)
+    return _pipeline(rf, feature_names(), "error").fit(features)
 
 
 def fit_kmeans(df: DataFrame, k: int | None = None, max_k: int = 6, cols: Sequence[str] = AXES,

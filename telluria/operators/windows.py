@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from telluria import params
-from telluria.functions.scalar import magnitude, sorted_median
+from telluria.functions.scalar import magnitude, once, sorted_median
 from telluria.operators.quantiles import percentiles
 from telluria.operators.series import RN, SIZE, Series
 from telluria.schema import AXES, KEYS, ORDER
@@ -332,7 +332,10 @@ def make_windows(df: DataFrame, window: int = 3, horizon: int = 1, gap: float =
 
     s = Series.of(df, by, order, slice_rows=slice_rows).mutate(steps_then_widen, before=last + 1)
     names = [f"{name}_{i}" for name in CHANNELS for i in range(window)]
-    return s.df.where((F.col("_broken") == 0) & F.col("_oldest").isNotNull()).select(
+    full = (F.col("_broken") == 0) & F.col("_oldest").isNotNull() & F.col("magnitude").isNotNull()
+    for i in range(window):
+        full = full & F.col(f"mag_{i}").isNotNull()
+    return s.df.where(full).select(
         *by, *order, *names, F.col("magnitude").alias("target"), F.col(t).alias("target_time"))
 
 
@@ -376,7 +379,10 @@ def window_features(windows: DataFrame, window: int = 3) -> DataFrame:
     cols["mag_velocity"] = steps[-1] if steps else F.lit(0.0)
     cols["mag_acceleration"] = steps[-1] - steps[-2] if len(steps) > 1 else F.lit(0.0)
     cols["mag_max_roc"] = (F.greatest(*sizes) if len(sizes) > 1 else sizes[0] if sizes else F.lit(0.0))
-    return windows.withColumns(cols)
+    # Many statistics share sums; without the barrier, filters on the features
+    # (a model's null check) would spell all of them out again.
+    packed = windows.withColumn("_f", once(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return packed.select(*windows.columns, "_f.*")
 
 
 def forecast_baselines(windows: DataFrame, window: int = 3) -> DataFrame:

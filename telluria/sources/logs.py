@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telluria.functions.scalar import magnitude
+from telluria.functions.scalar import magnitude, once
 from telluria.operators.series import Series
 from telluria.session import SLICE_ROWS, attach
 
@@ -54,13 +54,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 def clean_lines(lines: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_replace(F.regexp_replace("line", "\ufffd", ""), r"\s+", " "))
     rest = [c for c in lines.columns if c != "line"]
-    return lines.select(*rest, _once(text).alias("line")).where(F.col("line") != "")
-
-
-def _once(value: Column) -> Column:
-    """Compute an expensive text once per row: filters on a generated column
-    are not copied below it, so the expression is not evaluated again there."""
-    return F.explode(F.array(value))
+    return lines.select(*rest, once(text).alias("line")).where(F.col("line") != "")
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -75,7 +69,7 @@ def classify(lines: DataFrame) -> DataFrame:
             for bar in NOT_EVENT_TEXT:
                 test = test & ~F.contains(text, F.lit(bar))
         kind = F.when(test, F.lit(name)).otherwise(kind)
-    return lines.select("*", _once(kind).alias("line_type"))
+    return lines.select("*", once(kind).alias("line_type"))
 
 
 def _part(kind: str, group: int, cast: str | None = None) -> Column:
