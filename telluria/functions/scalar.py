@@ -118,10 +118,3 @@ def in_phase(t: str | Column, phase: params.Phase) -> Column:
     if phase.hi < params.INF:
         test = test & ((t <= phase.hi) if phase.hi_closed else (t < phase.hi))
     return test
-
-
-def sorted_median(values: Column, size: Column) -> Column:
-    """Median of an ascending array with ``size`` elements."""
-    low = F.floor((size + 1) / 2).cast("int")
-    high = (F.floor(size / 2) + 1).cast("int")
-    return (F.element_at(values, low) + F.element_at(values, high)) / 2

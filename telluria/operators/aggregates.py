@@ -17,7 +17,7 @@ from telluria.operators.projections import plausible_temperature
 from telluria.operators.quantiles import percentiles
 from telluria.operators.series import Series
 from telluria.schema import AXES, KEYS, ORDER
-from telluria.session import BROADCAST_ROWS, SLICE_ROWS, attach, profile
+from telluria.session import BROADCAST_ROWS, SLICE_ROWS, attach, materialize, profile
 
 FLIGHT = ("flight_id",)
 
@@ -282,7 +282,7 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = FLIGHT,
     percentile of the absolute difference."""
     rows = df.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_ranks(average_ranks(rows, a, "_ra", by, slice_rows), b, "_rb", by, slice_rows)
-    ranked = ranked.withColumn("_d", F.abs(F.col(a) - F.col(b)))
+    ranked = materialize(ranked.withColumn("_d", F.abs(F.col(a) - F.col(b))))
     p95 = percentiles(ranked, by, "_d", {"p95_diff": 0.95}, slice_rows)
     out = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("spearman"),
@@ -430,6 +430,8 @@ def flight_report(df: DataFrame, flags: Sequence[str] = (), target: str = "magni
                   extra: Sequence[DataFrame] = ()) -> DataFrame:
     """One long table: sensors, flag rates, prediction quality, and whatever
     report rows the caller adds (pressure, temperature, channels)."""
+    needed = ["flight_id", "sensor_id", "mission_time_s", *{"magnitude", target}, *flags, *(predictions or {}).values()]
+    df = materialize(df.select(*needed))  # each section reads it
     summary = sensor_summary(df)
     parts = [report_rows("sensor", summary, ["n", "n_in_flight", "mag_min", "mag_max", "mag_mean",
                                              "t_first", "t_last"], F.col("sensor_id"))]

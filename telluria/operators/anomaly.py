@@ -33,7 +33,7 @@ def detect_flight(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str]
                   slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The flags of a flight log: trailing z-score and rate of change, both
     needed for an anomaly.  Batch twin of the streaming detector."""
-    s = Series.of(df, by, order, slice_rows=slice_rows)
+    s = Series.of(df, by, order, numbered=True, slice_rows=slice_rows)
     s = trailing_z(roc(s), rows, min_rows, z_threshold, "magnitude", "z", "is_z")
     return ensemble_vote(s.df.withColumn("is_roc", F.col("roc") > roc_threshold),
                          ["is_z", "is_roc"])
@@ -81,7 +81,7 @@ def online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, key
                  z_threshold: float = 3.0, iso_limit: float = -0.5, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The live rules against a trailing history: classic z, a frozen forest and
     mean distance; two of three make an anomaly, none before ``min_rows`` rows."""
-    s = classic_z(Series.of(df, by, order, slice_rows=slice_rows), z_threshold, rows, min_rows, "magnitude")
+    s = classic_z(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), z_threshold, rows, min_rows, "magnitude")
     s = history_rule(s, rows, min_rows)
     scored = score_isolation_forest(s.df, forest, [key], by=by)
     known = F.col("history_mean").isNotNull()

@@ -118,7 +118,7 @@ def fit_isolation_forest(df: DataFrame, key: Sequence[str], axes: Sequence[str]
     drawn = drawn.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= sample)
     names = list(axes)
 
-    def grow(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(keys[1])
         x = pdf.sort_values([*names, "_k"])[names].to_numpy(float)
         t = grow_tree(x, np.random.default_rng([seed, tree]))
@@ -142,7 +142,11 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, key: Sequence[str],
         by_group: dict[str, list] = {}
         for row in forest.orderBy("_g", "tree").collect():
             by_group.setdefault(row["_g"], []).append(row)
-        shared = df.sparkSession.sparkContext.broadcast({g: _as_forest(r) for g, r in by_group.items()})
+        sc = df.sparkSession.sparkContext
+        shared = sc.broadcast({g: _as_forest(r) for g, r in by_group.items()})
+        if tagged.rdd.getNumPartitions() < sc.defaultParallelism:
+            # Few input splits would leave cores idle in a step that is all computing.
+            tagged = tagged.repartition(sc.defaultParallelism, *key)
 
         def run(batches):
             for batch in batches:

@@ -102,6 +102,15 @@ def fit_kmeans(df: DataFrame, k: int | None = None, max_k: int = 6, cols: Sequen
                seed: int = SEED, out: str = "cluster_id") -> PipelineModel | None:
     """K-means; ``k`` is chosen by the silhouette unless given.  None below
     three rows: every row then belongs to one cluster at the origin."""
+    df = df.select(*cols).persist()
+    try:
+        return _best_kmeans(df, k, max_k, cols, seed, out)
+    finally:
+        df.unpersist()
+
+
+def _best_kmeans(df: DataFrame, k: int | None, max_k: int, cols: Sequence[str], seed: int,
+                 out: str) -> PipelineModel | None:
     n = df.count()
     if n < 3:
         return None

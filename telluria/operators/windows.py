@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from telluria import params
-from telluria.functions.scalar import magnitude, once, sorted_median
+from telluria.functions import frames
+from telluria.functions.scalar import magnitude, once
 from telluria.operators.quantiles import percentiles
-from telluria.operators.series import RN, SIZE, Series
+from telluria.operators.series import RN, SIZE, ArrayFrame, Series
 from telluria.schema import AXES, KEYS, ORDER
 from telluria.session import SLICE_ROWS, attach, profile
 
@@ -189,18 +191,14 @@ def zscore_global(df: DataFrame, threshold: float = params.Z_THRESHOLD, value: s
 
 def trailing_z(s: Series, rows: int, min_rows: int, threshold: float, value: str,
                out: str, flag: str) -> Series:
-    def score(d, w):
-        d = d.withColumn("_h", F.sort_array(F.collect_list(value).over(w.rowsBetween(1 - rows, 0))))
-        d = d.withColumn("_k", F.size("_h"))
-        d = d.withColumn("_med", sorted_median(F.col("_h"), F.col("_k")))
-        dev = F.sort_array(F.transform("_h", lambda v: F.abs(v - F.col("_med"))))
-        d = d.withColumn("_mad", F.when(F.col("_k") >= min_rows, sorted_median(dev, F.col("_k"))))
-        z = F.when(F.col("_mad") > params.MAD_FLOOR, F.lit(params.MAD_SCALE)
-                   * F.abs(F.col(value) - F.col("_med")) / F.col("_mad")).otherwise(0.0)
-        return (d.withColumn(out, z).withColumn(flag, F.col(out) > threshold)
-                .drop("_h", "_k", "_med", "_mad"))
+    """Needs a numbered series."""
 
-    return s.mutate(score, before=rows - 1)
+    def score(frame: ArrayFrame) -> dict[str, np.ndarray]:
+        past, own, _ = frame.split(value)
+        return {out: frames.trailing_scores(past, own, rows, min_rows)}
+
+    return s.compute(score, [value], [out], before=rows - 1).map(
+        lambda d: d.withColumn(flag, F.col(out) > threshold))
 
 
 def zscore_trailing(df: DataFrame, rows: int = params.HISTORY_ROWS,
@@ -208,7 +206,7 @@ def zscore_trailing(df: DataFrame, rows: int = params.HISTORY_ROWS,
                     value: str = Y, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                     out: str = "z", flag: str = "is_z", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Modified z-score against the last ``rows`` rows including this one."""
-    return trailing_z(Series.of(df, by, order, slice_rows=slice_rows), rows, min_rows,
+    return trailing_z(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), rows, min_rows,
                       threshold, value, out, flag).df
 
 
@@ -233,26 +231,25 @@ def classic_z(s: Series, threshold: float, rows: int, min_rows: int, value: str)
     return s.mutate(score, before=rows - 1)
 
 
-def _median_trend(d: DataFrame, w: WindowSpec, value: str, reach: int) -> DataFrame:
-    """Centred running median over an odd window of ``max(31, n // 10)`` rows at
-    most ``2 * reach + 1``; the end values stand in beyond the ends."""
-    size = F.greatest(F.lit(31), F.floor(F.col(SIZE) / 10))
-    size = F.least(size + F.when(size % 2 == 0, 1).otherwise(0), F.lit(2 * reach + 1))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumns({
-        "_half": F.floor((size - 1) / 2).cast("int"),
-        "_near": F.collect_list(value).over(w.rowsBetween(-reach, reach)),
-        "_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
-    half = F.col("_half")
-    back = F.least(half, (F.col(RN) - 1).cast("int"))
-    ahead = F.least(half, (F.col(SIZE) - F.col(RN)).cast("int"))
-    here = F.least(F.lit(reach), (F.col(RN) - 1).cast("int")) + 1
-    padded = F.concat(
-        F.array_repeat("_first", half - back),
-        F.slice("_near", here - back, back + ahead + 1),
-        F.array_repeat("_last", half - ahead))
-    return d.withColumn("trend", F.element_at(F.sort_array(padded), half + 1)).drop(
-        "_half", "_near", "_first", "_last")
+def median_trend(s: Series, value: str = Y, max_window: int = 501, out: str = "trend") -> Series:
+    """Centred running median over an odd window of ``max(31, n // 10)`` rows,
+    at most ``max_window``; the end values stand in beyond the ends.  Needs a
+    numbered series."""
+    reach = (max_window - 1) // 2
+
+    def trend(frame: ArrayFrame) -> dict[str, np.ndarray]:
+        size = max(31, frame.size // 10)
+        half = (min(size + 1 - size % 2, 2 * reach + 1) - 1) // 2
+        before, own, after = frame.split(value)
+        if len(before) < half:  # only at the start of the group
+            first = (before if len(before) else own)[0]
+            before = np.concatenate([np.full(half - len(before), first), before])
+        if len(after) < half:
+            last = (after if len(after) else own)[-1]
+            after = np.concatenate([after, np.full(half - len(after), last)])
+        return {out: frames.centred_medians(before, own, after, half)}
+
+    return s.compute(trend, [value], [out], before=reach, after=reach)
 
 
 def zscore_detrended(df: DataFrame, threshold: float = params.Z_THRESHOLD, value: str = Y,
@@ -263,9 +260,7 @@ def zscore_detrended(df: DataFrame, threshold: float = params.Z_THRESHOLD, value
     The window grows with the group up to ``max_window`` rows; an uncapped one
     would cost the square of the group size.
     """
-    reach = (max_window - 1) // 2
-    s = Series.of(df, by, order, numbered=True, slice_rows=slice_rows).mutate(
-        lambda d, w: _median_trend(d, w, value, reach), before=reach, after=reach)
+    s = median_trend(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, max_window)
     rows = s.df.withColumn("residual", F.col(value) - F.col("trend"))
     return zscore_global(rows, threshold, "residual", by, std_fallback=True,
                          out="z_detrended", flag="is_z_detrended", slice_rows=slice_rows)
@@ -414,33 +409,19 @@ def history_distance(df: DataFrame, rows: int = params.HISTORY_ROWS,
                      order: Sequence[str] = ORDER, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Mean distance to the trailing points, flagged when it exceeds the 95th
     percentile of those distances (a weak rule, kept for compatibility)."""
-    return history_rule(Series.of(df, by, order, slice_rows=slice_rows), rows, min_rows).df
+    return history_rule(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), rows, min_rows).df
 
 
 def history_rule(s: Series, rows: int, min_rows: int) -> Series:
-    x, y, z = AXES
+    """Needs a numbered series."""
 
-    def score(d, w):
-        points = F.collect_list(F.struct(*AXES)).over(w.rowsBetween(1 - rows, 0))
-
-        def gap(p):
-            dx, dy, dz = p[x] - F.col(x), p[y] - F.col(y), p[z] - F.col(z)
-            return F.sqrt(dx * dx + dy * dy + dz * dz)
-
-        d = d.withColumn("_d", F.sort_array(F.transform(points, gap)))
-        k = F.size("_d")
-        mean = F.aggregate("_d", F.lit(0.0), lambda a, v: a + v) / k
-        place = (k - 1) * F.lit(0.95)
-        low = F.floor(place).cast("int")
-        p95 = F.element_at("_d", low + 1) + (place - low) * (
-            F.element_at("_d", F.least(low + 2, k)) - F.element_at("_d", low + 1))
-        enough = k >= min_rows
-        return (d.withColumn("history_mean", F.when(enough, mean))
-                .withColumn("history_p95", F.when(enough, p95)).drop("_d")
-                .withColumn("is_far", F.coalesce(
-                    F.col("history_mean") > F.col("history_p95"), F.lit(False))))
+    def score(frame: ArrayFrame) -> dict[str, np.ndarray]:
+        points = np.column_stack([frame.values[a] for a in AXES])
+        mean, p95 = frames.trailing_distances(points[:frame.start], points[frame.start:frame.stop], rows, min_rows)
+        return {"history_mean": mean, "history_p95": p95}
 
-    return s.mutate(score, before=rows - 1)
+    return s.compute(score, AXES, ["history_mean", "history_p95"], before=rows - 1).map(
+        lambda d: d.withColumn("is_far", F.coalesce(F.col("history_mean") > F.col("history_p95"), F.lit(False))))
 
 
 def running_anomaly_number(df: DataFrame, flag: str = "is_anomaly", by: Sequence[str] = KEYS,

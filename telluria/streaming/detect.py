@@ -17,33 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from telluria import params
+from telluria.functions.frames import trailing_distances, trailing_scores
 from telluria.operators.forest import _as_forest, _group_key
 from telluria.operators.models import score_batch
 from telluria.schema import AXES, KEYS, ORDER
 
-_BLOCK = 4096  # windows sorted at once
-
-
-def trailing_scores(history: np.ndarray, values: np.ndarray, rows: int, min_rows: int) -> np.ndarray:
-    """Modified z of each value against the last ``rows`` values with it."""
-    line = np.concatenate([np.full(max(0, rows - 1 - len(history)), np.nan), history[-(rows - 1):], values])
-    out = np.zeros(len(values))
-    for a in range(0, len(values), _BLOCK):
-        b = min(a + _BLOCK, len(values))
-        frames = np.lib.stride_tricks.sliding_window_view(line[a:b + rows - 1], rows)
-        k = np.sum(~np.isnan(frames), axis=1)
-        at = np.arange(len(frames))
-
-        def median(x):
-            x = np.sort(x, axis=1)  # missing values go last
-            return (x[at, (k - 1) // 2] + x[at, k // 2]) / 2
-
-        med = median(frames)
-        mad = median(np.abs(frames - med[:, None]))
-        ok = (k >= min_rows) & (mad > params.MAD_FLOOR)
-        out[a:b][ok] = params.MAD_SCALE * np.abs(values[a:b][ok] - med[ok]) / mad[ok]
-    return out
-
 
 def stream_detect(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                   rows: int = params.HISTORY_ROWS, min_rows: int = params.HISTORY_MIN,
@@ -86,19 +64,16 @@ def stream_score(df: DataFrame, models: Sequence[PipelineModel | None], absent:
 def online_flags(points: np.ndarray, fresh: np.ndarray, rows: int, min_rows: int, z_threshold: float):
     """Classic z and mean distance of each fresh point (x, y, z, magnitude)
     against the trailing points with it, and whether each rule fires."""
-    line = np.concatenate([points[-(rows - 1):] if len(points) else points.reshape(0, 4), fresh])
+    line = np.concatenate([points[-(rows - 1):], fresh])[:, 3]
     lead = len(line) - len(fresh)
-    z, far = np.full(len(fresh), np.nan), np.zeros(len(fresh), dtype=bool)
+    z = np.full(len(fresh), np.nan)
     for i in range(len(fresh)):
         past = line[max(0, lead + i + 1 - rows):lead + i + 1]
-        if len(past) < min_rows:
-            continue
-        std = past[:, 3].std()
-        if std > 0:
-            z[i] = abs(fresh[i, 3] - past[:, 3].mean()) / std
-        d = np.sqrt(((past[:, :3] - fresh[i, :3]) ** 2).sum(axis=1))
-        far[i] = d.mean() > np.percentile(d, 95)
-    return z, np.nan_to_num(z) > z_threshold, far
+        std = past.std()
+        if len(past) >= min_rows and std > 0:
+            z[i] = abs(fresh[i, 3] - past.mean()) / std
+    mean, p95 = trailing_distances(points[:, :3], fresh[:, :3], rows, min_rows)
+    return z, np.nan_to_num(z) > z_threshold, np.nan_to_num(mean) > np.nan_to_num(p95)
 
 
 def stream_online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,

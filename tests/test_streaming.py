@@ -56,7 +56,8 @@ def test_sinks_and_cutoff(spark, stream, readings, tmp_path):
 
 
 def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
-    for i, times in enumerate(([0, 100], [3, 200], [300])):
+    # A batch tests its rows against the watermark of the batch before.
+    for i, times in enumerate(([0, 100], [200], [3, 300])):
         spark.createDataFrame([("f", 0, t) for t in times], "flight_id string, sensor_id int, s int").select(
             "flight_id", "sensor_id", F.timestamp_seconds("s").alias("event_ts")).coalesce(1).write.parquet(f"{tmp_path}/{i}")
     df = spark.readStream.schema("flight_id string, sensor_id int, event_ts timestamp").option(
