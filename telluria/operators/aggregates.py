@@ -243,7 +243,7 @@ def residual_diagnostics(df: DataFrame, target: str, prediction: str, by: Sequen
     rows = df.select(*by, *order, F.col(target).alias("_y"),
                      (F.col(target) - F.col(prediction)).alias("_e"))
     s = Series.of(rows, by, order, slice_rows=slice_rows)
-    lagged = s.mutate(lambda d, w: d.withColumn("_e1", F.lag("_e").over(w)), before=1).df
+    lagged = materialize(s.mutate(lambda d, w: d.withColumn("_e1", F.lag("_e").over(w)), before=1).df)
     size = profile(rows, by)
     lagged = lagged.withColumn("_abs", F.abs("_e"))
     cuts = percentiles(lagged, by, "_y", {"_y33": 0.33, "_y67": 0.67}, slice_rows, largest=size.largest)
@@ -270,7 +270,7 @@ def average_ranks(df: DataFrame, column: str, out: str, by: Sequence[str] = FLIG
                   slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Ranks with ties averaged.  Equal values are counted first, then the
     counts are summed along the distinct values, slice by slice."""
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c")))
     s = Series.of(counts, by, [column], slice_rows=slice_rows).running_sum({"_u": F.col("_c")})
     ranks = s.df.select(*by, column, (F.col("_u") - (F.col("_c") - 1) / 2).alias(out))
     return attach(df, ranks, [*by, column])
@@ -281,7 +281,8 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = FLIGHT,
     """Agreement of two predictions: Spearman, Pearson, mean and 95th
     percentile of the absolute difference."""
     rows = df.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(rows, a, "_ra", by, slice_rows), b, "_rb", by, slice_rows)
+    ranked = materialize(average_ranks(rows, a, "_ra", by, slice_rows))
+    ranked = average_ranks(ranked, b, "_rb", by, slice_rows)
     ranked = materialize(ranked.withColumn("_d", F.abs(F.col(a) - F.col(b))))
     p95 = percentiles(ranked, by, "_d", {"p95_diff": 0.95}, slice_rows)
     out = ranked.groupBy(*by).agg(
@@ -383,7 +384,7 @@ def error_separation(df: DataFrame, error: str = "abs_error", by: Sequence[str]
     groups, largest = profile(df, by)
     n = df.groupBy(*by).agg(F.count(error).alias("_n"))
     # Equal errors are interchangeable, so counts per value decide the split.
-    counts = df.where(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(df.where(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count(F.lit(1)).alias("_c")))
     s = Series.of(counts, by, [error], slice_rows=slice_rows).running_sum({"_u": F.col("_c")})
     rows = attach(s.df, n, by, groups=groups)
     before = F.col("_u") - F.col("_c")

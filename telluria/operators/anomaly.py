@@ -54,9 +54,8 @@ def detect_anomalies(df: DataFrame, by: Sequence[str] = KEYS, key: str = "readin
     keep their scores but get NULL flags and no vote."""
     rows = zscore_detrended(df, z_threshold, by=by, order=order, slice_rows=slice_rows)
     s = roc(Series.of(rows, by, order, slice_rows=slice_rows))
-    rows = materialize(adaptive_roc_flag(s.df, "magnitude", by, slice_rows))
+    rows = adaptive_roc_flag(s.df, "magnitude", by, slice_rows)
     rows = isolation_forest(rows, [key], by=by, contamination=contamination, trees=trees, slice_rows=slice_rows)
-    rows = materialize(rows)
     rows = local_outlier_factor(rows, key, neighbors, lof_contamination, by=by, slice_rows=slice_rows)
     flags = ["is_iso", "is_z_detrended", "is_lof", "is_roc_adaptive"]
     sizes = rows.groupBy(*by).agg((F.count(F.lit(1)) >= min_rows).alias("_enough"))

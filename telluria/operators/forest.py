@@ -144,9 +144,6 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, key: Sequence[str],
             by_group.setdefault(row["_g"], []).append(row)
         sc = df.sparkSession.sparkContext
         shared = sc.broadcast({g: _as_forest(r) for g, r in by_group.items()})
-        if tagged.rdd.getNumPartitions() < sc.defaultParallelism:
-            # Few input splits would leave cores idle in a step that is all computing.
-            tagged = tagged.repartition(sc.defaultParallelism, *key)
 
         def run(batches):
             for batch in batches:
@@ -199,5 +196,5 @@ def isolation_forest(df: DataFrame, key: Sequence[str], axes: Sequence[str] = AX
                      seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Fit on the rows themselves, score them, flag the most unusual share."""
     forest = materialize(fit_isolation_forest(df, key, axes, by, trees, sample, seed))
-    scored = score_isolation_forest(df, forest, key, axes, by)
+    scored = materialize(score_isolation_forest(df, forest, key, axes, by))
     return flag_lowest(scored, "iso_score", contamination, "is_iso", by, slice_rows)

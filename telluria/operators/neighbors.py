@@ -213,5 +213,5 @@ def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
     ratio = attach(pairs, theirs, [*by, "place"], how="inner").groupBy(*by, "pid").agg(F.avg("_their").alias("_avg"))
     lof = attach(lrd, ratio, [*by, "pid"], how="inner").select(*by, "pid", (F.col("_avg") / F.col("lrd")).alias("lof"))
     places = attach(points.select(*by, *axes, "pid"), lof, [*by, "pid"], how="left").drop("pid")
-    rows = attach(df, places, [*by, *axes]).withColumn("_neg", -F.col("lof"))
+    rows = materialize(attach(df, places, [*by, *axes]).withColumn("_neg", -F.col("lof")))
     return flag_lowest(rows, "_neg", contamination, "is_lof", by, slice_rows).drop("_neg")

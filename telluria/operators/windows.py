@@ -18,7 +18,7 @@ from telluria.functions.scalar import magnitude, once
 from telluria.operators.quantiles import percentiles
 from telluria.operators.series import RN, SIZE, ArrayFrame, Series
 from telluria.schema import AXES, KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, profile
+from telluria.session import SLICE_ROWS, attach, materialize, profile
 
 Y = "magnitude"
 
@@ -261,7 +261,7 @@ def zscore_detrended(df: DataFrame, threshold: float = params.Z_THRESHOLD, value
     would cost the square of the group size.
     """
     s = median_trend(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, max_window)
-    rows = s.df.withColumn("residual", F.col(value) - F.col("trend"))
+    rows = materialize(s.df.withColumn("residual", F.col(value) - F.col("trend")))
     return zscore_global(rows, threshold, "residual", by, std_fallback=True,
                          out="z_detrended", flag="is_z_detrended", slice_rows=slice_rows)
 
@@ -284,6 +284,7 @@ def rate_of_change(df: DataFrame, threshold: float = params.ROC_THRESHOLD, value
 def adaptive_roc_flag(rows: DataFrame, value: str, by: Sequence[str], slice_rows: int) -> DataFrame:
     """Threshold per group: the larger of the 99th percentile of the positive
     steps and 5 % of the 5-95 percentile range."""
+    rows = materialize(rows)  # three statistics and the flags read the steps
     groups, largest = profile(rows, by)
     span = percentiles(rows, by, value, {"_p5": 0.05, "_p95": 0.95}, slice_rows, largest=largest)
     steps = percentiles(rows.where("roc > 0"), by, "roc", {"_p99": 0.99}, slice_rows, largest=largest)
