@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telluria.checks.base import (DET, GAP_SENSOR, R, ROC_LIMIT, SCORED, W, F, query, r, rounded, scored, sql, table)
+from telluria.checks.base import (DET, ROC_LIMIT, SCORED, W, F, query, r, rounded, scored, sql, table)
 from telluria.checks.rows import PHASE_ON, PHASE_VALUES, PHASES
 from telluria.operators import aggregates as A
 from telluria.operators import anomaly
@@ -255,7 +255,7 @@ def _(s, d):
 def _(s, d):
     from telluria.sinks import keep_latest
     return keep_latest(r(s, d), ["sensor_id"], "mission_time_s", tie="reading_number").select(
-        "sensor_id", "reading_number", "age_rank")
+        "sensor_id", "reading_number", F.col("age_rank").cast("long").alias("age_rank"))
 
 
 @query("union_datasets", sql(select="""SELECT 'a' AS dataset, count(*) AS n, round(avg(magnitude), 4) AS mag, count(bx) AS n_bx FROM readings
@@ -267,5 +267,3 @@ def _(s, d):
     return rounded(out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg("magnitude").alias("mag"),
                                               F.count("bx").alias("n_bx")))
 
-
-__all__ = ["GAP_SENSOR", "R"]

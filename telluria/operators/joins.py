@@ -9,18 +9,10 @@ from pyspark.sql import functions as F
 
 from telluria import params
 from telluria.functions.scalar import in_phase
-from telluria.schema import AXES, KEYS
+from telluria.schema import KEYS
 from telluria.session import attach, profile
 
 
-def timeline_table(df: DataFrame, mission: params.Mission) -> DataFrame:
-    """The labelled mission events: at most one row per fixed label."""
-    rows = [(label, mission.timeline[key], rank)
-            for rank, (key, label) in enumerate(params.EVENT_LABELS) if key in mission.timeline]
-    rows.append((params.EVENT_LABELS[0][1], 0.0, len(params.EVENT_LABELS)))
-    return df.sparkSession.createDataFrame(rows, "label string, t_event double, priority int")
-
-
 def label_mission_events(df: DataFrame, mission: params.Mission = params.Mission(),
                          window: float = 5.0, z: str = "z", t: str = "mission_time_s",
                          extreme: float = 5.0) -> DataFrame:
@@ -63,7 +55,3 @@ def sensor_spread(overlay: DataFrame, sensors: Sequence[int]) -> DataFrame:
     """Range over the sensors present at each time step."""
     cols = [F.col(f"sensor_{s}") for s in sensors]
     return overlay.withColumn("spread", F.greatest(*cols) - F.least(*cols))
-
-
-__all__ = ["AXES", "attach_scalars", "label_mission_events", "label_phases",
-           "overlay_sensors", "sensor_spread", "timeline_table"]

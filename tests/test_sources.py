@@ -1,5 +1,4 @@
 from conftest import table_of
-from pyspark.sql import functions as F
 
 from telluria.operators import projections as P
 from telluria.sources import csv, files, frames
@@ -77,4 +76,3 @@ def test_events(spark):
     got = {r.event: (r.skip_key, r.category) for r in P.categorize_events(P.with_skip_key(df)).collect()}
     assert got["Heartbeat ok"][0] == "heartbeat" and got["sample 3"][0] == "sample"
     assert got["Apogee error"] == (None, "Warning/Error") and got["Motor on"][1] == "Actuator" and got["nothing"][1] == "System"
-    assert F is not None
