@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from telluria.llm.chat import conversation_digests, prefix_examples
 from telluria.llm.decontaminate import decontaminate
 from telluria.llm.licenses import scan_licenses
+from telluria.llm.suffix_dedup import remove_earlier_text
+from telluria.llm.superkmer import remove_repeated_windows
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,10 +34,22 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digests(prefix_examples(turns.unionByName(planted)))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_earlier_text(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeated_windows(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_superkmer_dedup": op10_superkmer_dedup,
 }
 
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,4 +86,16 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (role = 'assistant' OR no = n) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id""",
+    "op10_superkmer_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 19)) AS pos, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 20], ' ') AS gram FROM g),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS no FROM h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r WHERE no > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone
+  USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
 }
