@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from telluria.llm.chat import conversation_digests, prefix_examples
 from telluria.llm.decontaminate import decontaminate
 from telluria.llm.licenses import scan_licenses
+from telluria.llm.packing import pack_documents
 from telluria.llm.suffix_dedup import remove_earlier_text
 from telluria.llm.superkmer import remove_repeated_windows
 
@@ -26,6 +27,17 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).drop("spans")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
+
+
 def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(
@@ -47,6 +59,7 @@ def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_superkmer_dedup": op10_superkmer_dedup,
