@@ -10,6 +10,7 @@ from telluria.llm.decontaminate import decontaminate
 from telluria.llm.licenses import scan_licenses
 from telluria.llm.ngram_join import jaccard_components
 from telluria.llm.packing import pack_documents
+from telluria.llm.quality import quality
 from telluria.llm.suffix_dedup import remove_earlier_text
 from telluria.llm.superkmer import remove_repeated_windows
 
@@ -32,6 +33,12 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).drop("spans")
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "log_perplexity")
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary of the contract."""
     import public_tokenizers
@@ -65,6 +72,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
