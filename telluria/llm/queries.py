@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from telluria.llm.chat import conversation_digests, prefix_examples
 from telluria.llm.decontaminate import decontaminate
+from telluria.llm.html_text import visible_text
 from telluria.llm.licenses import scan_licenses
 from telluria.llm.ngram_join import jaccard_components
 from telluria.llm.packing import pack_documents
 from telluria.llm.quality import quality
 from telluria.llm.suffix_dedup import remove_earlier_text
 from telluria.llm.superkmer import remove_repeated_windows
+from telluria.llm.warc import archive_and_index, find_captures, keys_of, read_records
+from telluria.session import scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +42,17 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "log_perplexity")
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return visible_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page is looked up by its url in the index, and its record read."""
+    pages = table(spark, folder, "pages")
+    archives, index = archive_and_index(pages, scratch_path(spark, "warc"))
+    return read_records(spark, archives, find_captures(spark, index, keys_of(pages))).drop("payload", "url")
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary of the contract."""
     import public_tokenizers
@@ -73,6 +87,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
+    "op6_warc_index": op6_warc_index,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
@@ -136,4 +152,12 @@ links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+    "op6_warc_index": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, h, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS leader FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN leader = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN leader <> page_id THEN leader END AS refers_to
+FROM d""",
 }
