@@ -246,7 +246,7 @@ def _(s, d):
     path = scratch_path(s, "raw")
     r(s, d).select((F.unix_micros("event_ts") / F.lit(1e6)).alias("timestamp_unix"), "sensor_id", F.col("bx").alias("bx_raw"),
                    F.col("by").alias("by_raw"), F.col("bz").alias("bz_raw")).write.option("header", "true").csv(path)
-    out = csv.read_raw_readings(s, path).where("mission_time_s is not null")
+    out = csv.read_raw_readings(s, path)
     return out.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("magnitude"), 2).alias("magnitude_sum"))
 
 
@@ -279,48 +279,55 @@ def _(s, d):
     return rounded(rows.select("reading_number", "boot_id", "mission_time_s"), 6)
 
 
-@query("merge_sessions_gaps")
+@query("merge_sessions_gaps", sql(BOOTS, """rb AS (SELECT u, reading_number, first_value(own) OVER o + (u - first_value(u) OVER o) AS t, u - lag(u) OVER o AS gap
+  FROM mt WINDOW o AS (ORDER BY u, reading_number)),
+sn AS (SELECT *, sum(CASE WHEN gap > 1200 THEN 1 ELSE 0 END) OVER (ORDER BY u, reading_number)::BIGINT AS session FROM rb)""",
+    select="""SELECT session, count(*) AS n_rows, round(min(u), 4) AS t_first, round(max(u), 4) AS t_last,
+  round(arg_min(t, row(u, reading_number)), 4) AS mission_time_first, round(max(CASE WHEN gap > 1200 THEN gap - 1 / 45.0 END), 4) AS missing_s
+  FROM sn GROUP BY session"""))
 def _(s, d):
-    return csv.merge_sessions(_boots(s, d), threshold=GAP_POOLED)[1]
+    sessions = csv.merge_sessions(_boots(s, d), threshold=GAP_POOLED)[1].drop("flight_id")
+    return rounded(sessions.withColumn("session", F.col("session").cast("long")))
 
 
 def _named_files(s, d) -> DataFrame:
-    """A listing as the file source reports it, derived from the events."""
-    rows = r(s, d).where(F.col("reading_number") % 2 == 0)
+    """A listing as the file source reports it, derived from the events: forty
+    files a folder, some results without a raw capture of their stamp."""
     n = F.col("reading_number")
-    kind = (F.when(n % 10 == 0, "flight_data_").when(n % 10 == 2, "flight_raw_sensors_").when(n % 10 == 4, "sim_data_")
-            .when(n % 10 == 6, "sim_raw_sensors_").otherwise("notes_"))
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.floor(n / 20) * 60), "yyyyMMdd_HHmmss")
-    name = F.concat(kind, stamp, F.lit(".csv"))
-    return rows.select(F.concat(F.lit("/data/"), n.cast("string"), F.lit("/"), name).alias("path"), name.alias("name"),
-                       (F.col("bx") * 20).cast("long").alias("length"), F.col("event_ts").alias("modified"))
-
-
-@query("select_inputs", sql(select="""SELECT '/data/' || reading_number || '/flight_data_'
-  || strftime(TIMESTAMP '2024-01-01' + to_minutes(reading_number // 20), '%Y%m%d_%H%M%S') || '.csv' AS path,
-  row_number() OVER (ORDER BY event_ts DESC, '/data/' || reading_number) AS choice
-  FROM readings WHERE reading_number % 10 = 0 AND trunc(bx * 20) > 300"""))
+    part, raw = n % 10, F.floor(n / 10) % 3 > 0
+    kind = (F.when(part == 0, "flight_data_").when((part == 2) & raw, "flight_raw_sensors_").when(part == 4, "sim_data_")
+            .when((part == 6) & raw, "sim_raw_sensors_").otherwise(F.concat(F.lit("notes"), part.cast("string"), F.lit("_"))))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.floor(n / 10) * 60), "yyyyMMdd_HHmmss")
+    name = F.when(n % 120 == 1, "cam_raw_sensors_latest.csv").otherwise(F.concat(kind, stamp, F.lit(".csv")))
+    folder = F.concat(F.lit("/data/"), F.floor(n / 40).cast("string"), F.lit("/"))
+    return r(s, d).select(F.concat(folder, name).alias("path"), name.alias("name"),
+                          (F.col("bx") * 20).cast("long").alias("length"), F.col("event_ts").alias("modified"))
+
+
+FILES = """ev AS (SELECT reading_number AS n, reading_number % 10 AS m, event_ts, trunc(bx * 20) AS len,
+  (reading_number // 10) % 3 > 0 AS has, '/data/' || reading_number // 40 || '/' AS folder,
+  strftime(TIMESTAMP '2024-01-01' + to_minutes(reading_number // 10), '%Y%m%d_%H%M%S') AS st FROM readings),
+fl AS (SELECT *, CASE WHEN n % 120 = 1 THEN 'cam_raw_sensors_latest.csv' ELSE CASE WHEN m = 0 THEN 'flight_data_'
+  WHEN m = 2 AND has THEN 'flight_raw_sensors_' WHEN m = 4 THEN 'sim_data_' WHEN m = 6 AND has THEN 'sim_raw_sensors_'
+  ELSE 'notes' || m || '_' END || st || '.csv' END AS name FROM ev)"""
+
+
+@query("select_inputs", sql(FILES, select="""SELECT folder || name AS path, row_number() OVER (ORDER BY event_ts DESC, folder || name) AS choice
+  FROM fl WHERE name LIKE 'flight\\_data\\_%' ESCAPE '\\' AND len > 300"""))
 def _(s, d):
     return files.select_inputs(_named_files(s, d)).select("path", F.col("choice").cast("long").alias("choice"))
 
 
-@query("pair_companions", sql("""f AS (SELECT reading_number AS n, reading_number % 10 AS m, event_ts, trunc(bx * 20) AS len,
-  strftime(TIMESTAMP '2024-01-01' + to_minutes(reading_number // 20), '%Y%m%d_%H%M%S') AS st FROM readings WHERE reading_number % 2 = 0),
-res AS (SELECT '/data/' || n || '/' || CASE m WHEN 0 THEN 'flight' ELSE 'sim' END || '_data_' || st || '.csv' AS result_path,
-  CASE m WHEN 0 THEN 'flight' ELSE 'sim' END AS px, st FROM f WHERE m IN (0, 4)),
-raw AS (SELECT '/data/' || n || '/' || CASE m WHEN 2 THEN 'flight' ELSE 'sim' END || '_raw_sensors_' || st || '.csv' AS raw_path,
-  CASE m WHEN 2 THEN 'flight' ELSE 'sim' END AS px, st, len, event_ts FROM f WHERE m IN (2, 6)),
-nw AS (SELECT arg_max(raw_path, event_ts) AS newest FROM raw WHERE len > 100)""", select="""SELECT result_path,
-  coalesce(raw_path, newest) AS raw_path, raw_path IS NOT NULL AS same_stamp FROM res LEFT JOIN raw USING (px, st), nw"""))
+@query("pair_companions", sql(FILES, """res AS (SELECT folder, folder || name AS result_path, split_part(name, '_', 1) AS px, st FROM fl WHERE name LIKE '%\\_data\\_%' ESCAPE '\\'),
+raw AS (SELECT folder, folder || name AS raw_path, split_part(name, '_', 1) AS px, st, len, event_ts, name LIKE '%latest%' AS newer FROM fl WHERE name LIKE '%\\_raw\\_%' ESCAPE '\\'),
+nw AS (SELECT folder, raw_path AS newest FROM raw WHERE len > 100
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY newer DESC, event_ts DESC, raw_path DESC) = 1)""", select="""SELECT result_path,
+  coalesce(raw_path, newest) AS raw_path, raw_path IS NOT NULL AS same_stamp FROM res
+  LEFT JOIN (SELECT * FROM raw WHERE NOT newer) raw USING (folder, px, st) LEFT JOIN nw USING (folder)"""))
 def _(s, d):
     return files.pair_companions(_named_files(s, d))
 
 
-@query("list_files")
-def _(s, d):
-    return files.list_files(s, d).select("name", "length")
-
-
 # Sinks
 
 @query("write_readings", sql(DET, select="""SELECT round(epoch_us(event_ts) / 1e6, 6) AS timestamp_unix, round(mission_time_s::DECIMAL(18, 6), 4)::DOUBLE AS mission_time_s,

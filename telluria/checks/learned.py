@@ -3,22 +3,16 @@
 from __future__ import annotations
 
 from telluria import params, sinks
-from telluria.checks import base
-from telluria.checks.base import GAP_SENSOR, W, F, query, rounded, sql, table
+from telluria.checks.base import GAP_SENSOR, W, F, query, r, rounded, sql, table
 from telluria.operators import aggregates as A
 from telluria.operators import anomaly, evaluation, forest, interpolation, models, neighbors
 from telluria.operators import windows as O
-from telluria.session import scratch_path, spread
+from telluria.session import scratch_path
 
 KEY = ["reading_number"]
 TREES, DEPTH = 20, 10
 
 
-def r(s, d):
-    """Readings on all cores: fitting and scoring are computing, not reading."""
-    return spread(base.r(s, d), "reading_number")
-
-
 def _vectors(s, d):
     e = table(s, d, "embeddings")
     return e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
@@ -113,7 +107,7 @@ def _(s, d):
 @query("fit_bayesian_regression")
 def _(s, d):
     rows = models.split_random(r(s, d), KEY)
-    model = models.fit_bayesian_regression(rows.where("is_train"), KEY)
+    model = models.fit_bayesian_regression(rows.where("is_train"))
     out = models.clip_uncertainty(model.predict(rows), "magnitude", "magnitude_gpr", "sigma")
     return A.interval_coverage(out, "magnitude", "magnitude_gpr", "sigma", by=["flight_id", "is_train"])
 
@@ -187,7 +181,7 @@ def _(s, d):
     return sinks.result_rows(out)
 
 
-@query("determinism_check")
+@query("determinism_check", sql(select="SELECT count(*) AS n, 0::BIGINT AS unmatched, 0.0::DOUBLE AS max_diff, true AS passed FROM readings"))
 def _(s, d):
     return evaluation.determinism_check(r(s, d), _forest(s, d), KEY, "magnitude_rf")
 
@@ -219,13 +213,13 @@ def _(s, d):
 
 @query("densify_segments")
 def _(s, d):
-    return interpolation.densify_segments(r(s, d), GAP_SENSOR, max_points=1_000_000)
+    return interpolation.densify_segments(r(s, d), GAP_SENSOR)
 
 
 @query("densify_linear", sql(f"""k AS (SELECT *, mission_time_s - lag(mission_time_s) OVER ({W}) AS gap FROM readings),
 sg AS (SELECT *, sum(CASE WHEN gap > {GAP_SENSOR} THEN 1 ELSE 0 END) OVER ({W})::BIGINT AS segment FROM k),
 pl AS (SELECT sensor_id, segment, count(*) AS n, min(mission_time_s) AS t0, max(mission_time_s) AS t1,
-  least(count(*) * 5, 1000000 // count(*) OVER (PARTITION BY sensor_id)) AS np FROM sg GROUP BY sensor_id, segment),
+  count(*) * 5 AS np FROM sg GROUP BY sensor_id, segment),
 gr AS (SELECT sensor_id, segment, CASE WHEN i = np - 1 THEN t1 ELSE t0 + i * ((t1 - t0) / (np - 1)) END AS tm
   FROM (SELECT *, unnest(range(np)) AS i FROM pl WHERE n >= 4)),
 nx AS (SELECT *, lead(mission_time_s) OVER (PARTITION BY sensor_id, segment ORDER BY mission_time_s) AS t2,
@@ -235,7 +229,7 @@ al AS (SELECT gr.sensor_id, gr.segment, tm, CASE WHEN t2 IS NULL THEN bx ELSE bx
   UNION ALL SELECT sensor_id, segment, mission_time_s, bx FROM sg JOIN pl USING (sensor_id, segment) WHERE n < 4)""",
     select="SELECT sensor_id, segment, count(*) AS n, round(min(tm), 3) AS t_first, round(sum(v), 2) AS bx_sum FROM al GROUP BY ALL"))
 def _(s, d):
-    out = interpolation.densify_linear(r(s, d), GAP_SENSOR, max_points=1_000_000)
+    out = interpolation.densify_linear(r(s, d), GAP_SENSOR)
     return out.groupBy("sensor_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("time"), 3).alias("t_first"),
                                                    F.round(F.sum("bx"), 2).alias("bx_sum"))
 

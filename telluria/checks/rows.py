@@ -30,11 +30,13 @@ def _(s, d):
     return rounded(P.with_magnitude(r(s, d).drop("magnitude")).select("reading_number", "magnitude"))
 
 
-@query("assemble_features")
+@query("assemble_features", sql(select="""SELECT reading_number, round(bx * 20, 6) AS f0, round(b_y * 20, 6) AS f1, round(bz * 20, 6) AS f2
+  FROM readings"""))
 def _(s, d):
     out = P.assemble_features(r(s, d), scale=20.0)
     from pyspark.ml.functions import vector_to_array
-    return out.select("reading_number", vector_to_array("features")[0].alias("f0"))
+    axes = vector_to_array("features")
+    return rounded(out.select("reading_number", *[axes[i].alias(f"f{i}") for i in range(3)]), 6)
 
 
 @query("filter_outliers", sql(select="SELECT reading_number, round(magnitude, 4) AS magnitude FROM readings WHERE magnitude < 120"))

@@ -105,12 +105,12 @@ def _global(value: str, src: str, fallback: bool) -> tuple[str, str, str]:
 @query("zscore_detrended", sql(f"""i AS (SELECT *, row_number() OVER ({W}) AS rn, count(*) OVER g AS n,
   first_value(magnitude) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0,
   last_value(magnitude) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y1,
-  list(magnitude) OVER ({W} ROWS BETWEEN 250 PRECEDING AND 250 FOLLOWING) AS near
+  list(magnitude) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS near
   FROM readings WINDOW g AS (PARTITION BY flight_id, sensor_id)),
-j AS (SELECT *, least(greatest(31, n // 10) + CASE WHEN greatest(31, n // 10) % 2 = 0 THEN 1 ELSE 0 END, 501) // 2 AS h FROM i),
+j AS (SELECT *, greatest(31, n // 10) // 2 AS h FROM i),
 t AS (SELECT *, list_median(list_concat(
     list_transform(range(greatest(0, h - rn + 1)), lambda v: y0),
-    list_slice(near, least(250, rn - 1) + 1 - least(h, rn - 1), least(250, rn - 1) + 1 + least(h, n - rn)),
+    list_slice(near, greatest(1, rn - h), least(n, rn + h)),
     list_transform(range(greatest(0, h - (n - rn))), lambda v: y1))) AS trend FROM j),
 u AS (SELECT *, magnitude - trend AS residual FROM t)""", *_global("residual", "u", True),
     select="""SELECT reading_number, sensor_id, round(trend, 4) AS trend, round(z, 4) AS z_detrended, z > 3.5 AS is_z_detrended FROM zz"""))

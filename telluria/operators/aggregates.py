@@ -291,8 +291,10 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = FLIGHT,
     return attach(out, p95, by)
 
 
-def poisson_weight(u: Column, top: int = 12) -> Column:
-    """Poisson(1) draw from a uniform number by its distribution function."""
+def poisson_weight(u: Column, top: int = 18) -> Column:
+    """Poisson(1) draw from a uniform number by its distribution function.
+
+    Draws above ``top`` have a chance below 2**-52, the grain of the number."""
     out, term, total = F.lit(top), 1.0, 0.0
     edges = []
     for k in range(top):
@@ -402,7 +404,8 @@ def throughput_report(df: DataFrame, seconds: int = 5, ts: str = "event_ts", fla
     """Readings, rate, missing readings and anomalies per status interval."""
     n = F.count(F.lit(1))
     anomalies = F.count_if(F.col(flag)) if flag else F.lit(0).cast("long")
-    sensors = F.approx_count_distinct("sensor_id")
+    # Streams keep the sensors of a window as a set, batches count them in two steps.
+    sensors = (F.size(F.collect_set("sensor_id")).cast("long") if df.isStreaming else F.count_distinct("sensor_id"))
     per = df.groupBy(*by, F.window(ts, f"{seconds} seconds").alias("_w")).agg(
         n.alias("n"), (n / F.lit(float(seconds))).alias("hz"), anomalies.alias("n_anomalies"),
         sensors.alias("n_sensors"))

@@ -54,22 +54,25 @@ def cubic_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
             + (y[k + 1] / hk - m[k + 1] * hk / 6) * u)
 
 
-def _segments(df: DataFrame, gap: float, max_points: int, by: Sequence[str], order: Sequence[str], t: str,
+def _segments(df: DataFrame, gap: float, max_points: int | None, by: Sequence[str], order: Sequence[str], t: str,
               axes: Sequence[str], slice_rows: int):
     """One row per distinct time with its segment, and the plan of each segment:
-    its ends, rows and number of points to produce."""
+    its ends, rows and number of points to produce: five a row, or with
+    ``max_points`` an equal share of that many, two at least."""
     knots = df.groupBy(*by, t).agg(*[F.min_by(a, F.struct(*order)).cast("double").alias(a) for a in axes])
     rows = materialize(segment_by_gap(knots, gap, by, [t], t, slice_rows=slice_rows))
     seg = rows.groupBy(*by, "segment").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
     per = seg.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-    cap = F.floor(F.lit(max_points) / F.greatest(F.lit(1), F.col("_k")))
+    dense = F.col("n_rows") * 5
+    if max_points is not None:
+        dense = F.least(dense, F.greatest(F.lit(2), F.floor(F.lit(max_points) / F.col("_k"))))
     plan = attach(seg, per, by).withColumn(
-        "n_points", F.when(F.col("n_rows") < 4, F.col("n_rows")).otherwise(F.least(F.col("n_rows") * 5, cap)))
+        "n_points", F.when(F.col("n_rows") < 4, F.col("n_rows")).otherwise(dense))
     return rows, plan.drop("_k")
 
 
-def densify_linear(df: DataFrame, gap: float = 5.0, max_points: int = 3000, by: Sequence[str] = KEYS,
+def densify_linear(df: DataFrame, gap: float = 5.0, max_points: int | None = None, by: Sequence[str] = KEYS,
                    order: Sequence[str] = ORDER, t: str = "mission_time_s", axes: Sequence[str] = AXES,
                    slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Evenly spaced points on straight lines between the rows of a segment.
@@ -92,7 +95,7 @@ def densify_linear(df: DataFrame, gap: float = 5.0, max_points: int = 3000, by:
     return dense.unionByName(s.df.where("n_rows < 4").select(*keys, F.col(t).alias("time"), *axes))
 
 
-def densify_segments(df: DataFrame, gap: float = 5.0, max_points: int = 3000, by: Sequence[str] = KEYS,
+def densify_segments(df: DataFrame, gap: float = 5.0, max_points: int | None = None, by: Sequence[str] = KEYS,
                      order: Sequence[str] = ORDER, t: str = "mission_time_s", axes: Sequence[str] = AXES,
                      slice_knots: int = SLICE_KNOTS) -> DataFrame:
     """Evenly spaced points on cubic splines through the rows of each segment.

@@ -265,15 +265,12 @@ def _evidence(gram, moment, yy, n, rounds: int = 50):
     return vec @ m, (vec / (a + b * lam)) @ vec.T, 1.0 / b, float(log_ev)
 
 
-def fit_bayesian_regression(df: DataFrame, key: Sequence[str], target: str = "magnitude",
-                            cols: Sequence[str] = AXES, features: int = 100, sample: int = 500,
-                            lengths: Sequence[float] = (0.5, 1.0, 2.0, 4.0, 8.0),
-                            by: Sequence[str] = FLIGHT, order: Sequence[str] = ORDER,
+def fit_bayesian_regression(df: DataFrame, target: str = "magnitude", cols: Sequence[str] = AXES,
+                            features: int = 100, lengths: Sequence[float] = (0.5, 1.0, 2.0, 4.0, 8.0),
                             seed: int = SEED) -> BayesianRegression:
-    """Fit on all rows: every task reduces its rows to a Gram matrix, Spark adds
-    the matrices entry by entry, and the driver solves one small system.  A
-    stratified sample of at most ``sample`` rows per flight picks the length
-    scale; flights beyond the first hundred do not enter that choice."""
+    """Fit on all rows: every task reduces its rows to a Gram matrix for each
+    length scale, Spark adds the matrices entry by entry, and the driver solves
+    small systems and keeps the length with the largest evidence."""
     rows = df.select(*cols, target).dropna()
     aggs = [f(c).alias(f"{n}_{c}") for c in (*cols, target) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]
     one = rows.agg(*aggs, F.count(F.lit(1)).alias("n")).first()
@@ -282,37 +279,37 @@ def fit_bayesian_regression(df: DataFrame, key: Sequence[str], target: str = "ma
     y_shift, y_scale = one[f"m_{target}"], one[f"s_{target}"] or 1.0
     rng = np.random.default_rng(seed)
     base, phase = rng.standard_normal((features, len(cols))), rng.uniform(0, 2 * np.pi, features)
-    few = (stratified_sample(df, key, total=sample, by=by, order=order, seed=seed)
-           .select(*cols, target).dropna().limit(100 * sample).toPandas())
-    z = (few[list(cols)].to_numpy() - shift) / scale
-    y = (few[target].to_numpy() - y_shift) / y_scale
-
-    def score(length: float) -> float:
-        phi = _expand(z, base / length, phase)
-        return _evidence(phi.T @ phi, phi.T @ y, float(y @ y), len(y))[3]
-
-    weights = base / max(lengths, key=score)
-    names, name_y = list(cols), target
+    names, name_y, scales = list(cols), target, list(lengths)
+    i, j = np.triu_indices(features)
 
     def partial(batches):
-        gram, moment, yy = np.zeros((features, features)), np.zeros(features), 0.0
+        gram, moment, yy = np.zeros((len(scales), features, features)), np.zeros((len(scales), features)), 0.0
         for pdf in batches:
-            phi = _expand((pdf[names].to_numpy() - shift) / scale, weights, phase)
+            z = (pdf[names].to_numpy() - shift) / scale
             t = (pdf[name_y].to_numpy() - y_shift) / y_scale
-            gram, moment, yy = gram + phi.T @ phi, moment + phi.T @ t, yy + float(t @ t)
-        i, j = np.triu_indices(features)
-        yield pd.DataFrame({
-            "i": np.concatenate([i, np.arange(features), [-1]]),
-            "j": np.concatenate([j, np.full(features, -1), [-1]]),
-            "v": np.concatenate([gram[i, j], moment, [yy]])})
-
-    sums = rows.mapInPandas(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    gram, moment = np.zeros((features, features)), np.zeros(features)
-    cells = sums[sums.j >= 0]
-    gram[cells.i, cells.j] = cells.v
-    gram[cells.j, cells.i] = cells.v
-    lead = sums[(sums.i >= 0) & (sums.j < 0)]
-    moment[lead.i] = lead.v
-    yy = float(sums[sums.i < 0].v.iloc[0])
-    mean, cov, noise, _ = _evidence(gram, moment, yy, int(one["n"]))
+            for n, length in enumerate(scales):
+                phi = _expand(z, base / length, phase)
+                gram[n] += phi.T @ phi
+                moment[n] += phi.T @ t
+            yy += float(t @ t)
+        for n in range(len(scales)):
+            yield pd.DataFrame({
+                "scale": n, "i": np.concatenate([i, np.arange(features), [-1]]),
+                "j": np.concatenate([j, np.full(features, -1), [-1]]),
+                "v": np.concatenate([gram[n][i, j], moment[n], [yy]])})
+
+    sums = (rows.mapInPandas(partial, "scale int, i long, j long, v double").groupBy("scale", "i", "j")
+            .agg(F.sum("v").alias("v")).toPandas())
+    best = None
+    for n, length in enumerate(scales):
+        own = sums[sums.scale == n]
+        gram, moment = np.zeros((features, features)), np.zeros(features)
+        cells, lead = own[own.j >= 0], own[(own.i >= 0) & (own.j < 0)]
+        gram[cells.i, cells.j] = cells.v
+        gram[cells.j, cells.i] = cells.v
+        moment[lead.i] = lead.v
+        found = _evidence(gram, moment, float(own[own.i < 0].v.iloc[0]), int(one["n"]))
+        if best is None or not found[3] <= best[1][3] and np.isfinite(found[3]):
+            best = base / length, found
+    weights, (mean, cov, noise, _) = best
     return BayesianRegression(tuple(cols), shift, scale, y_shift, y_scale, weights, phase, mean, cov, noise)

@@ -74,9 +74,9 @@ class Series:
     """Rows grouped by ``by`` and totally ordered by ``order`` in each group."""
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str],
-                 slice_rows: int, sliced: bool, groups: int | None):
+                 slice_rows: int, sliced: bool, groups: int | None, largest: int | None = None):
         self._df, self.by, self.order = df, list(by), list(order)
-        self.slice_rows, self.sliced, self.groups = slice_rows, sliced, groups
+        self.slice_rows, self.sliced, self.groups, self.largest = slice_rows, sliced, groups, largest
 
     @classmethod
     def of(cls, df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
@@ -84,8 +84,8 @@ class Series:
         """``numbered`` adds the row number and the group size as columns."""
         groups, largest = profile(df, by)
         if largest > slice_rows:
-            return cls(number_rows(df, by, order), by, order, slice_rows, True, groups)
-        series = cls(df, by, order, slice_rows, False, groups)
+            return cls(number_rows(df, by, order), by, order, slice_rows, True, groups, largest)
+        series = cls(df, by, order, slice_rows, False, groups, largest)
         if numbered:
             series = series.mutate(lambda d, w: d.withColumns({
                 RN: F.row_number().over(w).cast("long"),
@@ -103,7 +103,7 @@ class Series:
         return self._df
 
     def _with(self, df: DataFrame) -> Series:
-        return Series(df, self.by, self.order, self.slice_rows, self.sliced, self.groups)
+        return Series(df, self.by, self.order, self.slice_rows, self.sliced, self.groups, self.largest)
 
     def _group(self, *more: str) -> WindowSpec:
         keys = [*self.by, *more]

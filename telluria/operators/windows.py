@@ -231,15 +231,20 @@ def classic_z(s: Series, threshold: float, rows: int, min_rows: int, value: str)
     return s.mutate(score, before=rows - 1)
 
 
-def median_trend(s: Series, value: str = Y, max_window: int = 501, out: str = "trend") -> Series:
-    """Centred running median over an odd window of ``max(31, n // 10)`` rows,
-    at most ``max_window``; the end values stand in beyond the ends.  Needs a
-    numbered series."""
-    reach = (max_window - 1) // 2
+def median_trend(s: Series, value: str = Y, window: int | None = None, out: str = "trend") -> Series:
+    """Centred running median over an odd window of ``max(31, n // 10)`` rows of
+    a group of ``n``, or of ``window`` rows; the end values stand in beyond the
+    ends.  Needs a numbered series.  A window that no slice can hold is an error:
+    then choose ``window``."""
+    def half_of(n: int) -> int:
+        return (window or max(31, n // 10)) // 2
+
+    reach = half_of(s.largest or 0)
+    if 2 * reach + 1 > max(s.slice_rows, SLICE_ROWS):
+        raise ValueError(f"a window of {2 * reach + 1} rows exceeds a slice; pass window=")
 
     def trend(frame: ArrayFrame) -> dict[str, np.ndarray]:
-        size = max(31, frame.size // 10)
-        half = (min(size + 1 - size % 2, 2 * reach + 1) - 1) // 2
+        half = half_of(frame.size)
         before, own, after = frame.split(value)
         if len(before) < half:  # only at the start of the group
             first = (before if len(before) else own)[0]
@@ -254,13 +259,10 @@ def median_trend(s: Series, value: str = Y, max_window: int = 501, out: str = "t
 
 def zscore_detrended(df: DataFrame, threshold: float = params.Z_THRESHOLD, value: str = Y,
                      by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-                     max_window: int = 501, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Modified z-score of what is left after a centred running median.
-
-    The window grows with the group up to ``max_window`` rows; an uncapped one
-    would cost the square of the group size.
-    """
-    s = median_trend(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, max_window)
+                     window: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Modified z-score of what is left after a centred running median, whose
+    window is a tenth of the group or ``window`` rows."""
+    s = median_trend(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, window)
     rows = materialize(s.df.withColumn("residual", F.col(value) - F.col("trend")))
     return zscore_global(rows, threshold, "residual", by, std_fallback=True,
                          out="z_detrended", flag="is_z_detrended", slice_rows=slice_rows)

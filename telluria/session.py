@@ -79,10 +79,3 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str],
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by]
     return df.join(right, reduce(and_, same), how).drop(*[f"_r_{k}" for k in by])
 
-
-def spread(scan: DataFrame, *key: str) -> DataFrame:
-    """Hash rows over all cores when a plain scan has fewer splits than the
-    cluster has cores.  Only for scans: asking another plan for its partitions
-    would run its shuffles."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan

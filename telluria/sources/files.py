@@ -35,17 +35,19 @@ def select_inputs(files: DataFrame, min_bytes: int = 300, prefer: Sequence[str]
 
 
 def pair_companions(files: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Result captures with the raw capture of the same prefix and stamp, or
-    else the newest raw capture."""
-    # The two file name formats.
+    """Result captures with the raw capture of the same folder, prefix and
+    stamp; else the newest one of their folder above ``min_bytes`` bytes, files
+    named as the latest before others.  One row per result; NULL if its folder
+    has no raw capture."""
+    # The three file name formats.
     result, raw = r"^(.+?)_data_(\d{8}_\d{6})\.csv$", r"^(.+?)_raw_sensors_(\d{8}_\d{6})\.csv$"
+    any_raw, latest = r"_raw_sensors_.*\.csv$", r"_raw_sensors_latest\.csv$"
+    placed = files.withColumn("folder", F.regexp_replace("path", r"[^/]*$", ""))
     key = lambda p: [F.regexp_extract("name", p, 1).alias("prefix"), F.regexp_extract("name", p, 2).alias("stamp")]
-    left = files.where(F.col("name").rlike(result)).select(F.col("path").alias("result_path"), *key(result))
-    right = files.where(F.col("name").rlike(raw)).select(
-        F.col("path").alias("raw_path"), *key(raw), "length", "modified")
-    newest = right.where(F.col("length") > min_bytes).agg(
-        F.max_by("raw_path", F.struct("modified", "raw_path")).alias("_newest"))
-    exact = left.join(right.select("prefix", "stamp", "raw_path"), ["prefix", "stamp"], "left")
-    return exact.crossJoin(F.broadcast(newest)).select(
+    left = placed.where(F.col("name").rlike(result)).select(F.col("path").alias("result_path"), "folder", *key(result))
+    right = placed.where(F.col("name").rlike(raw)).select(F.col("path").alias("raw_path"), "folder", *key(raw))
+    newest = placed.where(F.col("name").rlike(any_raw) & (F.col("length") > min_bytes)).groupBy("folder").agg(
+        F.max_by("path", F.struct(F.col("name").rlike(latest), "modified", "path")).alias("_newest"))
+    return left.join(right, ["folder", "prefix", "stamp"], "left").join(newest, "folder", "left").select(
         "result_path", F.coalesce("raw_path", "_newest").alias("raw_path"),
         F.col("raw_path").isNotNull().alias("same_stamp"))

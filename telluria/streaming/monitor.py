@@ -55,14 +55,18 @@ def stream_retrain(df: DataFrame, history: Callable[[], DataFrame], save: Save,
                    rows: int = 200, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER, trees: int = 200,
                    depth: int = 20, once: bool = False) -> StreamingQuery:
     """Refit from the durable ``history`` table after every ``every`` readings
-    of the stream, counting readings rather than looking at a full buffer."""
-    seen = {"rows": 0, "fits": 0}
+    of the stream.  The count of each micro-batch is a file beside the
+    checkpoint, so a restart goes on counting and a repeated batch counts once."""
+    spark, counts = df.sparkSession, f"{checkpoint}-counts"
 
     def step(batch: DataFrame, number: int) -> None:
-        seen["rows"] += batch.count()
-        if seen["rows"] // every > seen["fits"]:
-            seen["fits"] = seen["rows"] // every
-            save(retrain_on_window(history(), rows, by, order, seen["fits"], trees, depth), number)
+        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        told = spark.read.option("basePath", counts).schema("n long, batch long").parquet(f"{counts}/batch=*")
+        row = told.where(F.col("batch") <= number).agg(
+            F.sum("n").alias("now"), F.sum(F.when(F.col("batch") < number, F.col("n"))).alias("before")).first()
+        fits = row["now"] // every
+        if fits > (row["before"] or 0) // every:
+            save(retrain_on_window(history(), rows, by, order, fits, trees, depth), number)
 
     writer = df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

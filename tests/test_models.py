@@ -60,7 +60,7 @@ def test_clusters_of_three_blobs(spark):
 
 
 def test_bayesian_regression(cube):
-    model = models.fit_bayesian_regression(cube, KEY)
+    model = models.fit_bayesian_regression(cube)
     out = models.clip_uncertainty(model.predict(cube), "magnitude", "magnitude_gpr", "sigma")
     assert A.regression_metrics(out, "magnitude", "magnitude_gpr").first()["r2"] > 0.95
     assert A.interval_coverage(out, "magnitude", "magnitude_gpr", "sigma").first()["coverage_pct"] > 80
