@@ -87,8 +87,9 @@ class Encoder:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-            for part in set(rest) - known.keys():
-                known[part] = self._ids(" " + part)
+            for part in set(rest):
+                if part not in known:
+                    known[part] = self._ids(" " + part)
             tail = b"".join(map(known.__getitem__, rest))
         return (self._ids(first) if first else b"") + tail
 
