@@ -121,6 +121,8 @@ def meet(parts: DataFrame, n: int, finish: Callable, fields: str, carried: str)
     stop) rows in order, and returns one value for each of ``fields``.
     """
     schema = f"doc_id long, {fields}, carried {carried}"
+    plain = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    names, kinds = zip(*[(f.split()[0], plain[f.split()[1]]) for f in fields.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         papers, spans = [], []
@@ -144,10 +146,9 @@ def meet(parts: DataFrame, n: int, finish: Callable, fields: str, carried: str)
                 for key, text in zip(keys, batch.column("text").cast(pa.binary()).to_pylist()):
                     i, j = place.get(key, (0, 0))
                     out.append(finish(text, both[i:j]))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *[pa.array(c) for c in columns], batch.column("carried")],
-                    names=["doc_id", *[f.split()[0] for f in fields.split(", ")], "carried"])
+                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("carried")],
+                                                 names=["doc_id", *names, "carried"])
 
     return parts.repartition(n, "slot").mapInArrow(run, schema)
 
@@ -195,6 +196,11 @@ def window_runs(place: np.ndarray, first: np.ndarray, count: np.ndarray) -> tupl
     return at[i], at[j], owner[i]
 
 
+def words_at(raw: bytes) -> np.ndarray:
+    """The 8 bytes that start at each place of a buffer, as overlapping numbers."""
+    return np.ndarray((max(0, len(raw) - 7),), "<u8", raw, strides=(1,))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
