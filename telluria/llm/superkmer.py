@@ -21,18 +21,18 @@ share costs its bucket one string a task, not one a document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from telluria.llm import spans as S
 
-CHUNK = 1 << 23  # text bytes that a task handles at once
-BUCKET = 5 << 22  # text bytes that a bucket gets, each word counted once
+CHUNK = 1 << 22  # text bytes that a task handles at once
+BUCKET = 6 << 20  # text bytes that a bucket gets, each word counted once
 BLOCK = 1 << 24
 
 
@@ -98,7 +98,8 @@ def superkmer_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], block
                 for group in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
                     i = sent[group]
                     docs_here, local = np.unique(owner[i], return_inverse=True)
-                    head = np.concatenate([[len(docs_here), len(i)], ids[docs_here], marks[docs_here], local, start[i]])
+                    head = np.concatenate([[len(docs_here), len(i)], np.diff(ids[docs_here], prepend=0), marks[docs_here],
+                                           np.diff(local, prepend=0), np.diff(start[i], prepend=0)])
                     body = b"\n".join([text[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())])
                     rows.append((buckets[to[group[0]]], 2, S.pack(head.astype(np.int64).tobytes()), S.pack(body)))
                 yield S.parcels(rows)
@@ -106,25 +107,59 @@ def superkmer_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], block
     return docs.mapInArrow(run, S.PARCEL)
 
 
-def repeated_windows(words: np.ndarray, start: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """For windows of ``k`` word numbers beginning at ``start``: is the same
-    sequence also in a window of lower rank?"""
+def window_keys(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
+    """A hash of the bytes from each start to its stop, by running sums over a
+    stretch of the text at a time; starts are in order."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    longest = stretch + int((stop - start).max(initial=0)) + 1
+    power = np.cumprod(np.full(longest, base))
+    back = np.cumprod(np.full(longest, np.uint64(pow(int(base), -1, 1 << 64))))
+    code, keys, at = mixed_bytes(), np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        begin = int(start[at])
+        upto = int(np.searchsorted(start, begin + stretch))
+        here = slice(at, upto)
+        value = code[letters[begin:int(stop[here].max())]]
+        value *= power[:len(value)]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        keys[here] = S.mix((run[stop[here] - begin] - run[start[here] - begin]) * back[start[here] - begin])
+        at = upto
+    return keys
+
+
+def mixed_bytes() -> np.ndarray:
+    return S.mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+
+
+def same_text(raw: bytes, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the ``size`` bytes at the places of ``one`` and ``two`` equal?"""
+    if int(size.min(initial=8)) < 8:
+        return np.array([raw[a:a + n] == raw[b:b + n] for a, b, n in zip(one.tolist(), two.tolist(), size.tolist())], bool)
+    at = S.words_at(raw)
+    equal = np.ones(len(one), bool)
+    for off in range(0, int(size.max(initial=0)), 8):
+        i = np.flatnonzero(size > off)
+        step = np.minimum(off, size[i] - 8)  # the last 8 bytes may overlap those before
+        equal[i] &= at[one[i] + step] == at[two[i] + step]
+    return equal
+
+
+def repeated_windows(raw: bytes, start: np.ndarray, stop: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which windows of a text are also there with a lower rank?  Equal
+    neighbours in hash order are compared byte by byte."""
     if not len(start):
         return np.zeros(0, bool)
-    value = S.mix((words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    key = np.zeros(len(start), np.uint64)
-    for j in range(k):
-        key = (key + value[start + j]) * np.uint64(0x9FB21C651E98DF25)
-    by = np.argsort(key, kind="stable")
-    s = start[by]
+    key = window_keys(np.frombuffer(raw, np.uint8), start, stop)
+    by = np.argsort(key)
     same = np.diff(key[by]) == 0
-    pairs = np.flatnonzero(same)
-    for j in range(k):
-        if not np.array_equal(words[s[pairs] + j], words[s[pairs + 1] + j]):  # two sequences with one hash
-            by = np.lexsort([words[start + j] for j in range(k - 1, -1, -1)])
-            s = start[by]
-            same = np.logical_and.reduce([words[s[1:] + j] == words[s[:-1] + j] for j in range(k)])
-            break
+    i = np.flatnonzero(same)
+    one, two = by[i], by[i + 1]
+    size = stop[one] - start[one]
+    sure = (size == stop[two] - start[two]) & same_text(raw, start[one], start[two], np.minimum(size, stop[two] - start[two]))
+    if not sure.all():  # two windows with one hash: order these by their bytes
+        texts = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        by = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
+        same = np.array([texts[x] == texts[y] for x, y in zip(by[1:], by[:-1])], bool)
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.minimum.reduceat(rank[by], first)
     out = np.zeros(len(start), bool)
@@ -135,9 +170,7 @@ def repeated_windows(words: np.ndarray, start: np.ndarray, rank: np.ndarray, k:
 def bucket_spans(parcels: DataFrame, n: int, k: int, blocks: list[int]) -> DataFrame:
     """Sort the windows of each bucket; spans of all but first occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        words, sizes, doc, mark, at = [], [], [], [], []
-        passed = []
+        bodies, doc, mark, at, passed = [], [], [], [], []
         for batch in batches:
             for slot, kind, head, body in zip(*[batch.column(c).to_pylist() for c in ("slot", "kind", "head", "body")]):
                 if kind == 1:
@@ -145,32 +178,30 @@ def bucket_spans(parcels: DataFrame, n: int, k: int, blocks: list[int]) -> DataF
                     continue
                 h = np.frombuffer(S.unpack(head), np.int64)
                 d, s = int(h[0]), int(h[1])
-                local = h[2 + 2 * d:2 + 2 * d + s]
-                doc.append(h[2:2 + d][local])
+                local = np.cumsum(h[2 + 2 * d:2 + 2 * d + s])
+                doc.append(np.cumsum(h[2:2 + d])[local])
                 mark.append(h[2 + d:2 + 2 * d][local])
-                at.append(h[2 + 2 * d + s:])
-                raw = S.unpack(body)
-                got = raw.split()
-                for w in set(got) - numbers.keys():
-                    numbers[w] = len(numbers)
-                words.append(np.fromiter(map(numbers.__getitem__, got), np.int32, len(got)))
-                letters = np.frombuffer(raw, np.uint8)
-                gaps = letters[(letters == 32) | (letters == 10)]
-                lines = np.flatnonzero(gaps == 10)
-                sizes.append(np.diff(np.concatenate([[-1], lines, [len(gaps)]])))
+                at.append(np.cumsum(h[2 + 2 * d + s:]))
+                bodies.append(S.unpack(body))
         if passed:
             yield S.parcels(passed)
-        if not words:
+        if not bodies:
             return
-        numbers.clear()
-        words, sizes, doc, mark, at = map(np.concatenate, (words, sizes, doc, mark, at))
-        begin = np.cumsum(sizes) - sizes
-        count = sizes - k + 1
-        piece = np.repeat(np.arange(len(sizes)), count)
+        raw = b"\n".join(bodies)
+        bodies.clear()
+        doc, mark, at = map(np.concatenate, (doc, mark, at))
+        letters = np.frombuffer(raw, np.uint8)
+        gaps = np.flatnonzero((letters == 32) | (letters == 10))
+        starts, stops = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
+        last = np.append(np.flatnonzero(letters[gaps] == 10), len(gaps))  # last word of each string
+        begin = np.concatenate([[0], last[:-1] + 1])
+        count = last - begin + 2 - k
+        piece = np.repeat(np.arange(len(count)), count)
         step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
         _, docrank = np.unique(doc, return_inverse=True)
         rank = (docrank[piece].astype(np.int64) << 36) | (at[piece] + step)
-        gone = repeated_windows(words, begin[piece] + step, rank, k)
+        word = begin[piece] + step
+        gone = repeated_windows(raw, starts[word], stops[word + k - 1], rank)
         i = np.flatnonzero(gone)
         if len(i):
             new = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(piece[i]) != 0)])
@@ -182,6 +213,9 @@ def bucket_spans(parcels: DataFrame, n: int, k: int, blocks: list[int]) -> DataF
     return parcels.repartition(n, "slot").mapInArrow(run, S.PARCEL)
 
 
+WORD = re.compile(rb"[^ \t-\r]+")
+
+
 def _finish(text: bytes, spans: np.ndarray):
     words = text.split()
     runs = S.covered(spans)
@@ -193,12 +227,26 @@ def _finish(text: bytes, spans: np.ndarray):
     return len(words), len(words) - len(kept), b" ".join(kept).decode(), [x for r in runs.tolist() for x in r]
 
 
+def _finish_laid_out(text: bytes, spans: np.ndarray):
+    """As above, but what is left keeps its blanks and line ends."""
+    runs = S.covered(spans).tolist()
+    places = [m.span() for m in WORD.finditer(text)] if runs else []
+    kept, last, gone = [], 0, 0
+    for a, b in runs:
+        kept.append(text[last:places[a][0]])
+        last = places[b][0] if b < len(places) else len(text)
+        gone += b - a
+    kept.append(text[last:])
+    return len(places) if runs else len(text.split()), gone, b"".join(kept).decode(), [x for r in runs for x in r]
+
+
 def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, m: int = 4,
-                            carry: tuple[str, ...] = ()) -> DataFrame:
+                            carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
     """Per document ``doc_id, n_words, n_removed, kept_text, spans, carried``.
 
-    ``kept_text`` joins the remaining words by one blank; ``spans`` lists the
-    removed word ranges as start, stop, start, stop.
+    ``kept_text`` joins the remaining words by one blank, or with ``layout``
+    keeps what stood between them; ``spans`` lists the removed word ranges as
+    start, stop, start, stop.
     """
     spark = df.sparkSession
     docs = S.keyed(df, id_col, text_col, carry)
@@ -207,5 +255,6 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     sent = superkmer_parcels(docs, k, m, buckets, blocks)
     spans = bucket_spans(sent, len(buckets), k, blocks)
     carried = docs.schema["carried"].dataType.simpleString()
-    return S.meet(S.document_parcels(docs, blocks).unionByName(spans), len(blocks), _finish,
+    return S.meet(S.document_parcels(docs, blocks).unionByName(spans), len(blocks),
+                  _finish_laid_out if layout else _finish,
                   "n_words bigint, n_removed bigint, kept_text string, spans array<bigint>", carried)
