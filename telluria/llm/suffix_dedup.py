@@ -34,20 +34,16 @@ from pyspark.sql import DataFrame
 from telluria.llm import spans as S
 
 CHUNK = 1 << 22
-BUCKET = 6 << 20
+BUCKET = 10 << 20
 BLOCK = 1 << 24
 
 
-def byte_hashes(text: np.ndarray, m: int) -> np.ndarray:
+def byte_hashes(text: bytes, m: int) -> np.ndarray:
     """A hash of each ``m`` consecutive bytes, ``m`` a multiple of 8."""
-    x = text.astype(np.uint64)
-    for have in (1, 2, 4):
-        if len(x) <= have:
-            return np.zeros(0, np.uint64)
-        x = x[:-have] | (x[have:] << np.uint64(8 * have))
     n = len(text) - m + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    x = S.words_at(text)
     total = np.zeros(n, np.uint64)
     for j in range(0, m, 8):
         total = (total + x[j:j + n]) * np.uint64(0x9FB21C651E98DF25)
@@ -55,6 +51,11 @@ def byte_hashes(text: np.ndarray, m: int) -> np.ndarray:
     return S.mix(total)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """First differences, which pack better than the numbers."""
+    return np.diff(x, prepend=0)
+
+
 def segment_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], blocks: list[int]) -> DataFrame:
     """Stretches of text around samples for the blocks of suffixes (kind 2), and
     spans removed on the spot (kind 1)."""
@@ -66,7 +67,7 @@ def segment_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], blocks:
                 size = np.fromiter(map(len, texts), np.int64, len(texts))
                 begin = np.cumsum(size) - size
                 text = b"".join(texts)
-                grams = byte_hashes(np.frombuffer(text, np.uint8), m)
+                grams = byte_hashes(text, m)
                 place = S.minimisers(grams, k - m + 1)
                 first, last, owner = S.window_runs(place, begin, np.maximum(size - k + 1, 0))
                 if not len(first):
@@ -93,8 +94,8 @@ def segment_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], blocks:
                     docs_here, local = np.unique(owner[i], return_inverse=True)
                     each, piece = np.unique(e, return_inverse=True)
                     sizes = np.array([len(docs_here), len(i), len(each)], np.int64)
-                    head = np.concatenate([sizes, ids[docs_here], marks[docs_here]]).astype(np.int64).tobytes()
-                    refs = np.concatenate([local, piece, start[i]]).astype(np.int32).tobytes()
+                    head = np.concatenate([sizes, _steps(ids[docs_here]), marks[docs_here]]).astype(np.int64).tobytes()
+                    refs = np.concatenate([_steps(local), _steps(piece), _steps(start[i])]).astype(np.int32).tobytes()
                     shape = np.concatenate([sample[each], more[each]]).astype(np.uint8).tobytes()
                     body = b"".join([text[x:y] for x, y in zip(first[each].tolist(), (last[each] + k).tolist())])
                     rows.append((buckets[to[group[0]]], 2, S.pack(head + refs + shape), S.pack(body)))
@@ -125,23 +126,40 @@ def classes(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def earlier_windows(text: np.ndarray, begin: np.ndarray, sample: np.ndarray, more: np.ndarray, ref_piece: np.ndarray,
+def _shared(text: bytes, at: np.ndarray, size: int, doc: np.ndarray) -> np.ndarray:
+    """Are the ``size`` bytes at a place also there in another document?  Hashes
+    decide: a needless yes costs a comparison, nothing else."""
+    if not len(at):
+        return np.zeros(0, bool)
+    words, key = S.words_at(text), np.zeros(len(at), np.uint64)
+    for off in (*range(0, size - 8, 8), size - 8):
+        key = (key ^ words[at + off]) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(32)
+    by = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) != 0]))
+    low, high = np.minimum.reduceat(doc[by], first), np.maximum.reduceat(doc[by], first)
+    out = np.empty(len(at), bool)
+    out[by] = np.repeat(low != high, np.diff(np.append(first, len(by))))
+    return out
+
+
+def earlier_windows(raw: bytes, begin: np.ndarray, sample: np.ndarray, more: np.ndarray, ref_piece: np.ndarray,
                     ref_doc: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows (piece, offset in the piece) that also start in a piece of an
     earlier document.  All places of a piece are in one document, ``ref_doc``."""
+    text = np.frombuffer(raw, np.uint8)
     doc = np.empty(len(begin), np.int64)
     doc[ref_piece] = ref_doc
     anchor = begin + sample
     right = more + k - sample
-    # Only samples whose bytes also come in another document can tell anything.
-    key = [np.zeros(len(begin), np.uint64) for _ in range(m // 8)]
-    for c in range(m):
-        key[c // 8] = (key[c // 8] << np.uint64(8)) | text[anchor + c]
-    by = np.lexsort(key)
-    new = np.concatenate([[True], np.logical_or.reduce([np.diff(x[by]) != 0 for x in key])])
-    first = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(doc[by], first), np.maximum.reduceat(doc[by], first)
-    live = np.sort(by[np.repeat(low != high, np.diff(np.append(first, len(by))))])
+    # A window holds at least half of its bytes on one side of the sample: only
+    # samples that share such a half with another document can tell anything.
+    half = k // 2
+    live = np.zeros(len(begin), bool)
+    for back, size, has in ((0, half, right >= half), (k - half + 1, k - half + 1 + m, sample > k - half)):
+        who = np.flatnonzero(has)
+        live[who] |= _shared(raw, anchor[who] - back, size, doc[who])
+    live = np.flatnonzero(live)
     if not len(live):
         return live, live
     anchor, left, right, doc, more = anchor[live], sample[live], right[live], doc[live], more[live]
@@ -173,8 +191,8 @@ def earlier_windows(text: np.ndarray, begin: np.ndarray, sample: np.ndarray, mor
 def block_spans(parcels: DataFrame, n: int, k: int, m: int, blocks: list[int]) -> DataFrame:
     """Sort the suffixes of one block at a time; spans of earlier text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(7)]
-        passed, have = [], 0
+        got: list[list[np.ndarray]] = [[] for _ in range(6)]
+        bodies, passed, have = [], [], 0
         for batch in batches:
             for slot, kind, head, body in zip(*[batch.column(c).to_pylist() for c in ("slot", "kind", "head", "body")]):
                 if kind == 1:
@@ -183,19 +201,22 @@ def block_spans(parcels: DataFrame, n: int, k: int, m: int, blocks: list[int]) -
                 raw = S.unpack(head)
                 d, r, e = np.frombuffer(raw, np.int64, 3).tolist()
                 ids = np.frombuffer(raw, np.int64, 2 * d, 24)
-                refs = np.frombuffer(raw, np.int32, 3 * r, 24 + 16 * d).astype(np.int64)
+                refs = np.cumsum(np.frombuffer(raw, np.int32, 3 * r, 24 + 16 * d).reshape(3, r).astype(np.int64), axis=1)
                 shape = np.frombuffer(raw, np.uint8, 2 * e, 24 + 16 * d + 12 * r).astype(np.int64)
-                local = refs[:r]
-                for box, x in zip(got, (ids[:d][local], ids[d:][local], refs[r:2 * r] + have, refs[2 * r:],
-                                        shape[:e], shape[e:], np.frombuffer(S.unpack(body), np.uint8))):
+                local = refs[0]
+                for box, x in zip(got, (np.cumsum(ids[:d])[local], ids[d:][local], refs[1] + have, refs[2],
+                                        shape[:e], shape[e:])):
                     box.append(x)
+                bodies.append(S.unpack(body))
                 have += e
         if passed:
             yield S.parcels(passed)
         if not have:
             return
-        doc, mark, piece, at, sample, more, text = map(np.concatenate, got)
+        doc, mark, piece, at, sample, more = map(np.concatenate, got)
+        text = b"".join(bodies)
         got.clear()
+        bodies.clear()
         size = more + k
         begin = np.cumsum(size) - size
         _, rank = np.unique(doc, return_inverse=True)
@@ -227,7 +248,7 @@ def _finish(text: bytes, spans: np.ndarray):
     return len(text), len(text) - len(left), len(runs), left, [x for r in runs for x in r]
 
 
-def remove_earlier_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, m: int = 16,
+def remove_earlier_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, m: int = 8,
                         carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept, spans, carried``.
 
