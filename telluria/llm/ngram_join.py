@@ -13,10 +13,12 @@ sets are collapsed first.  The join then runs on regions around pivots:
 2. Inside a region the set with the fewest rarer shingles is the pivot, and all
    sets are compared with it.  Regions whose sets already are in one component
    are done: near copies of one text need no more than a star.
-3. What is open is cut into rings of width ``1 - t`` by distance from the pivot.
-   Linked sets lie in the same or in neighbouring rings, so each is replicated
-   into the next ring, and each ring is a region again: small ones are compared
-   pair by pair between components, larger ones get a pivot of their own.
+3. Large regions that are open are cut into rings of width ``1 - t`` by distance
+   from the pivot.  Linked sets lie in the same or in neighbouring rings, so each
+   is replicated into the next ring, and each ring is a region again.
+4. In what is open then, sets of different components are compared if they can
+   overlap enough; one of the two is outside the region's commonest component.
+   Both are dealt into blocks of bounded size, and a task joins two blocks.
 
 No link between components is lost, and none is asked for inside one.  Distances
 are exact: whole sets are compared, shingles by 64-bit hashes.
@@ -46,7 +48,7 @@ from telluria.session import materialize
 CHUNK = 1 << 22
 COUNTERS = 20  # bits of a shingle that choose its counter
 FEW = 4  # sets of a region that are compared pair by pair at once
-SMALL = 32  # sets of a ring that are compared pair by pair
+SMALL = 256  # sets of a block; larger open regions are cut into rings
 ENTRIES = 1 << 19  # entries that one task of regions should get
 Threshold = tuple[int, int]  # similarity as a fraction
 
@@ -276,56 +278,70 @@ def _named(df: DataFrame, one: str, two: str, n_one: str, n_two: str) -> DataFra
 
 
 def _open_regions(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of regions with sets of several components, with ``root`` and ``size``."""
-    rooted = (members.join(roots.withColumnRenamed("node", "a"), "a", "left")
-              .withColumn("root", F.coalesce("root", "a")))
-    several = (rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                            F.count(F.lit(1)).alias("size")).where("lo <> hi").select("region", "size"))
-    return materialize(rooted.join(several, "region"))
+    """Members of regions with sets of several components: ``root``, ``size`` of
+    the region, its commonest root ``main`` and how many are not of it."""
+    rooted = materialize(members.join(roots.withColumnRenamed("node", "a"), "a", "left")
+                         .withColumn("root", F.coalesce("root", "a")))
+    return _several(rooted)
 
 
-def find_links(members: DataFrame, compared: DataFrame, sets: DataFrame, t: Threshold) -> tuple[DataFrame, int]:
-    """Links that join all components, from the compared pairs and the open
-    regions ``region, a, na, place, b, nb``; and the number of rounds."""
+def _several(rooted: DataFrame) -> DataFrame:
+    several = (rooted.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("region").agg(F.sum("n").alias("size"), F.max("n").alias("most"),
+                                      F.max_by("root", F.struct("n", "root")).alias("main"))
+               .where("size > most").select("region", "size", "main", (F.col("size") - F.col("most")).alias("rest")))
+    return rooted.join(several, "region")
+
+
+def rings(large: DataFrame, compared: DataFrame, t: Threshold) -> DataFrame:
+    """Cut open regions into rings around their pivots, each set in its own ring
+    and in the next one: linked sets are in equal or neighbouring rings."""
     num, den = t
-    rounds = 0
+    far = compared.select("a", "b", "met")
+    both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "met"))
+    union = F.col("na") + F.col("nb") - F.col("met")
+    ring = F.floor((union - F.col("met")) * den / (union * (den - num))).cast("long")
+    each = (large.where("a <> b").join(both, ["a", "b"])
+            .select("a", "na", "place", "root", "b", "region", F.explode(F.array(ring, ring + 1)).alias("ring"))
+            .select("a", "na", "place", "root", F.xxhash64("region", "b", "ring").alias("region")))
+    return _several(each)
+
+
+def pairs_between(still: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of sets of different components in one region that may overlap enough.
+
+    One of each pair is not of the region's commonest component.  Those, and all
+    members, are dealt into blocks of about ``SMALL``; a task joins two blocks.
+    """
+    num, den = t
+    wide = F.ceil(F.col("size") / SMALL).cast("int")
+    narrow = F.ceil(F.col("rest") / SMALL).cast("int")
+    own = F.abs(F.hash("a"))
+    every = (still.withColumn("i", own % wide).withColumn("j", F.explode(F.sequence(F.lit(0), narrow - 1)))
+             .select("region", "i", "j", "a", "na", "root", "place"))
+    rest = (still.where("root <> main").withColumn("j", own % narrow)
+            .withColumn("i", F.explode(F.sequence(F.lit(0), wide - 1)))
+            .select("region", "i", "j", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("root").alias("other"),
+                    F.col("place").alias("over")))
+    room = F.least(F.col("na") - F.col("place"), F.col("nb") - F.col("over"))
+    found = every.join(rest, ["region", "i", "j"]).where(
+        (F.col("root") != F.col("other")) & ((den + num) * room >= num * (F.col("na") + F.col("nb"))))
+    return _named(found, "a", "b", "na", "nb")
+
+
+def find_components(members: DataFrame, compared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """``node, root``, from the compared pairs and the members of regions
+    ``region, a, na, place`` with their pivots ``b, nb``."""
     links = compared.where(linked(t))
     roots = components(links)
-    while True:
-        still = _open_regions(members, roots)
-        if still.isEmpty():
-            return links, rounds
-        rounds += 1
-        # Rings around the pivot: equal or neighbouring for linked sets.
-        far = compared.select("a", "b", "met")
-        both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "met"))
-        union = F.col("na") + F.col("nb") - F.col("met")
-        ring = F.floor((union - F.col("met")) * den / (union * (den - num)))
-        rings = (still.where("a <> b").join(both, ["a", "b"]).withColumn("ring", ring.cast("long"))
-                 .select("a", "na", "place", "root", "b", "region",
-                         F.explode(F.array(F.struct(F.col("ring").alias("at"), F.lit(True).alias("home")),
-                                           F.struct((F.col("ring") + 1).alias("at"), F.lit(False).alias("home")))).alias("r"))
-                 .select("a", "na", "place", "root", F.xxhash64("region", "b", "r.at").alias("region"), "r.home"))
-        several = (rings.groupBy("region").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("home"),
-            F.count(F.lit(1)).alias("size"), F.min(F.struct("place", "a", "na")).alias("pivot"))
-            .where("lo <> hi and home").select("region", "size", "pivot"))
-        rings = materialize(rings.join(several, "region"))
-        small = rings.where(F.col("size") <= SMALL)
-        other = small.select("region", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("root").alias("other"),
-                             F.col("place").alias("over"))
-        room = F.least(F.col("na") - F.col("place"), F.col("nb") - F.col("over"))
-        near = (small.join(other, "region").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")))
-                .where((den + num) * room >= num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
-        large = rings.where(F.col("size") > SMALL).select(
-            "region", "a", "na", "place", F.col("pivot.a").alias("b"), F.col("pivot.na").alias("nb"))
-        pairs = (near.unionByName(_named(large.where("a <> b"), "a", "b", "na", "nb")).distinct()
-                 .join(far, ["a", "b"], "left_anti"))
-        more = compare(pairs, sets)
-        links = links.unionByName(more.where(linked(t)))
-        compared = materialize(compared.unionByName(more))
-        roots = components(links)
-        members = large
+    still = materialize(_open_regions(members, roots))
+    if still.isEmpty():
+        return roots
+    kept = ("region", "a", "na", "place", "root", "size", "main", "rest")
+    parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(
+        rings(still.where(F.col("size") > SMALL).drop("size", "main", "rest"), compared, t).select(*kept))
+    pairs = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    return components(links.unionByName(compare(pairs, sets).where(linked(t))))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
@@ -347,8 +363,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(names.join(ends, "node", "left_semi").select("order_id", "node"))
     sets = sets_of(docs, wanted, k)
-    links, _ = find_links(entries.where("region is not null"), compare(pairs, sets), sets, t)
-    roots = components(links)
+    roots = find_components(entries.where("region is not null"), compare(pairs, sets), sets, t)
     labelled = names.select("node", "order_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("order_id").alias("component"))
     final = labelled.join(least, "root").select("node", "component")
