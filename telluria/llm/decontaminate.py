@@ -102,7 +102,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, slop: int) -> DataFram
     place, and all its words stand within a window of it, in any order."""
     t = _small(terms)
     rare = (index.where("key is not null").join(t, "key").where("rank = 1")
-            .withColumn("start", F.col("at") - F.col("offset")))
+            .select("row_no", "phrase", "need", "around", (F.col("at") - F.col("offset")).alias("start")))
     # Shift each list by its offset; bins of slop + 1 starts, met in the same or the next one.
     other = (index.where("key is not null").join(t, "key").where("rank > 1")
              .select("row_no", "phrase", "rank", (F.col("at") - F.col("offset")).alias("there"))
