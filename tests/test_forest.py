@@ -8,14 +8,14 @@ from telluria.operators import anomaly, forest
 def planted(spark, n=1500):
     """Three sensors with noise and rare jumps on x; ``planted`` marks them."""
     rng = np.random.default_rng(42)
-    base = [(20000, -5000, 45000), (19500, -4800, 44500), (20200, -5200, 45500)]
+    base = [(8100, 2300, -5200), (7900, 2500, -5100), (8300, 2100, -5400)]
     rows = []
     for i in range(n):
         s = i % 3
-        v = np.array(base[s]) + rng.normal(0, 50, 3)
+        v = np.array(base[s]) + rng.normal(0, 30, 3)
         jump = i > 200 and rng.random() < 0.01
         if jump:
-            v[0] += rng.choice([-1, 1]) * rng.uniform(800, 2000)
+            v[0] += rng.choice([-1, 1]) * rng.uniform(700, 1600)
         rows.append(("f", s, i, i * 0.0074, *map(float, v), float(np.sqrt((v ** 2).sum())), bool(jump)))
     return spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, "
                                        "bx double, by double, bz double, magnitude double, planted boolean")

@@ -91,7 +91,15 @@ def test_spline_is_exact_for_cubics_and_for_slices(spark):
     rows = [("f", 0, i, float(i), float(np.sin(i / 3)), float(i % 5), 1.0) for i in range(700)]
     rows += [("f", 0, 900 + i, 900.0 + i, 1.0 * i, 2.0, 3.0) for i in range(3)]
     df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, bx double, by double, bz double")
-    whole = interpolation.densify_segments(df, max_points=100_000).orderBy("time").toPandas()
-    cut = interpolation.densify_segments(df, max_points=100_000, slice_knots=200).orderBy("time").toPandas()
+    whole = interpolation.densify_segments(df).orderBy("time").toPandas()
+    cut = interpolation.densify_segments(df, slice_knots=200).orderBy("time").toPandas()
     assert len(whole) == len(cut) == 3503 and np.allclose(whole.time, cut.time)
     assert np.allclose(whole[["bx", "by", "bz"]], cut[["bx", "by", "bz"]], atol=1e-9)
+
+
+def test_more_segments_than_points(spark):
+    rows = [("f", 0, 10 * k + i, 100.0 * k + i, float(i), 1.0, 1.0) for k in range(10) for i in range(5)]
+    df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, bx double, by double, bz double")
+    for densify in (interpolation.densify_linear, interpolation.densify_segments):
+        assert densify(df).count() == 250
+        assert densify(df, max_points=8).count() == densify(df, max_points=10).count() == 20

@@ -82,3 +82,27 @@ def test_windows_stay_inside_segments(spark):
                                "flight_id string, sensor_id int, reading_number long, mission_time_s double, bx double, by double, bz double, magnitude double")
     got = table_of(W.make_windows(df, window=3), "mag_0", "mag_2", "target")
     assert got == [(0.0, 2.0, 3.0), (4.0, 6.0, 7.0), (5.0, 7.0, 8.0)]
+
+
+def test_detrending_window_grows_with_the_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = np.cumsum(rng.normal(0, 1, 6000)) + rng.normal(0, 1, 6000)
+    df = spark.createDataFrame(pd.DataFrame({"flight_id": "f", "sensor_id": 0, K: range(6000), "mission_time_s": np.arange(6000.0),
+                                             "magnitude": y}))
+    got = W.zscore_detrended(df).orderBy(K).toPandas().trend.to_numpy()
+    line = np.concatenate([np.full(300, y[0]), y, np.full(300, y[-1])])
+    want = [np.median(line[i:i + 601]) for i in range(6000)]
+    assert np.allclose(got, want)
+    with pytest.raises(ValueError):
+        W.median_trend(Series(df, ["sensor_id"], [K], 1000, False, 1, 10**8))
+
+
+def test_sensors_are_counted_exactly(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.lit("f").alias("flight_id"), F.col("id").alias("sensor_id"),
+                                    F.timestamp_seconds(F.lit(3)).alias("event_ts"))
+    row = A.throughput_report(df, 5, flag=None).first()
+    assert row.n_sensors == 20_000

@@ -12,12 +12,12 @@ def test_frames(spark):
 
 
 def test_legacy_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("-118,|0|:,Magneto #1,X:,-1829,Y:,1788,Z:,-737,( Wed Jun 18 16:20:22 2025 )\n"
+    (tmp_path / "a.csv").write_text("-44,|0|:,Magneto #1,X:,612,Y:,-95,Z:,301,( Mon Jul 14 08:15:30 2025 )\n"
                                     "-117,|1|:,Pressure,X:,1,Y:,2,Z:,3\n-116,|2|:,Magneto #2,X:,oops,Y:,2,Z:,3\n"
                                     "-115,|3|:,Magneto #3,X:,2,Y:,3,Z:,6\n")
     (tmp_path / "b.csv").write_text("Time,Sensor,X,Y,Z\n1,0,2,3,6\n")
     got = table_of(csv.read_legacy_csv(spark, str(tmp_path / "a.csv")), "Time", "Sensor", "X", "Magnitude")
-    assert [g[:3] for g in got] == [(-115, 2, 2), (-118, 0, -1829)] and got[0][3] == 7.0
+    assert [g[:3] for g in got] == [(-115, 2, 2), (-44, 0, 612)] and got[0][3] == 7.0
     kinds = {r.path.rsplit("/", 1)[1]: r.format for r in csv.detect_format(spark, str(tmp_path)).collect()}
     assert kinds == {"a.csv": "legacy", "b.csv": "timeline"}
 
@@ -44,15 +44,28 @@ def test_merge_sessions(spark):
 
 
 def test_file_choice(spark, tmp_path):
-    for name, size in (("flight_data_20260301_120000.csv", 400), ("flight_data_20260301_120024.csv", 10),
-                       ("sim_data_20260301_120000.csv", 999), ("flight_raw_sensors_20260301_120000.csv", 200)):
+    for name, size in (("flight_data_20250714_081530.csv", 400), ("flight_data_20250714_081600.csv", 10),
+                       ("sim_data_20250714_081530.csv", 999), ("flight_raw_sensors_20250714_081530.csv", 200)):
         (tmp_path / name).write_text("x" * size)
     listing = files.list_files(spark, str(tmp_path))
     chosen = [r.name for r in files.select_inputs(listing).orderBy("choice").collect()]
-    assert chosen == ["flight_data_20260301_120000.csv"]
+    assert chosen == ["flight_data_20250714_081530.csv"]
     pairs = {r.result_path.rsplit("/", 1)[1]: r.same_stamp for r in files.pair_companions(listing).collect()}
-    assert pairs == {"flight_data_20260301_120000.csv": True, "flight_data_20260301_120024.csv": False,
-                     "sim_data_20260301_120000.csv": False}
+    assert pairs == {"flight_data_20250714_081530.csv": True, "flight_data_20250714_081600.csv": False,
+                     "sim_data_20250714_081530.csv": False}
+
+
+def test_companions_stay_in_their_folder(spark):
+    rows = [("/a/x_data_20250714_081530.csv", 500, 1), ("/b/x_raw_sensors_20250714_081530.csv", 500, 9),
+            ("/a/y_raw_sensors_20250714_080000.csv", 500, 2), ("/a/y_raw_sensors_latest.csv", 500, 1),
+            ("/a/y_raw_sensors_20250714_090000.csv", 50, 7), ("/b/x_data_20250714_081530.csv", 500, 1),
+            ("/c/x_data_20250714_081530.csv", 500, 1), ("/d/x_data_20250714_081531.csv", 500, 1),
+            ("/d/z_raw_sensors_20250714_081530.csv", 500, 1), ("/d/z_raw_sensors_20250714_081532.csv", 500, 3)]
+    df = spark.createDataFrame([(p, p.rsplit("/", 1)[1], n, m) for p, n, m in rows],
+                               "path string, name string, length long, modified long")
+    got = {r.result_path[1]: (r.raw_path and r.raw_path[1:], r.same_stamp) for r in files.pair_companions(df).collect()}
+    assert got == {"a": ("a/y_raw_sensors_latest.csv", False), "b": ("b/x_raw_sensors_20250714_081530.csv", True),
+                   "c": (None, False), "d": ("d/z_raw_sensors_20250714_081532.csv", False)}
 
 
 def test_time_texts(spark):

@@ -72,3 +72,14 @@ def test_retrain_counts_readings(stream, readings, tmp_path):
                                    every=100, trees=2, depth=2, once=True)
     query.awaitTermination()
     assert fits and all(m["forest"] is not None for m in fits)
+
+
+def test_retrain_goes_on_counting_after_a_restart(spark, readings, tmp_path):
+    rows = readings.orderBy("mission_time_s").toPandas()
+    fits = []
+    for part in range(2):  # 70 readings each: only both together are enough
+        spark.createDataFrame(rows.iloc[70 * part:70 * part + 70], READINGS).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        stream = spark.readStream.schema(READINGS).parquet(f"{tmp_path}/in/*")
+        monitor.stream_retrain(stream, lambda: readings, lambda m, n: fits.append((part, n)), str(tmp_path / "cp"), every=100,
+                               trees=2, depth=2, once=True).awaitTermination()
+    assert fits == [(1, 1)]
