@@ -10,8 +10,9 @@ keys with their log-probabilities, searched by bisection.
 
 A document's log-perplexity is its mean negative log-probability a character.
 Each language has a lower and an upper limit: median minus and plus ``spread``
-times the median absolute deviation of its documents that pass the other rules.
-Repeated boilerplate is too predictable, garbled text too surprising.
+times the median absolute deviation of its documents that pass the other rules,
+but never closer than ``least_width`` of the median, for languages of few
+documents.  Repeated boilerplate is too predictable, garbled text too surprising.
 
 * Null text has no words; documents without characters have no perplexity and
   are not judged by it (they fail for their length).  Null languages are one of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from telluria.llm import spans as S
 from telluria.llm.superkmer import WordHashes, gram_hashes
-from telluria.session import materialize
+from telluria.session import attach, materialize
 
 BITS = 6  # of a folded character
 CHUNK = 1 << 22
@@ -258,7 +259,7 @@ def score_by_join(docs: DataFrame, order: int, p: DataFrame) -> DataFrame:
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5,
-            spread: float = 10.0, least_words: int = 50, most_repeats: int = 50,
+            spread: float = 10.0, least_width: float = 0.1, least_words: int = 50, most_repeats: int = 50,
             model_bytes: int = MODEL_BYTES) -> DataFrame:
     """Per row ``doc_id, lang``, the counts, ``log_perplexity, lower, upper,
     base_failed, kept``.  ``most_repeats`` is a percentage of the words."""
@@ -279,11 +280,13 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "log_perplexity", F.when(F.col("n_grams") > 0, -F.col("log_sum") / F.col("n_grams")))
     sound = scored.where(~F.col("base_failed"))
     middle = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
-    off = (sound.join(middle, "lang").groupBy("lang", "middle")
+    middle = materialize(middle)
+    languages = middle.count()
+    off = (attach(sound, middle, ["lang"], groups=languages, how="inner").groupBy("lang", "middle")
            .agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000).alias("off")))
-    bands = off.select("lang", (F.col("middle") - spread * F.col("off")).alias("lower"),
-                       (F.col("middle") + spread * F.col("off")).alias("upper"))
+    width = F.greatest(spread * F.col("off"), least_width * F.col("middle"))
+    bands = off.select("lang", (F.col("middle") - width).alias("lower"), (F.col("middle") + width).alias("upper"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return scored.join(bands, "lang", "left").select(
+    return attach(scored, bands, ["lang"], groups=languages).select(
         "doc_id", "lang", *NAMES, "log_perplexity", "lower", "upper", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"))
