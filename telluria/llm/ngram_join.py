@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from telluria.llm import spans as S
 from telluria.llm.components import components
 from telluria.llm.superkmer import WordHashes, gram_hashes
-from telluria.session import materialize
+from telluria.session import BROADCAST_ROWS, materialize
 
 CHUNK = 1 << 22
 COUNTERS = 20  # bits of a shingle that choose its counter
@@ -241,23 +241,29 @@ def meet_in_regions(parcels: DataFrame, n: int, t: Threshold) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, shingles`` of the wanted representatives ``doc_id, node``."""
+    """``node, shingles``: the sets of the documents ``order_id`` of ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part, texts in _parts(batches):
-            sets = shingle_sets(texts, k, hashes)
+        for _, texts in _parts(batches):
+            sets = [s for s in shingle_sets(texts, k, hashes) if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("order_id"), pa.array([name_of(s) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["order_id", "node", "shingles"])
+                [pa.array([name_of(s) for s in sets], pa.binary()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    some = docs.join(wanted.select("order_id").distinct(), "order_id", "left_semi").select("order_id", "text")
-    every = some.mapInArrow(run, "order_id long, node binary, shingles array<bigint>")
-    return materialize(every.join(wanted, ["order_id", "node"], "left_semi")
-                       .groupBy("node").agg(F.first("shingles").alias("shingles")))
+    few = wanted.select("order_id").distinct()
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    some = docs.join(few, "order_id", "left_semi").select("text")
+    return some.mapInArrow(run, "node binary, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, na, nb, met``: how many shingles the sets of each pair share."""
+def compare(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """``a, b, na, nb, met``: how many shingles the sets of each pair share.
+    ``names`` has a document for each set; its text gives the set again, which
+    takes less room than keeping all sets."""
+    pairs = materialize(pairs)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(docs, materialize(names.join(ends, "node", "left_semi").select("order_id")), k)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return materialize(pairs.join(left, "a").join(right, "b").select(
@@ -329,9 +335,11 @@ def pairs_between(still: DataFrame, t: Threshold) -> DataFrame:
     return _named(found, "a", "b", "na", "nb")
 
 
-def find_components(members: DataFrame, compared: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """``node, root``, from the compared pairs and the members of regions
+def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int,
+                    t: Threshold) -> DataFrame:
+    """``node, root``, from the pairs to compare first and the members of regions
     ``region, a, na, place`` with their pivots ``b, nb``."""
+    compared = compare(pairs, docs, names, k)
     links = compared.where(linked(t))
     roots = components(links)
     still = materialize(_open_regions(members, roots))
@@ -340,8 +348,8 @@ def find_components(members: DataFrame, compared: DataFrame, sets: DataFrame, t:
     kept = ("region", "a", "na", "place", "root", "size", "main", "rest")
     parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(
         rings(still.where(F.col("size") > SMALL).drop("size", "main", "rest"), compared, t).select(*kept))
-    pairs = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return components(links.unionByName(compare(pairs, sets).where(linked(t))))
+    more = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    return components(links.unionByName(compare(more, docs, names, k).where(linked(t))))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
@@ -360,10 +368,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slots = S.slots(spark, total * (t[1] - t[0]) // t[1] // ENTRIES + 1)
     entries = materialize(meet_in_regions(window_parcels(docs.select("text"), k, t, rarity, slots), len(slots), t))
     pairs = entries.where("region is null").select("a", "b", "na", "nb").distinct()
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(names.join(ends, "node", "left_semi").select("order_id", "node"))
-    sets = sets_of(docs, wanted, k)
-    roots = find_components(entries.where("region is not null"), compare(pairs, sets), sets, t)
+    roots = find_components(entries.where("region is not null"), pairs, docs, names, k, t)
     labelled = names.select("node", "order_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("order_id").alias("component"))
     final = labelled.join(least, "root").select("node", "component")
