@@ -60,11 +60,10 @@ def _(s, d):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("line").endswith("noise")).alias("n_noise"))
 
 
-@query("read_log_lines", sql(LOG, select="SELECT count(*) AS n, count(*) AS n_lines FROM lg WHERE NOT (m = 5 AND u % 7 = 0)"))
+@query("read_log_lines", sql(LOG, select="SELECT count(*) AS n, count(*) AS n_lines FROM lg"))
 def _(s, d):
     path = scratch_path(s, "log")
-    lines = log_lines(s, d).where(~F.col("line").endswith("noise"))
-    sinks.write_log(lines, path, ["path", "line_no"])
+    sinks.write_log(log_lines(s, d), path, ["path", "line_no"])
     back = logs.read_log_lines(s, path)
     return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path", "line_no").alias("n_lines"))
 
@@ -328,6 +327,15 @@ def _(s, d):
     return files.pair_companions(_named_files(s, d))
 
 
+@query("list_files", sql(select="SELECT sensor_id, 1::BIGINT AS n_files, true AS filled FROM readings GROUP BY sensor_id"))
+def _(s, d):
+    path = scratch_path(s, "listed")
+    r(s, d).select("sensor_id", "bx").repartition("sensor_id").write.partitionBy("sensor_id").csv(path)
+    found = files.list_files(s, path).where(F.col("name").startswith("part-"))
+    sensor = F.regexp_extract("path", r"sensor_id=(\d+)/", 1).cast("int").alias("sensor_id")
+    return found.groupBy(sensor).agg(F.count(F.lit(1)).alias("n_files"), (F.min("length") > 0).alias("filled"))
+
+
 # Sinks
 
 @query("write_readings", sql(DET, select="""SELECT round(epoch_us(event_ts) / 1e6, 6) AS timestamp_unix, round(mission_time_s::DECIMAL(18, 6), 4)::DOUBLE AS mission_time_s,
