@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import words
+from llm.conftest import words
 
 from telluria.llm import ngram_join as J
 

@@ -141,7 +141,7 @@ def test_no_pages(spark, tmp_path):
 
 def test_pipeline(spark, docs, corpus, tmp_path):
     import corpus_pipeline as P
-    from test_spans import word_rule
+    from llm.test_spans import word_rule
 
     from telluria.llm.ngram_join import jaccard_components
     from telluria.llm.quality import quality
