@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from telluria.llm import spans as S
 
-CHUNK = 1 << 22
+CHUNK = 3 << 20
 BUCKET = 10 << 20
 BLOCK = 1 << 24
 
