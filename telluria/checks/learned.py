@@ -81,7 +81,10 @@ def _(s, d):
     return models.feature_importance(s, _forest(s, d))
 
 
-@query("split_random")
+DRAWN = "('0x' || substr(md5(reading_number || '|42'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query("split_random", sql(select=f"SELECT reading_number, {DRAWN} >= 0.2 AS is_train FROM readings"))
 def _(s, d):
     return models.split_random(r(s, d), KEY).select("reading_number", "is_train")
 
@@ -146,7 +149,10 @@ def _(s, d):
     return rounded(out.select("reading_number", "abs_error", "error_threshold", "is_error_anomaly"))
 
 
-@query("stratified_sample")
+@query("stratified_sample", sql("""n AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY mission_time_s, reading_number) AS rn,
+  count(*) OVER (PARTITION BY flight_id) AS n FROM readings),
+c AS (SELECT *, ((rn - 1) * 20) // n AS chunk FROM n)""", select=f"""SELECT reading_number, chunk FROM c
+  QUALIFY row_number() OVER (PARTITION BY flight_id, chunk ORDER BY {DRAWN}, reading_number) <= 25"""))
 def _(s, d):
     return models.stratified_sample(r(s, d), KEY).select("reading_number", "chunk")
 

@@ -32,11 +32,18 @@ def unit_hash(*keys: str | Column, seed: int = SEED) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def drawn(*keys: str, seed: int = SEED) -> Column:
+    """Number in [0, 1) from the digest of the keys as text, which any engine can
+    repeat; dearer than ``unit_hash``."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 # Splits and samples
 
 def split_random(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = SEED) -> DataFrame:
     """Seeded holdout as ``is_train``."""
-    return df.withColumn("is_train", unit_hash(*key, seed=seed) >= test)
+    return df.withColumn("is_train", drawn(*key, seed=seed) >= test)
 
 
 def split_temporal(df: DataFrame, at: float | None = None, fraction: float = 0.7,
@@ -57,7 +64,7 @@ def stratified_sample(df: DataFrame, key: Sequence[str], chunks: int = 20, total
     """Equal random shares of ``chunks`` stretches of time."""
     s = Series.of(df, by, order, numbered=True, slice_rows=slice_rows)
     tiled = s.rows.withColumn("chunk", F.floor((F.col(RN) - 1) * chunks / F.col(SIZE))).drop(RN, SIZE)
-    pick = Window.partitionBy(*by, "chunk").orderBy(unit_hash(*key, seed=seed), *key)
+    pick = Window.partitionBy(*by, "chunk").orderBy(drawn(*key, seed=seed), *key)
     return tiled.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= total // chunks).drop("_k")
 
 
