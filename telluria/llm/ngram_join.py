@@ -9,7 +9,7 @@ sets are collapsed first.  The join then runs on regions around pivots:
    replicated into the regions of its first ``n - ceil(t n) + 1`` shingles.  Two
    linked sets share a region: they would differ by too much otherwise.  The same
    inequality, applied to the shingles in front of the shared one, drops pairs
-   that cannot overlap enough from there on.
+   that cannot overlap enough from there on, and pairs that share too few regions.
 2. Inside a region the set with the fewest rarer shingles is the pivot, and all
    sets are compared with it.  Regions whose sets already are in one component
    are done: near copies of one text need no more than a star.
@@ -159,7 +159,7 @@ def window_parcels(docs: DataFrame, k: int, t: Threshold, rarity, slots: list[in
     return docs.mapInArrow(run, S.PARCEL)
 
 
-ENTRY = "region long, a binary, b binary, na long, nb long, place long"
+ENTRY = "region long, a binary, b binary, na long, nb long, place long, near long"
 
 
 def overlap_possible(na, nb, pa_, pb, t: Threshold):
@@ -170,8 +170,9 @@ def overlap_possible(na, nb, pa_, pb, t: Threshold):
 
 
 def meet_in_regions(parcels: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """Pairs to compare (``region`` null), and the members of regions that need
-    more than that: ``a`` the member, ``b`` the region's pivot."""
+    """Pairs to compare (``region`` null; ``place`` is how often they met in
+    regions of few sets), and the members of regions that need more than that:
+    ``a`` the member, ``b`` the region's pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(5)]
         for batch in batches:
@@ -215,7 +216,6 @@ def meet_in_regions(parcels: DataFrame, n: int, t: Threshold) -> DataFrame:
             pairs_b.append(i[ok])
         a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
         ok = overlap_possible(size[a], size[b], place[a], place[b], t)
-        a, b = a[ok], b[ok]
         star = np.flatnonzero(~few & (np.arange(len(region)) != lead))
         names = np.ascontiguousarray(np.stack([x, y], axis=1))
         text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(names)]).cast(pa.binary())
@@ -224,22 +224,48 @@ def meet_in_regions(parcels: DataFrame, n: int, t: Threshold) -> DataFrame:
         # A pair is named in one order, wherever it is met.
         swap = (x[flip] > x[over]) | ((x[flip] == x[over]) & (y[flip] > y[over]))
         lo, hi = np.where(swap, over, flip), np.where(swap, flip, over)
+        times = np.repeat([1, 0], [len(a), len(star)])  # meetings in regions all of whose pairs are named
+        near = np.concatenate([ok, np.ones(len(star), bool)])  # at their first meeting, linked sets are
         if len(lo):
-            ends = np.unique(np.stack([x[lo], y[lo], x[hi], y[hi]], axis=1), axis=0, return_index=True)[1]
+            _, ends, same = np.unique(np.stack([x[lo], y[lo], x[hi], y[hi]], axis=1), axis=0, return_index=True,
+                                      return_inverse=True)
+            times, near = (np.bincount(same.ravel(), weights=v).astype(np.int64) for v in (times, near))
             lo, hi = lo[ends], hi[ends]
         member = np.flatnonzero(~few)
         nulls = pa.nulls(len(lo), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [nulls, text.take(pa.array(lo)), text.take(pa.array(hi)), pa.array(size[lo]), pa.array(size[hi]), nulls],
-            names=["region", "a", "b", "na", "nb", "place"])
+            [nulls, text.take(pa.array(lo)), text.take(pa.array(hi)), pa.array(size[lo]), pa.array(size[hi]),
+             pa.array(times, pa.int64()), pa.array(near.astype(np.int64))],
+            names=["region", "a", "b", "na", "nb", "place", "near"])
         yield pa.RecordBatch.from_arrays(
             [pa.array(region[member].view(np.int64)), text.take(pa.array(member)), text.take(pa.array(lead[member])),
-             pa.array(size[member]), pa.array(size[lead[member]]), pa.array(place[member])],
-            names=["region", "a", "b", "na", "nb", "place"])
+             pa.array(size[member]), pa.array(size[lead[member]]), pa.array(place[member]),
+             pa.nulls(len(member), pa.int64())], names=["region", "a", "b", "na", "nb", "place", "near"])
 
     return parcels.repartition(n, "slot").mapInArrow(run, ENTRY)
 
 
+def pairs_to_compare(entries: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs that may have met often enough.
+
+    Linked sets share so many shingles that the first of them, in order, lie in
+    the windows of both: the least overlap, less the larger of ``ceil(t n)``, plus
+    1.  Regions of few sets name all their pairs; in larger ones a pair can have
+    met as often as the set that is in fewer of them.
+    """
+    num, den = t
+    met = (entries.where("region is null").groupBy("a", "b", "na", "nb").agg(F.sum("place").alias("times"), F.sum("near").alias("near"))
+           .where("near > 0"))
+    large = entries.where("region is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    own = large.select("a", F.col("n").alias("la"))
+    other = large.select(F.col("a").alias("b"), F.col("n").alias("lb"))
+    joined = met.join(own, "a", "left").join(other, "b", "left").fillna(0, ["la", "lb"])
+    whole = lambda c: F.ceil(num * F.col(c) / den)
+    least = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den))
+    need = least - F.greatest(whole("na"), whole("nb")) + 1
+    return joined.where(F.col("times") + F.least("la", "lb") >= need).select("a", "b", "na", "nb")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``node, shingles``: the sets of the documents ``order_id`` of ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +393,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = int(names.agg(F.sum("n")).first()[0] or 0)
     slots = S.slots(spark, total * (t[1] - t[0]) // t[1] // ENTRIES + 1)
     entries = materialize(meet_in_regions(window_parcels(docs.select("text"), k, t, rarity, slots), len(slots), t))
-    pairs = entries.where("region is null").select("a", "b", "na", "nb").distinct()
+    pairs = pairs_to_compare(entries, t)
     roots = find_components(entries.where("region is not null"), pairs, docs, names, k, t)
     labelled = names.select("node", "order_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("order_id").alias("component"))

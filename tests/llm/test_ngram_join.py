@@ -73,3 +73,18 @@ def test_overlap_bound_never_drops_a_link():
             at = [sorted(s).index(first[0]) for s in (a, b)]
             assert J.overlap_possible(len(a), len(b), *at, (17, 20))
             assert at[0] <= len(a) - -(-17 * len(a) // 20)
+
+
+def test_linked_sets_meet_often_enough():
+    rng = random.Random(2)
+    seen = 0
+    for _ in range(2000):
+        a = set(rng.sample(range(400), rng.randrange(1, 120)))
+        b = {x for x in a if rng.random() > 0.05} | set(rng.sample(range(400), rng.randrange(4)))
+        if b and 20 * len(a & b) >= 17 * len(a | b):
+            first = [set(sorted(s)[:len(s) + 17 * len(s) // -20 + 1]) for s in (a, b)]
+            least = -(-17 * (len(a) + len(b)) // 37)
+            need = least - max(-(-17 * len(a) // 20), -(-17 * len(b) // 20)) + 1
+            assert len(first[0] & first[1]) >= need
+            seen += need > 1
+    assert seen > 50
