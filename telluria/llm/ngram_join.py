@@ -327,7 +327,8 @@ def _several(rooted: DataFrame) -> DataFrame:
 
 def rings(large: DataFrame, compared: DataFrame, t: Threshold) -> DataFrame:
     """Cut open regions into rings around their pivots, each set in its own ring
-    and in the next one: linked sets are in equal or neighbouring rings."""
+    and in the next one: linked sets are in equal or neighbouring rings.
+    ``compared`` has every member of the regions with its pivot."""
     num, den = t
     far = compared.select("a", "b", "met")
     both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "met"))
@@ -372,8 +373,11 @@ def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names
     if still.isEmpty():
         return roots
     kept = ("region", "a", "na", "place", "root", "size", "main", "rest")
-    parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(
-        rings(still.where(F.col("size") > SMALL).drop("size", "main", "rest"), compared, t).select(*kept))
+    large = still.where(F.col("size") > SMALL).drop("size", "main", "rest")
+    # Members that cannot be linked to the pivot may be linked to each other, so their rings are needed as well.
+    unmet = _named(large.where("a <> b"), "a", "b", "na", "nb").join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    compared = compared.unionByName(compare(unmet, docs, names, k))
+    parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(rings(large, compared, t).select(*kept))
     more = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
     return components(links.unionByName(compare(more, docs, names, k).where(linked(t))))
 

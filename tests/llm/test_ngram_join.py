@@ -63,6 +63,21 @@ def test_groups_without_a_middle(spark, monkeypatch, small):
     assert more
 
 
+def test_large_regions_around_foreign_pivots(spark):
+    """Mutually linked texts share two regions, and each has a pivot that shares
+    too little with them to be compared: a text that quotes one shingle only, the
+    rarest it has, as all others stand in one much repeated text."""
+    base = [f"b{i}" for i in range(16)]
+    tails = [[f"t{i}x{j}" for j in range(13)] for i in range(13)]
+    repeated = " ".join(" ".join(base[i + 1:i + 4] + tails[i]) for i in range(13))
+    texts = [" ".join([*base, f"own{i}"]) for i in range(300)]
+    texts += [" ".join(base[i:i + 4] + tails[i]) for i in range(13)] + [repeated] * 320
+    rows = list(enumerate(texts))
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["component_id"] for r in got if r["doc_id"] < 300} == {0}
+    assert sorted(map(tuple, got)) == sorted(by_pairs(rows))
+
+
 def test_overlap_bound_never_drops_a_link():
     rng = random.Random(1)
     for _ in range(300):
