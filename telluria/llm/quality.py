@@ -220,6 +220,7 @@ def score(docs: DataFrame, order: int, model) -> DataFrame:
     also ``row_no, grams, times`` to join one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hashes = fold_table(), WordHashes()
+        nothing = np.zeros(0, np.uint32), np.zeros(0, np.float32)  # of a language without characters
         for batch in batches:
             for part in S.slices(batch, CHUNK):
                 texts = part.column("text").to_pylist()
@@ -233,7 +234,7 @@ def score(docs: DataFrame, order: int, model) -> DataFrame:
                            *[pa.array(c, pa.int64()) for c in counts], pa.array(size)]
                 if model is not None:
                     for n, name in enumerate(names):
-                        grams, values = model.value[name]
+                        grams, values = model.value.get(name, nothing)
                         own = owner == n
                         logs[own] = values[np.searchsorted(grams, keys[own])]
                     total = np.concatenate([[0.0], np.cumsum(logs)])

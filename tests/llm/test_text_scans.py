@@ -126,6 +126,15 @@ def test_quality(docs, corpus):
     assert Q.quality(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("model_bytes", [Q.MODEL_BYTES, 0])
+def test_languages_without_characters(spark, model_bytes):
+    rows = [(1, "some text here " * 20, "en"), (2, None, "xx"), (3, "", "yy"), (4, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r for r in Q.quality(df, model_bytes=model_bytes).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1].log_perplexity is not None
+    assert all(got[i].log_perplexity is None and got[i].n_words == 0 and not got[i].kept for i in (2, 3, 4))
+
+
 def direct_model(texts, order):
     """Interpolated modified Kneser-Ney by its definition, on dictionaries."""
     table, counts = Q.fold_table(), Counter()
