@@ -22,6 +22,7 @@ from telluria.llm.queries import table, tokenizer_path
 from telluria.llm.superkmer import remove_repeated_windows
 from telluria.session import scratch_path
 
+SHINGLE_WORDS, SIMILARITY = 5, (4, 5)  # of near duplicates; op1 has a contract of its own
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,7 +37,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group only the document with the smallest id stays, once."""
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, k=SHINGLE_WORDS, t=SIMILARITY)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     rest = without(docs, found.where("doc_id <> component_id"))
     if repeated.isEmpty():

@@ -167,3 +167,14 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     plain.write.parquet(f"{tmp_path}/documents.parquet")
     out = P.run(spark, str(tmp_path))
     assert out.count() > 0 and out.where(F.col("ids").isNull()).count() == 0
+
+
+def test_pipeline_drops_copies_of_four_fifths(spark, tmp_path):
+    """81 % of the five-word shingles are shared, and of the four-word ones too."""
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(100)]
+    texts = [base, base[:90] + [f"x{i}" for i in range(10)], base[:85] + [f"y{i}" for i in range(15)]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
