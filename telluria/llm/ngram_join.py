@@ -331,7 +331,7 @@ def rings(large: DataFrame, compared: DataFrame, t: Threshold) -> DataFrame:
     ``compared`` has every member of the regions with its pivot."""
     num, den = t
     far = compared.select("a", "b", "met")
-    both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "met"))
+    both = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "met")).dropDuplicates(["a", "b"])
     union = F.col("na") + F.col("nb") - F.col("met")
     ring = F.floor((union - F.col("met")) * den / (union * (den - num))).cast("long")
     each = (large.where("a <> b").join(both, ["a", "b"])
@@ -375,7 +375,8 @@ def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names
     kept = ("region", "a", "na", "place", "root", "size", "main", "rest")
     large = still.where(F.col("size") > SMALL).drop("size", "main", "rest")
     # Members that cannot be linked to the pivot may be linked to each other, so their rings are needed as well.
-    unmet = _named(large.where("a <> b"), "a", "b", "na", "nb").join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    known = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    unmet = large.where("a <> b").select("a", "b", "na", "nb").distinct().join(known, ["a", "b"], "left_anti")
     compared = compared.unionByName(compare(unmet, docs, names, k))
     parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(rings(large, compared, t).select(*kept))
     more = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
