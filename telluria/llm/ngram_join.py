@@ -383,9 +383,9 @@ def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names
     return components(links.unionByName(compare(more, docs, names, k).where(linked(t))))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                       t: Threshold = (17, 20)) -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id``."""
+def prepare(df: DataFrame, id_col: str, text_col: str, k: int, t: Threshold) -> tuple[DataFrame, ...]:
+    """Documents, their rows ``doc_id, n, node, order_id``, the distinct sets
+    ``node, order_id, n`` and what they meet in."""
     spark = df.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).withColumn(
@@ -398,12 +398,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = int(names.agg(F.sum("n")).first()[0] or 0)
     slots = S.slots(spark, total * (t[1] - t[0]) // t[1] // ENTRIES + 1)
     entries = materialize(meet_in_regions(window_parcels(docs.select("text"), k, t, rarity, slots), len(slots), t))
-    pairs = pairs_to_compare(entries, t)
-    roots = find_components(entries.where("region is not null"), pairs, docs, names, k, t)
+    return docs, rows, names, entries
+
+
+def labelled_rows(rows: DataFrame, names: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, node`` of each row."""
     labelled = names.select("node", "order_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("order_id").alias("component"))
     final = labelled.join(least, "root").select("node", "component")
-    out = rows.join(final, "node", "left")
     component = F.coalesce("component", "order_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(component < int(S.LAST), component).alias("component_id"))
+    return rows.join(final, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(component < int(S.LAST), component).alias("component_id"), "node")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                       t: Threshold = (17, 20)) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id``."""
+    docs, rows, names, entries = prepare(df, id_col, text_col, k, t)
+    roots = find_components(entries.where("region is not null"), pairs_to_compare(entries, t), docs, names, k, t)
+    return labelled_rows(rows, names, roots).drop("node")

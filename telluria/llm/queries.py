@@ -10,6 +10,7 @@ from telluria.llm.decontaminate import decontaminate
 from telluria.llm.html_text import visible_text
 from telluria.llm.licenses import scan_licenses
 from telluria.llm.ngram_join import jaccard_components
+from telluria.llm.ngram_links import jaccard_links
 from telluria.llm.packing import pack_documents
 from telluria.llm.quality import quality
 from telluria.llm.suffix_dedup import remove_earlier_text
@@ -26,6 +27,11 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op1_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole join; ``op1_ngram_jaccard`` has the columns of its contract."""
+    return jaccard_links(table(spark, folder, "documents"))[1].drop("node")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).select(
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_superkmer_dedup": op10_superkmer_dedup,
+    "op1_jaccard_links": op1_jaccard_links,
 }
 
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,6 +7,7 @@ import pytest
 from llm.conftest import words
 
 from telluria.llm import ngram_join as J
+from telluria.llm import ngram_links as L
 
 
 def shingles(text, k=4):
@@ -78,6 +79,24 @@ def test_large_regions_around_foreign_pivots(spark):
     assert sorted(map(tuple, got)) == sorted(by_pairs(rows))
 
 
+def test_all_links(spark, monkeypatch):
+    """Copies, near copies in one component and rows without words or ids."""
+    monkeypatch.setattr(J, "SMALL", 8)
+    rng = random.Random(4)
+    base = words(rng, 130)
+    texts = [" ".join(base[:i] + [f"e{i}"] + base[i + 1:]) for i in range(0, 60, 2)]
+    texts += [texts[0].upper(), texts[0], None, "", "alone here", " ".join(words(rng, 60))]
+    rows = [*enumerate(texts), (None, texts[1])]
+    links, members = L.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets = [shingles(r[1]) for r in rows]
+    close = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    want = [(*by, sum(close(s, o) for o in sets) - bool(s)) for by, s in zip(by_pairs(rows), sets)]
+    got = [tuple(r) for r in members.select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    assert Counter(got) == Counter(want)
+    alone = set(map(frozenset, sets)) - {frozenset()}
+    assert links.count() == sum(close(a, b) for a in alone for b in alone if a != b) // 2 > 50
+
+
 def test_overlap_bound_never_drops_a_link():
     rng = random.Random(1)
     for _ in range(300):
