@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from telluria.llm.chat import conversation_digests, prefix_examples
 from telluria.llm.decontaminate import decontaminate
+from telluria.llm.hard_negatives import hard_negatives
 from telluria.llm.html_text import visible_text
 from telluria.llm.licenses import scan_licenses
 from telluria.llm.ngram_join import jaccard_components
 from telluria.llm.ngram_links import jaccard_links
 from telluria.llm.packing import pack_documents
 from telluria.llm.quality import quality
+from telluria.llm.reversed_search import ranked_search
 from telluria.llm.suffix_dedup import remove_earlier_text
 from telluria.llm.superkmer import remove_repeated_windows
+from telluria.llm.token_counts import count_tokens
 from telluria.llm.warc import archive_and_index, find_captures, keys_of, read_records
 from telluria.session import scratch_path
 
@@ -88,6 +91,19 @@ def op10_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), tokenizer_path()).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_superkmer_dedup": op10_superkmer_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_ranked_search": op13_ranked_search,
     "op1_jaccard_links": op1_jaccard_links,
 }
 
@@ -167,4 +186,34 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lamb
   CASE WHEN leader = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN leader <> page_id THEN leader END AS refers_to
 FROM d""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.x, v.x) AS BIGINT) AS score
+  FROM a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT doc_id, row_no, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM t),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, unnest(list_distinct({_WORDS.format(t="coalesce(text, '')")})) AS term FROM i),
+c AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(w) AS term FROM d) JOIN (SELECT DISTINCT term FROM q)
+  USING (term) GROUP BY row_no, term),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+s AS (SELECT q.item_id, q.text, t.doc_id, t.row_no, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * t.n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN c USING (term) JOIN t USING (row_no), total GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id, row_no) AS INTEGER) AS rank,
+  doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
