@@ -281,12 +281,15 @@ def _(s, d):
 @query("merge_sessions_gaps", sql(BOOTS, """rb AS (SELECT u, reading_number, first_value(own) OVER o + (u - first_value(u) OVER o) AS t, u - lag(u) OVER o AS gap
   FROM mt WINDOW o AS (ORDER BY u, reading_number)),
 sn AS (SELECT *, sum(CASE WHEN gap > 1200 THEN 1 ELSE 0 END) OVER (ORDER BY u, reading_number)::BIGINT AS session FROM rb)""",
-    select="""SELECT session, count(*) AS n_rows, round(min(u), 4) AS t_first, round(max(u), 4) AS t_last,
+    select="""SELECT session, count(*) AS n_rows, round(min(u) * 1e6)::BIGINT AS t_first_us, round(max(u) * 1e6)::BIGINT AS t_last_us,
   round(arg_min(t, row(u, reading_number)), 4) AS mission_time_first, round(max(CASE WHEN gap > 1200 THEN gap - 1 / 45.0 END), 4) AS missing_s
   FROM sn GROUP BY session"""))
 def _(s, d):
     sessions = csv.merge_sessions(_boots(s, d), threshold=GAP_POOLED)[1].drop("flight_id")
-    return rounded(sessions.withColumn("session", F.col("session").cast("long")))
+    sessions = sessions.withColumn("session", F.col("session").cast("long"))
+    for c in ("t_first", "t_last"):  # whole microseconds: decimals of a Unix time are beyond a double's rounding
+        sessions = sessions.withColumn(f"{c}_us", F.round(F.col(c) * 1e6).cast("long")).drop(c)
+    return rounded(sessions)
 
 
 def _named_files(s, d) -> DataFrame:

@@ -14,19 +14,17 @@ TREES, DEPTH = 20, 10
 
 
 def _vectors(s, d):
-    e = table(s, d, "embeddings")
-    return e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
+    return table(s, d, "embeddings").select("vec_id", "embedding")
 
 
-PAIRS = """v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
-pr AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+PAIRS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pr AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 nn AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM pr QUALIFY k <= {k})"""
 
 
-@query("knn_self_join", "WITH " + PAIRS.format(k=10) + " SELECT i AS vec_id, k::INT AS neighbor_rank, j AS neighbor, round(d, 5) AS distance FROM nn")
+@query("knn_self_join", "WITH " + PAIRS.format(k=50) + " SELECT i AS vec_id, k::INT AS neighbor_rank, j AS neighbor, round(d, 5) AS distance FROM nn")
 def _(s, d):
-    return rounded(neighbors.knn_self_join(_vectors(s, d), "vec_id", 10, ["x", "y", "z"], [], leaf_rows=128), 5)
+    return rounded(neighbors.knn_self_join(_vectors(s, d), "vec_id", axes="embedding", by=[]), 5)
 
 
 @query("local_outlier_factor", "WITH " + PAIRS.format(k=50) + """,
@@ -36,10 +34,26 @@ lf AS (SELECT nn.i AS vec_id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nn JOIN
 q AS (SELECT quantile_cont(-lof, 0.02) AS q FROM lf)
 SELECT vec_id, round(lof, 4) AS lof, -lof < q AS is_lof FROM lf, q""")
 def _(s, d):
-    out = neighbors.local_outlier_factor(_vectors(s, d), "vec_id", axes=["x", "y", "z"], by=[], leaf_rows=128)
+    out = neighbors.local_outlier_factor(_vectors(s, d), "vec_id", axes="embedding", by=[])
     return rounded(out.select("vec_id", "lof", "is_lof"))
 
 
+# The three axes of the readings, whole: boxes instead of the metric tree.
+@query("readings_outlier_factor", sql("""pr AS (SELECT a.sensor_id, a.reading_number AS i, b.reading_number AS j,
+  sqrt((a.bx - b.bx) * (a.bx - b.bx) + (a.b_y - b.b_y) * (a.b_y - b.b_y) + (a.bz - b.bz) * (a.bz - b.bz)) AS d
+  FROM readings a JOIN readings b ON a.sensor_id = b.sensor_id AND a.reading_number <> b.reading_number),
+nn AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 50),
+kd AS (SELECT i, max(d) AS kd FROM nn GROUP BY i),
+lr AS (SELECT nn.i, 1 / (avg(greatest(kd.kd, d)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.i = nn.j GROUP BY nn.i),
+lf AS (SELECT nn.i, any_value(nn.sensor_id) AS sensor_id, avg(b.lrd) / any_value(a.lrd) AS lof
+  FROM nn JOIN lr a ON a.i = nn.i JOIN lr b ON b.i = nn.j GROUP BY nn.i),
+q AS (SELECT sensor_id, quantile_cont(-lof, 0.02) AS q FROM lf GROUP BY sensor_id)""",
+    select="SELECT i AS reading_number, round(lof, 4) AS lof, -lof < q AS is_lof FROM lf JOIN q USING (sensor_id)"))
+def _(s, d):
+    out = neighbors.local_outlier_factor(r(s, d), "reading_number")
+    return rounded(out.select("reading_number", "lof", "is_lof"))
+
+
 @query("isolation_forest")
 def _(s, d):
     return forest.isolation_forest(r(s, d), KEY).select("reading_number", "sensor_id", "iso_score", "is_iso")

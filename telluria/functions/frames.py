@@ -47,6 +47,21 @@ def trailing_scores(history: np.ndarray, values: np.ndarray, rows: int, min_rows
     return out
 
 
+def trailing_moments(history: np.ndarray, values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean and population std of the last ``rows`` values with each one."""
+    line = np.concatenate([_lead(history, rows), values])
+    out = np.zeros((3, len(values)))
+    for a in range(0, len(values), _BLOCK):
+        b = min(a + _BLOCK, len(values))
+        frame = _frames(line, rows, a, b)
+        there = ~np.isnan(frame)
+        n = there.sum(axis=1)
+        mean = np.where(there, frame, 0.0).sum(axis=1) / np.maximum(n, 1)
+        gap = np.where(there, frame - mean[:, None], 0.0)
+        out[:, a:b] = n, mean, np.sqrt((gap * gap).sum(axis=1) / np.maximum(n, 1))
+    return out[0], out[1], out[2]
+
+
 def centred_medians(before: np.ndarray, values: np.ndarray, after: np.ndarray, half: int) -> np.ndarray:
     """Median over ``half`` rows to either side; the caller pads the ends."""
     line = np.concatenate([before[len(before) - half:], values, after[:half]])

@@ -11,11 +11,11 @@ from telluria import params
 from telluria.operators.forest import isolation_forest, score_isolation_forest
 from telluria.operators.neighbors import local_outlier_factor
 from telluria.operators.projections import after_last_gap
-from telluria.operators.series import Series
-from telluria.operators.windows import (adaptive_roc_flag, classic_z, history_rule, roc, trailing_z,
-                                        zscore_detrended)
+from telluria.operators.series import RN, SIZE, Series
+from telluria.operators.windows import (adaptive_roc_flag, classic_z, detrended, detrended_score, history_rule, roc,
+                                        trailing_z)
 from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, profile
+from telluria.session import SLICE_ROWS, attach, materialize, profile
 
 
 def ensemble_vote(df: DataFrame, flags: Sequence[str], min_votes: int = params.MIN_VOTES,
@@ -51,15 +51,16 @@ def detect_anomalies(df: DataFrame, by: Sequence[str] = KEYS, key: str = "readin
                      trees: int = 100, min_rows: int = 10, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Isolation forest, detrended z-score, local outlier factor and adaptive
     rate of change on one frame, and their vote.  Groups below ``min_rows`` rows
-    keep their scores but get NULL flags and no vote."""
-    rows = zscore_detrended(df, z_threshold, by=by, order=order, slice_rows=slice_rows)
-    s = roc(Series.of(rows, by, order, slice_rows=slice_rows))
-    rows = adaptive_roc_flag(s.df, "magnitude", by, slice_rows)
-    rows = isolation_forest(rows, [key], by=by, contamination=contamination, trees=trees, slice_rows=slice_rows)
-    rows = local_outlier_factor(rows, key, neighbors, lof_contamination, by=by, slice_rows=slice_rows)
+    keep their scores but get NULL flags and no vote.  The rows are numbered and
+    their groups measured once; every detector extends that frame."""
+    s = detrended(Series.of(df, by, order, numbered=True, slice_rows=slice_rows))
+    known = s.profile
+    rows = materialize(roc(s).rows.withColumn("_enough", F.col(SIZE) >= min_rows).drop(RN, SIZE))
+    rows = detrended_score(rows, z_threshold, by, slice_rows, known)
+    rows = adaptive_roc_flag(rows, "magnitude", by, slice_rows, known)
+    rows = isolation_forest(rows, [key], by=by, contamination=contamination, trees=trees, slice_rows=slice_rows, known=known)
+    rows = local_outlier_factor(rows, key, neighbors, lof_contamination, by=by, slice_rows=slice_rows, known=known)
     flags = ["is_iso", "is_z_detrended", "is_lof", "is_roc_adaptive"]
-    sizes = rows.groupBy(*by).agg((F.count(F.lit(1)) >= min_rows).alias("_enough"))
-    rows = attach(rows, sizes, by, groups=profile(rows, by).groups)
     rows = ensemble_vote(rows, flags, min_votes)
     return rows.withColumns({c: F.when(F.col("_enough"), F.col(c)) for c in (*flags, "votes", "is_anomaly")}
                             ).drop("_enough")
@@ -72,7 +73,7 @@ def detect_per_sensor(df: DataFrame, detector: Callable[..., DataFrame] = detect
     rows = detector(after_last_gap(df, gap, pad), by=KEYS, **options)
     shares = rows.groupBy(*KEYS).agg(
         (F.count_if(F.coalesce(F.col("is_z_detrended"), F.lit(False))) <= F.lit(z_share) * F.count(F.lit(1))).alias("show_z"))
-    return attach(rows, shares, KEYS, groups=profile(rows, KEYS).groups)
+    return attach(rows, shares, KEYS)
 
 
 def online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, key: str = "reading_number",

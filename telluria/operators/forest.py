@@ -20,7 +20,7 @@ from telluria import params
 from telluria.operators.models import unit_hash
 from telluria.operators.quantiles import percentiles
 from telluria.schema import AXES, KEYS
-from telluria.session import SLICE_ROWS, attach, materialize, profile
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
 
 TREES, SAMPLE = 100, 256
 CHUNK_ROWS = 200_000
@@ -103,12 +103,13 @@ def _group_key(by: Sequence[str]):
 
 
 def fit_isolation_forest(df: DataFrame, key: Sequence[str], axes: Sequence[str] = AXES, by: Sequence[str] = KEYS,
-                         trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+                         trees: int = TREES, sample: int = SAMPLE, seed: int = 42,
+                         known: Profile | None = None) -> DataFrame:
     """One row per group and tree.  A pool of about twice the rows that all
     trees need is drawn first, so that the per-tree draw touches few rows."""
     rows = df.select(_group_key(by), *axes, F.xxhash64(*key).alias("_k")).dropna()
     sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    n = attach(rows, sizes, ["_g"], groups=profile(rows, ["_g"]).groups)
+    n = attach(rows, sizes, ["_g"], groups=(known or profile(rows, ["_g"])).groups)
     want = 2.0 * trees * sample
     pool = n.where(unit_hash("_k", seed=seed) < F.lit(want) / F.col("_n"))
     share = F.lit(2.0 * sample) / F.least(F.col("_n"), F.lit(want))
@@ -184,17 +185,18 @@ def _score_batch(batch: pa.RecordBatch, forests: dict[str, Forest], names, out)
 
 
 def flag_lowest(df: DataFrame, score: str, contamination: float, out: str, by: Sequence[str] = KEYS,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """Flag scores strictly below the contamination percentile of the group."""
-    groups, largest = profile(df, by)
+    groups, largest = known or profile(df, by)
     cut = percentiles(df, by, score, {"_cut": contamination}, slice_rows, largest=largest)
     return attach(df, cut, by, groups=groups).withColumn(out, F.col(score) < F.col("_cut")).drop("_cut")
 
 
 def isolation_forest(df: DataFrame, key: Sequence[str], axes: Sequence[str] = AXES, by: Sequence[str] = KEYS,
                      contamination: float = params.FOREST_CONTAMINATION, trees: int = TREES, sample: int = SAMPLE,
-                     seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                     seed: int = 42, slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """Fit on the rows themselves, score them, flag the most unusual share."""
-    forest = materialize(fit_isolation_forest(df, key, axes, by, trees, sample, seed))
+    known = known or profile(df, by)
+    forest = materialize(fit_isolation_forest(df, key, axes, by, trees, sample, seed, known))
     scored = materialize(score_isolation_forest(df, forest, key, axes, by))
-    return flag_lowest(scored, "iso_score", contamination, "is_iso", by, slice_rows)
+    return flag_lowest(scored, "iso_score", contamination, "is_iso", by, slice_rows, known)

@@ -4,7 +4,9 @@ Copies of a point collapse to one point that carries its lowest ids.  Points are
 packed into leaves of bounded size by sorting along one axis after the other, so
 dense regions simply get more leaves.  Each point first looks into its own leaf,
 which bounds its k-th distance, and then only into the leaves whose box that
-radius reaches.  Nothing is paired across the data, nothing is dropped.
+radius reaches.  Nothing is paired across the data, nothing is dropped.  That is for up
+to three axes; longer vectors, also those in one array column, are parted by a
+metric tree (:mod:`telluria.operators.metric`).
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from telluria import params
+from telluria.operators.metric import MetricTree
 from telluria.operators.models import unit_hash
 from telluria.operators.series import RN, SIZE, Series
 from telluria.schema import AXES, KEYS
-from telluria.session import BROADCAST_ROWS, SLICE_ROWS, attach, materialize, profile
+from telluria.session import BROADCAST_ROWS, SLICE_ROWS, Profile, attach, materialize, profile
 
 LEAF_ROWS = 2048
 LEAF_QUERIES = 16_384
@@ -29,11 +34,23 @@ _BLOCK = 1 << 21  # distances held at once in a task
 LEAF = ["_l1", "_l2", "_l3"]
 
 
+def _columns(axes: Sequence[str] | str) -> list[str]:
+    """The names of the axes, or of the one column that holds whole vectors."""
+    return [axes] if isinstance(axes, str) else list(axes)
+
+
+def _is_vector(df: DataFrame, axes: Sequence[str]) -> bool:
+    return len(axes) == 1 and isinstance(df.schema[axes[0]].dataType, T.ArrayType)
+
+
 def distinct_points(df: DataFrame, key: str, k: int, axes: Sequence[str], by: Sequence[str]) -> DataFrame:
     """One row per place: ``pid`` (its lowest id) and its ``k + 1`` lowest ids.
     The limit is cut in the map tasks, before a crowded place is shuffled."""
     w = Window.partitionBy(*by, *axes).orderBy(key)
-    low = df.select(*by, key, *axes).dropna(subset=list(axes)).withColumn(
+    whole = df.select(*by, key, *axes).dropna(subset=list(axes))
+    if _is_vector(df, axes):
+        whole = whole.where(F.forall(axes[0], lambda x: x.isNotNull() & ~F.isnan(x)))
+    low = whole.withColumn(
         "_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
     return low.groupBy(*by, *axes).agg(F.sort_array(F.collect_list(key)).alias("ids")).withColumn(
         "pid", F.col("ids")[0])
@@ -88,17 +105,45 @@ def _closest(q: pd.DataFrame, p: pd.DataFrame, axes, count: int):
         yield qi2[keep] + a, d[keep], nid[keep], pid[ci2[keep]]
 
 
+def _lists(qi: np.ndarray, d: np.ndarray, ids, places, id_type: pa.DataType) -> tuple[np.ndarray, pa.Array]:
+    """Rows that found something, and their sorted (d, id, place) lists."""
+    first = np.flatnonzero(np.append(True, qi[1:] != qi[:-1])) if len(qi) else np.zeros(0, np.int64)
+    near = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(ids, id_type), pa.array(places, id_type)],
+                                      names=["d", "id", "place"])
+    return qi[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(qi)), pa.int32()), near)
+
+
 def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[str],
                    leaf_rows: int = LEAF_ROWS, leaf_queries: int = LEAF_QUERIES,
-                   slice_rows: int = SLICE_ROWS) -> DataFrame:
+                   slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """For every place the ``k + 1`` nearest (distance, id, place) triples, the
     place's own copies included, as the sorted array ``near``."""
     by, axes, count = list(by), list(axes), k + 1
-    packed = materialize(_pack(points, axes, by, max(leaf_rows, 2 * count), slice_rows))
-    id_type = packed.schema["pid"].dataType
+    if _is_vector(points, axes) or len(axes) > len(LEAF):
+        v = F.col(axes[0]).cast("array<double>") if _is_vector(points, axes) else F.array(
+            *[F.col(a).cast("double") for a in axes])
+        places = points.select(*by, "pid", "ids", v.alias("v"))
+        return MetricTree.build(places, by, max(leaf_rows, 2 * count), task_rows=leaf_queries).nearest(k, leaf_queries)
+    id_type = points.schema["pid"].dataType
     near_type = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", id_type),
                                           T.StructField("place", id_type)]))
-    by_fields = [packed.schema[c] for c in by]
+    by_fields = [points.schema[c] for c in by]
+    out_type = T.StructType([*by_fields, T.StructField("pid", id_type), T.StructField("near", near_type)])
+    plain = to_arrow_type(id_type)
+
+    def found_in(q: pa.Table, p: pa.Table) -> pa.Table:
+        own = q.select([*by, "pid"])
+        parts = []
+        if q.num_rows and p.num_rows:
+            for qi, d, nid, place in _closest(q.to_pandas(), p.to_pandas(), axes, count):
+                at, near = _lists(qi, d, nid, place, plain)
+                parts.append(own.take(pa.array(at)).append_column("near", near))
+        empty = own.slice(0, 0).append_column("near", pa.array([], to_arrow_type(near_type)))
+        return pa.concat_tables(parts) if parts else empty
+
+    if (known or profile(points, by)).largest <= max(leaf_rows, 2 * count):  # each group is one leaf
+        return points.groupBy(*by).applyInArrow(lambda table: found_in(table, table), out_type)
+    packed = materialize(_pack(points, axes, by, max(leaf_rows, 2 * count), slice_rows))
 
     def radius(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.full(len(pdf), np.inf)
@@ -123,21 +168,7 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
     told = attach(packed, shares, [*by, *LEAF], groups=small, how="inner").withColumn(
         "_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_s")
     cell = [*by, *LEAF, "_share"]
-    out_type = T.StructType([*by_fields, T.StructField("pid", id_type), T.StructField("near", near_type)])
-
-    def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        rows, lists = [], []
-        if len(q) and len(p):
-            for qi, d, nid, place in _closest(q, p, axes, count):
-                cutpoints = np.flatnonzero(np.append(True, qi[1:] != qi[:-1]))
-                for a, b in zip(cutpoints, np.append(cutpoints[1:], len(qi))):
-                    rows.append(qi[a])
-                    lists.append([{"d": float(x), "id": y.item() if hasattr(y, "item") else y,
-                                   "place": z.item() if hasattr(z, "item") else z}
-                                  for x, y, z in zip(d[a:b], nid[a:b], place[a:b])])
-        return q.iloc[rows][[*by, "pid"]].assign(near=lists)
-
-    found = asked.groupBy(*cell).cogroup(told.groupBy(*cell)).applyInPandas(search, out_type)
+    found = asked.groupBy(*cell).cogroup(told.groupBy(*cell)).applyInArrow(found_in, out_type)
     # A place meets the few leaves its radius touches, each with k + 1 entries.
     return found.groupBy(*by, "pid").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, count).alias("near"))
@@ -176,9 +207,12 @@ def _with_place(df: DataFrame, points: DataFrame, axes: Sequence[str], by: Seque
     return attach(df, places, [*by, *axes], how="inner")
 
 
-def knn_self_join(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS, axes: Sequence[str] = AXES,
+def knn_self_join(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS, axes: Sequence[str] | str = AXES,
                   by: Sequence[str] = KEYS, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The ``k`` nearest other rows of each row; equal distances go by id."""
+    """The ``k`` nearest other rows of each row; equal distances go by id.
+    ``axes`` names number columns, or the one array column of whole vectors
+    (of one length); rows with a missing component take no part."""
+    axes = _columns(axes)
     points = materialize(distinct_points(df, key, k, axes, by))
     near = nearest_places(points, k, axes, by, leaf_rows, slice_rows=slice_rows)
     rows = _with_place(df.select(*by, key, *axes), points, axes, by)
@@ -190,19 +224,21 @@ def knn_self_join(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS, axes:
 
 
 def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
-                         contamination: float = params.LOF_CONTAMINATION, axes: Sequence[str] = AXES,
+                         contamination: float = params.LOF_CONTAMINATION, axes: Sequence[str] | str = AXES,
                          by: Sequence[str] = KEYS, leaf_rows: int = LEAF_ROWS,
-                         slice_rows: int = SLICE_ROWS) -> DataFrame:
+                         slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """Density of the neighbours relative to the row's own, and the flag of the
     most isolated share.  Copies of a place have equal factors, so the work is
-    done once per place."""
+    done once per place.  A row without any neighbour, alone in its group, has a
+    NULL factor and flag."""
     from telluria.operators.forest import flag_lowest
 
-    by = list(by)
+    by, axes = list(by), _columns(axes)
+    known = known or profile(df, by)
     points = materialize(distinct_points(df, key, k, axes, by))
-    near = nearest_places(points, k, axes, by, leaf_rows, slice_rows=slice_rows)
+    near = nearest_places(points, k, axes, by, leaf_rows, slice_rows=slice_rows, known=known)
     mine = near.select(*by, "pid", F.slice(F.filter("near", lambda n: n["id"] != F.col("pid")), 1, k).alias("near"))
-    mine = materialize(mine.withColumn("k_distance", F.element_at("near", -1)["d"]))
+    mine = materialize(mine.withColumn("k_distance", F.try_element_at("near", F.lit(-1))["d"]))
     pairs = mine.select(*by, "pid", F.explode("near").alias("n")).select(
         *by, "pid", F.col("n.place").alias("place"), F.col("n.d").alias("d"))
     far = mine.select(*by, F.col("pid").alias("place"), "k_distance")
@@ -214,4 +250,4 @@ def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
     lof = attach(lrd, ratio, [*by, "pid"], how="inner").select(*by, "pid", (F.col("_avg") / F.col("lrd")).alias("lof"))
     places = attach(points.select(*by, *axes, "pid"), lof, [*by, "pid"], how="left").drop("pid")
     rows = materialize(attach(df, places, [*by, *axes]).withColumn("_neg", -F.col("lof")))
-    return flag_lowest(rows, "_neg", contamination, "is_lof", by, slice_rows).drop("_neg")
+    return flag_lowest(rows, "_neg", contamination, "is_lof", by, slice_rows, known).drop("_neg")

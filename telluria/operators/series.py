@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, materialize, profile
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
 
 RN, SIZE, SLICE, BORROWED = "_rn", "_n", "_slice", "_borrowed"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position below
@@ -80,9 +80,10 @@ class Series:
 
     @classmethod
     def of(cls, df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-           numbered: bool = False, slice_rows: int = SLICE_ROWS) -> Series:
-        """``numbered`` adds the row number and the group size as columns."""
-        groups, largest = profile(df, by)
+           numbered: bool = False, slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> Series:
+        """``numbered`` adds the row number and the group size as columns; a
+        ``known`` profile of the groups is not measured again."""
+        groups, largest = known or profile(df, by)
         if largest > slice_rows:
             return cls(number_rows(df, by, order), by, order, slice_rows, True, groups, largest)
         series = cls(df, by, order, slice_rows, False, groups, largest)
@@ -92,6 +93,10 @@ class Series:
                 SIZE: F.count(F.lit(1)).over(series._group())}))
         return series
 
+    @property
+    def profile(self) -> Profile:
+        return Profile(self.groups or 0, self.largest or 0)
+
     @property
     def df(self) -> DataFrame:
         """The rows without helper columns."""

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from telluria import params
 from telluria.functions import frames
 from telluria.functions.scalar import magnitude, once
+from telluria.operators.median import wide_medians
 from telluria.operators.quantiles import percentiles
-from telluria.operators.series import RN, SIZE, ArrayFrame, Series
+from telluria.operators.series import ARRAY_ROWS, RN, SIZE, ArrayFrame, Series
 from telluria.schema import AXES, KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, materialize, profile
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
 
 Y = "magnitude"
+WIDE_WINDOW = 65_536  # rows of a running window beyond which counts answer it
 
 
 # Gaps, sessions, segments
@@ -156,10 +158,10 @@ def rolling_mean_std(df: DataFrame, value: str = Y, limit: int = 100, by: Sequen
 # Robust scores
 
 def robust_stats(df: DataFrame, value: str = Y, by: Sequence[str] = KEYS,
-                 floor: float | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                 floor: float | None = None, slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """Median, MAD and spread per group.  The spread is the MAD, or the
     population std when the MAD is below 1e-9, at least ``floor`` if given."""
-    groups, largest = profile(df, by)
+    groups, largest = known or profile(df, by)
     narrow = df.select(*by, F.col(value).cast("double").alias("_y"))
     med = percentiles(narrow, by, "_y", {"median": 0.5}, slice_rows, largest=largest)
     dev = attach(narrow, med, by, groups=groups).withColumn(
@@ -175,11 +177,13 @@ def robust_stats(df: DataFrame, value: str = Y, by: Sequence[str] = KEYS,
 
 def zscore_global(df: DataFrame, threshold: float = params.Z_THRESHOLD, value: str = Y,
                   by: Sequence[str] = KEYS, std_fallback: bool = False,
-                  out: str = "z", flag: str = "is_z", slice_rows: int = SLICE_ROWS) -> DataFrame:
+                  out: str = "z", flag: str = "is_z", slice_rows: int = SLICE_ROWS,
+                  known: Profile | None = None) -> DataFrame:
     """Modified z-score against the group's median and MAD."""
-    stats = robust_stats(df, value, by, slice_rows=slice_rows).select(
+    known = known or profile(df, by)
+    stats = robust_stats(df, value, by, slice_rows=slice_rows, known=known).select(
         *by, "median", "mad", "spread")
-    rows = attach(df, stats, by, groups=profile(df, by).groups)
+    rows = attach(df, stats, by, groups=known.groups)
     dev = F.lit(params.MAD_SCALE) * F.abs(F.col(value) - F.col("median"))
     if std_fallback:
         z = dev / F.greatest(F.col("spread"), F.lit(params.MAD_FLOOR))
@@ -234,14 +238,23 @@ def classic_z(s: Series, threshold: float, rows: int, min_rows: int, value: str)
 def median_trend(s: Series, value: str = Y, window: int | None = None, out: str = "trend") -> Series:
     """Centred running median over an odd window of ``max(31, n // 10)`` rows of
     a group of ``n``, or of ``window`` rows; the end values stand in beyond the
-    ends.  Needs a numbered series.  A window that no slice can hold is an error:
-    then choose ``window``."""
+    ends.  Needs a numbered series.  Windows that a slice cannot hold are
+    answered by counts (:mod:`telluria.operators.median`)."""
     def half_of(n: int) -> int:
         return (window or max(31, n // 10)) // 2
 
+    most = min(s.slice_rows, WIDE_WINDOW)
+    if s.largest and 2 * half_of(s.largest) + 1 > most:
+        half = F.floor(F.lit(window) / 2) if window else F.floor(F.greatest(F.lit(31), F.floor(F.col(SIZE) / 10)) / 2)
+        wide = 2 * half + 1 > most
+        medians = wide_medians(s.rows.where(wide), s.by, value, half, out, min(ARRAY_ROWS, s.slice_rows))
+        done = s.map(lambda d: attach(d.where(wide), medians, [*s.by, RN], how="inner"))
+        if window:
+            return done
+        rest = Series.of(s.rows.where(~wide).drop(RN, SIZE), s.by, s.order, numbered=True, slice_rows=s.slice_rows)
+        rest = median_trend(rest, value, window, out)
+        return done.map(lambda d: d.unionByName(rest.rows.select(*d.columns)))
     reach = half_of(s.largest or 0)
-    if 2 * reach + 1 > max(s.slice_rows, SLICE_ROWS):
-        raise ValueError(f"a window of {2 * reach + 1} rows exceeds a slice; pass window=")
 
     def trend(frame: ArrayFrame) -> dict[str, np.ndarray]:
         half = half_of(frame.size)
@@ -262,10 +275,18 @@ def zscore_detrended(df: DataFrame, threshold: float = params.Z_THRESHOLD, value
                      window: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Modified z-score of what is left after a centred running median, whose
     window is a tenth of the group or ``window`` rows."""
-    s = median_trend(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, window)
-    rows = materialize(s.df.withColumn("residual", F.col(value) - F.col("trend")))
-    return zscore_global(rows, threshold, "residual", by, std_fallback=True,
-                         out="z_detrended", flag="is_z_detrended", slice_rows=slice_rows)
+    s = detrended(Series.of(df, by, order, numbered=True, slice_rows=slice_rows), value, window)
+    return detrended_score(materialize(s.df), threshold, by, slice_rows, s.profile)
+
+
+def detrended(s: Series, value: str = Y, window: int | None = None) -> Series:
+    """Add ``trend`` and ``residual`` to a numbered series."""
+    return median_trend(s, value, window).map(lambda d: d.withColumn("residual", F.col(value) - F.col("trend")))
+
+
+def detrended_score(rows: DataFrame, threshold: float, by: Sequence[str], slice_rows: int, known: Profile) -> DataFrame:
+    return zscore_global(rows, threshold, "residual", by, std_fallback=True, out="z_detrended",
+                         flag="is_z_detrended", slice_rows=slice_rows, known=known)
 
 
 # Rate of change
@@ -283,11 +304,10 @@ def rate_of_change(df: DataFrame, threshold: float = params.ROC_THRESHOLD, value
     return s.df.withColumn("is_roc", F.col("roc") > threshold)
 
 
-def adaptive_roc_flag(rows: DataFrame, value: str, by: Sequence[str], slice_rows: int) -> DataFrame:
+def adaptive_roc_flag(rows: DataFrame, value: str, by: Sequence[str], slice_rows: int, known: Profile) -> DataFrame:
     """Threshold per group: the larger of the 99th percentile of the positive
-    steps and 5 % of the 5-95 percentile range."""
-    rows = materialize(rows)  # three statistics and the flags read the steps
-    groups, largest = profile(rows, by)
+    steps and 5 % of the 5-95 percentile range.  ``rows`` are read three times."""
+    groups, largest = known
     span = percentiles(rows, by, value, {"_p5": 0.05, "_p95": 0.95}, slice_rows, largest=largest)
     steps = percentiles(rows.where("roc > 0"), by, "roc", {"_p99": 0.99}, slice_rows, largest=largest)
     out = attach(attach(rows, span, by, groups=groups), steps, by, groups=groups)
@@ -301,7 +321,7 @@ def adaptive_roc_flag(rows: DataFrame, value: str, by: Sequence[str], slice_rows
 def rate_of_change_adaptive(df: DataFrame, value: str = Y, by: Sequence[str] = KEYS,
                             order: Sequence[str] = ORDER, slice_rows: int = SLICE_ROWS) -> DataFrame:
     s = roc(Series.of(df, by, order, slice_rows=slice_rows), value)
-    return adaptive_roc_flag(s.df, value, by, slice_rows)
+    return adaptive_roc_flag(materialize(s.df), value, by, slice_rows, s.profile)
 
 
 # Forecast windows

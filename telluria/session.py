@@ -49,6 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder.  A checkpoint keeps the
+    size that the optimizer guessed, and guesses for joins are products: where
+    each of many steps joins what the step before left, they outgrow all bounds.
+    A table has the size of its files."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Profile(NamedTuple):
     """How many groups there are and how many rows the largest one has."""
 

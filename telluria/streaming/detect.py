@@ -1,12 +1,14 @@
 """Stateful detection per group (survey T2-T4).
 
-State per group: the last ``rows`` values, the previous value and a counter.
-Rows of a micro-batch are ordered inside the batch; batches follow arrival.
+State per group: the last ``rows`` values, and counters.  See
+:mod:`telluria.streaming.ordered` for how rows come in order and in blocks.
+``ttl_ms`` forgets groups that have been silent for so long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,18 +16,40 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from telluria import params
-from telluria.functions.frames import trailing_distances, trailing_scores
-from telluria.operators.forest import _as_forest, _group_key
+from telluria.functions.frames import trailing_distances, trailing_moments, trailing_scores
+from telluria.operators.forest import BROADCAST_GROUPS, _as_forest, _group_key
 from telluria.operators.models import score_batch
 from telluria.schema import AXES, KEYS, ORDER
+from telluria.streaming.ordered import HELD_ROWS, OrderedProcessor, keep_state
+
+
+class Detector(OrderedProcessor):
+    ring = ("magnitude",)
+
+    def __init__(self, columns: Sequence[str], min_rows: int, z_threshold: float, roc_threshold: float, **options):
+        super().__init__(**options)
+        self.columns, self.min_rows = list(columns), min_rows
+        self.z_threshold, self.roc_threshold = z_threshold, roc_threshold
+
+    def block(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        history, y = self.past[:, 0], pdf["magnitude"].to_numpy(float)
+        z = trailing_scores(history, y, self.rows, self.min_rows)
+        roc = np.abs(y - np.concatenate([history[-1:] if len(history) else y[:1], y[:-1]]))
+        is_z, is_roc = z > self.z_threshold, roc > self.roc_threshold
+        votes = is_z.astype("int32") + is_roc.astype("int32")
+        anomaly = votes >= params.MIN_VOTES
+        out = pdf.assign(roc=roc, z=z, is_z=is_z, is_roc=is_roc, votes=votes, is_anomaly=anomaly,
+                         reading_seq=self.seen + np.arange(1, len(pdf) + 1), anomaly_no=self.flagged + anomaly.cumsum())
+        self.flagged += int(anomaly.sum())
+        return out[self.columns]
 
 
 def stream_detect(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                   rows: int = params.HISTORY_ROWS, min_rows: int = params.HISTORY_MIN,
-                  z_threshold: float = params.Z_THRESHOLD, roc_threshold: float = params.ROC_THRESHOLD) -> DataFrame:
+                  z_threshold: float = params.Z_THRESHOLD, roc_threshold: float = params.ROC_THRESHOLD,
+                  ttl_ms: int | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
     """Streaming twin of ``detect_flight``."""
     extra = T.StructType([
         T.StructField("roc", T.DoubleType()), T.StructField("z", T.DoubleType()), T.StructField("is_z", T.BooleanType()),
@@ -33,27 +57,9 @@ def stream_detect(df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str]
         T.StructField("is_anomaly", T.BooleanType()), T.StructField("reading_seq", T.LongType()),
         T.StructField("anomaly_no", T.LongType())])
     schema = T.StructType([*df.schema.fields, *extra.fields])
-    columns, order = schema.names, list(order)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
-        history, seen, flagged = state.get if state.exists else ([], 0, 0)
-        history = np.asarray(history, dtype=float)
-        y = pdf["magnitude"].to_numpy(float)
-        z = trailing_scores(history, y, rows, min_rows)
-        before = np.concatenate([history[-1:] if len(history) else y[:1], y[:-1]])
-        roc = np.abs(y - before)
-        pdf = pdf.assign(roc=roc, z=z, is_z=z > z_threshold, is_roc=roc > roc_threshold)
-        votes = pdf["is_z"].astype("int32") + pdf["is_roc"].astype("int32")
-        pdf = pdf.assign(votes=votes, is_anomaly=votes >= params.MIN_VOTES)
-        pdf = pdf.assign(reading_seq=seen + np.arange(1, len(pdf) + 1),
-                         anomaly_no=flagged + pdf["is_anomaly"].cumsum())
-        state.update((np.concatenate([history, y])[-rows:].tolist(), seen + len(pdf),
-                      int(flagged + pdf["is_anomaly"].sum())))
-        yield pdf[columns]
-
-    return df.groupBy(*by).applyInPandasWithState(
-        step, schema, "history array<double>, seen long, flagged long", "append", GroupStateTimeout.NoTimeout)
+    detector = Detector(schema.names, min_rows, z_threshold, roc_threshold, order=order, rows=rows, ttl_ms=ttl_ms,
+                        held_rows=held_rows)
+    return keep_state(df, by, detector, schema, ttl_ms)
 
 
 def stream_score(df: DataFrame, models: Sequence[PipelineModel | None], absent: Sequence[str] = ()) -> DataFrame:
@@ -64,51 +70,71 @@ def stream_score(df: DataFrame, models: Sequence[PipelineModel | None], absent:
 def online_flags(points: np.ndarray, fresh: np.ndarray, rows: int, min_rows: int, z_threshold: float):
     """Classic z and mean distance of each fresh point (x, y, z, magnitude)
     against the trailing points with it, and whether each rule fires."""
-    line = np.concatenate([points[-(rows - 1):], fresh])[:, 3]
-    lead = len(line) - len(fresh)
+    n, average, std = trailing_moments(points[:, 3], fresh[:, 3], rows)
+    ok = (n >= min_rows) & (std > 0)
     z = np.full(len(fresh), np.nan)
-    for i in range(len(fresh)):
-        past = line[max(0, lead + i + 1 - rows):lead + i + 1]
-        std = past.std()
-        if len(past) >= min_rows and std > 0:
-            z[i] = abs(fresh[i, 3] - past.mean()) / std
+    z[ok] = np.abs(fresh[ok, 3] - average[ok]) / std[ok]
     mean, p95 = trailing_distances(points[:, :3], fresh[:, :3], rows, min_rows)
     return z, np.nan_to_num(z) > z_threshold, np.nan_to_num(mean) > np.nan_to_num(p95)
 
 
+class OnlineChecker(OrderedProcessor):
+    """``shared``: the forests of all groups, broadcast; without it each group
+    has its forest in its own state."""
+
+    ring = (*AXES, "magnitude")
+
+    def __init__(self, columns: Sequence[str], shared, min_rows: int, z_threshold: float, iso_limit: float, **options):
+        super().__init__(**options)
+        self.columns, self.shared, self.min_rows = list(columns), shared, min_rows
+        self.z_threshold, self.iso_limit = z_threshold, iso_limit
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self._forest = handle.getValueState("forest", T.StructType([T.StructField("trees", T.BinaryType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        rows = sorted(initialState.to_dict("records"), key=lambda r: r["tree"])
+        self._forest.update((pickle.dumps(_as_forest(rows)),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        if self.shared is not None:
+            self.model = self.shared.value.get(key[0])
+        else:
+            self.model = pickle.loads(bytes(self._forest.get()[0])) if self._forest.exists() else None
+        yield from super().handleInputRows(key, rows, timerValues)
+
+    def block(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fresh = pdf[list(self.ring)].to_numpy(float)
+        z, is_z, far = online_flags(self.past, fresh, self.rows, self.min_rows, self.z_threshold)
+        known = np.arange(len(self.past) + 1, len(self.past) + len(fresh) + 1) >= self.min_rows
+        score = np.full(len(fresh), np.nan)
+        if self.model is not None:
+            score[known] = self.model.score(fresh[known, :3])
+        iso = np.nan_to_num(score) < self.iso_limit
+        votes = is_z.astype("int32") + iso.astype("int32") + far.astype("int32")
+        return pdf.assign(z_classic=z, iso_score=score, is_z_classic=is_z, is_iso_online=iso, is_far=far,
+                          votes=votes, is_anomaly=votes >= params.MIN_VOTES)[self.columns]
+
+
 def stream_online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                         rows: int = params.HISTORY_ROWS, min_rows: int = params.HISTORY_MIN,
-                        z_threshold: float = 3.0, iso_limit: float = -0.5) -> DataFrame:
-    """Streaming twin of ``online_check`` with a frozen forest."""
-    trees: dict[str, list] = {}
-    for row in forest.orderBy("_g", "tree").collect():
-        trees.setdefault(row["_g"], []).append(row)
-    shared = df.sparkSession.sparkContext.broadcast({g: _as_forest(r) for g, r in trees.items()})
-    tagged = df.withColumn("_g", _group_key(by))
+                        z_threshold: float = 3.0, iso_limit: float = -0.5, ttl_ms: int | None = None,
+                        held_rows: int = HELD_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Streaming twin of ``online_check`` with a frozen forest.  The trees of up
+    to ``broadcast_groups`` groups are broadcast; those of more are dealt to the
+    groups as their initial state."""
+    shared = None
+    if forest.select("_g").distinct().limit(broadcast_groups + 1).count() <= broadcast_groups:
+        trees: dict[str, list] = {}
+        for row in forest.orderBy("_g", "tree").collect():
+            trees.setdefault(row["_g"], []).append(row)
+        shared = df.sparkSession.sparkContext.broadcast({g: _as_forest(r) for g, r in trees.items()})
     fields = [T.StructField("z_classic", T.DoubleType()), T.StructField("iso_score", T.DoubleType()),
               *[T.StructField(c, T.BooleanType()) for c in ("is_z_classic", "is_iso_online", "is_far")],
               T.StructField("votes", T.IntegerType()), T.StructField("is_anomaly", T.BooleanType())]
     schema = T.StructType([*df.schema.fields, *fields])
-    columns, order, axes = schema.names, list(order), list(AXES)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
-        past = np.asarray(state.get[0] if state.exists else [], dtype=float).reshape(-1, 4)
-        fresh = pdf[[*axes, "magnitude"]].to_numpy(float)
-        z, is_z, far = online_flags(past, fresh, rows, min_rows, z_threshold)
-        known = np.arange(len(past) + 1, len(past) + len(fresh) + 1) >= min_rows
-        score = np.full(len(fresh), np.nan)
-        model = shared.value.get(pdf["_g"].iloc[0])
-        if model is not None:
-            score[known] = model.score(fresh[known, :3])
-        iso = np.nan_to_num(score) < iso_limit
-        votes = (is_z.astype("int32") + iso.astype("int32") + far.astype("int32"))
-        state.update((np.concatenate([past, fresh])[-rows:].ravel().tolist(),))
-        yield pdf.assign(z_classic=z, iso_score=score, is_z_classic=is_z, is_iso_online=iso, is_far=far,
-                         votes=votes, is_anomaly=votes >= params.MIN_VOTES)[columns]
-
-    return tagged.groupBy(*by).applyInPandasWithState(
-        step, schema, "points array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-__all__ = ["F", "online_flags", "stream_detect", "stream_online_check", "stream_score", "trailing_scores"]
+    checker = OnlineChecker(schema.names, shared, min_rows, z_threshold, iso_limit, order=order, rows=rows,
+                            ttl_ms=ttl_ms, held_rows=held_rows)
+    return keep_state(df.withColumn("_g", _group_key(by)), ["_g"], checker, schema, ttl_ms,
+                      None if shared is not None else forest)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from telluria.operators.metric import MetricTree
 from telluria.operators.neighbors import knn_self_join, local_outlier_factor
 
 
@@ -58,3 +59,67 @@ def test_lof_equals_brute_force(spark, kind):
 def test_fewer_rows_than_neighbours(spark):
     got = knn_self_join(frame(spark, points("spread", 4)), "id", 10, by=[])
     assert got.count() == 12
+
+
+def test_a_row_alone_in_its_group_has_no_factor(spark):
+    rows = [("a", i, float(i), 0.0, 0.0) for i in range(6)] + [("b", 9, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id long, bx double, by double, bz double")
+    got = {r["id"]: r for r in local_outlier_factor(df, "id", 3, by=["g"]).collect()}
+    assert len(got) == 7 and got[9]["lof"] is None and got[9]["is_lof"] is None
+    assert all(got[i]["lof"] is not None for i in range(6))
+
+
+def vectors(kind, n=500, dims=24):
+    rng = np.random.default_rng(8)
+    if kind == "noise":
+        return rng.normal(size=(n, dims))
+    if kind == "lattice":  # many equal distances
+        return rng.integers(0, 2, (n, dims)).astype(float)
+    x = rng.normal(size=(n, dims)) / 30 + rng.normal(size=(12, dims))[rng.integers(0, 12, n)]
+    x[:n // 3] = x[0]  # a third at one place
+    x[-3:] = [[1e3] * dims, [1e3] * (dims - 1) + [1e3 + 1e-9], [-1e6] * dims]  # far outliers
+    return x
+
+
+def near_by_definition(x, k):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    orders = [[j for j in np.lexsort((np.arange(len(x)), np.round(row, 9))) if j != i][:k] for i, row in enumerate(d)]
+    return [(o, d[i][o]) for i, o in enumerate(orders)]
+
+
+@pytest.mark.parametrize("kind", ["noise", "lattice", "clusters"])
+def test_whole_vectors_equal_brute_force(spark, kind):
+    x, k = vectors(kind), 6
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    df = df.unionByName(spark.createDataFrame([(9001, None), (9002, [float("nan")] * 24), (9003, [None] * 24)], df.schema))
+    got = knn_self_join(df, "id", k, axes="vec", by=[], leaf_rows=30).toPandas().sort_values(["id", "neighbor_rank"])
+    assert len(got) == len(x) * k
+    for i, (order, d) in enumerate(near_by_definition(x, k)):
+        mine = got[got.id == i]
+        assert np.allclose(mine.distance, d)
+        assert list(mine.neighbor) == order
+
+
+def test_factor_of_whole_vectors(spark):
+    x, k = vectors("clusters"), 8
+    near = near_by_definition(x, k)
+    kd = np.array([d[-1] for _, d in near])
+    lrd = np.array([1 / (np.mean(np.maximum(kd[o], d)) + 1e-10) for o, d in near])
+    lof = np.array([np.mean(lrd[o]) / lrd[i] for i, (o, _) in enumerate(near)])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    got = local_outlier_factor(df, "id", k, axes="vec", by=[], leaf_rows=40).orderBy("id").toPandas()
+    assert np.allclose(got.lof, lof, rtol=1e-6)
+
+
+def test_far_outliers_visit_few_leaves(spark):
+    """Planted structure: the bounds keep every query to a few leaves."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.normal(size=(60, 16)) / 50 for c in rng.normal(size=(30, 16)) * 5])
+    x[:4] += 500 * rng.normal(size=(4, 16))
+    rows = [(i, [i], [float(v) for v in p]) for i, p in enumerate(x)]
+    tree = MetricTree.build(spark.createDataFrame(rows, "pid long, ids array<long>, v array<double>"), [], 64, fan=8)
+    leaves = tree.leaves.select("_node").distinct().count()
+    visits = tree.route(tree.radii(6), 6).groupBy("pid").count().toPandas()
+    assert leaves > 25 and len(visits) == len(x)
+    assert visits["count"].mean() < leaves / 8 and visits["count"].max() < leaves / 2
+    assert tree.leaves.groupBy("_node").count().agg({"count": "max"}).first()[0] <= 64

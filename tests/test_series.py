@@ -106,3 +106,40 @@ def test_sensors_are_counted_exactly(spark):
                                     F.timestamp_seconds(F.lit(3)).alias("event_ts"))
     row = A.throughput_report(df, 5, flag=None).first()
     assert row.n_sensors == 20_000
+
+
+def edge_medians(y, half):
+    """Running medians with the end values standing in beyond the ends."""
+    line = np.concatenate([np.full(half, y[0]), y, np.full(half, y[-1])])
+    return np.array([np.median(line[i:i + 2 * half + 1]) for i in range(len(y))])
+
+
+def long_series(kind, n):
+    rng = np.random.default_rng(6)
+    if kind == "drift":
+        return np.cumsum(rng.normal(size=n))
+    if kind == "ties":  # a third of the rows has one value
+        return np.where(rng.random(n) < 0.34, 5.0, rng.integers(0, 9, n).astype(float))
+    return np.where(np.arange(n) % 2 == 0, 1000.0, -1000.0) + rng.normal(size=n)  # the median jumps
+
+
+@pytest.mark.parametrize("kind", ["drift", "ties", "jumps"])
+def test_running_median_wider_than_a_slice(spark, kind):
+    y = long_series(kind, 50_000 if kind == "drift" else 9_000)
+    few = long_series("drift", 700)
+    rows = [("f", 0, i, float(i), float(v)) for i, v in enumerate(y)] + [("f", 1, i, float(i), float(v)) for i, v in enumerate(few)]
+    df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, magnitude double")
+    got = W.zscore_detrended(df, slice_rows=500).orderBy("sensor_id", "reading_number").toPandas()
+    assert len(got) == len(rows)
+    assert np.array_equal(got[got.sensor_id == 0].trend.to_numpy(), edge_medians(y, max(31, len(y) // 10) // 2))
+    assert np.array_equal(got[got.sensor_id == 1].trend.to_numpy(), edge_medians(few, 35))
+    again = W.zscore_detrended(df.repartition(7), slice_rows=500, window=1801).orderBy("sensor_id", "reading_number").toPandas()
+    assert np.array_equal(again[again.sensor_id == 0].trend.to_numpy(), edge_medians(y, 900))
+
+
+def test_wide_median_puts_missing_values_last(spark):
+    y = [float(i % 7) if i % 5 else None for i in range(400)]
+    rows = [("f", 0, i, float(i), v) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, magnitude double")
+    wide, narrow = (W.zscore_detrended(df, slice_rows=n, window=151).orderBy("reading_number").toPandas().trend for n in (60, 1000))
+    assert wide.equals(narrow)

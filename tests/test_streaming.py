@@ -31,11 +31,46 @@ def test_detector(stream, readings):
     assert table_of(got, *cols) == table_of(anomaly.detect_flight(readings, roc_threshold=50), *cols)
 
 
+def test_detector_merges_sorted_runs_of_a_large_batch(stream, readings):
+    """Groups of more rows than may be held are sorted in runs and merged."""
+    cols = ["reading_number", "z", "roc", "votes", "is_anomaly"]
+    got = core.drain(detect.stream_detect(stream(), by=["flight_id"], roc_threshold=50, held_rows=60, ttl_ms=3_600_000))
+    assert table_of(got, *cols) == table_of(anomaly.detect_flight(readings, by=["flight_id"], roc_threshold=50), *cols)
+
+
+def test_runs_are_merged_in_blocks():
+    import random
+
+    import pandas as pd
+
+    from telluria.streaming.ordered import OrderedProcessor
+
+    class Store(dict):
+        def updateValue(self, k, v):
+            self[k] = v
+
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+    class Seen(OrderedProcessor):
+        ring = ("v",)
+
+    for n, held, block in ((1000, 90, 7), (1000, 1000, 100), (37, 5, 50), (0, 5, 5)):
+        rows = [(random.randrange(40), i) for i in range(n)]
+        random.shuffle(rows)
+        seen = Seen(["a", "b"], 10, held_rows=held, run_block=block)
+        seen._runs = Store()
+        parts = [pd.DataFrame(rows[i:i + 30], columns=["a", "b"]) for i in range(0, n, 30)]
+        out = list(seen._ordered(iter(parts)))
+        assert [tuple(r) for p in out for r in p.itertuples(index=False)] == sorted(rows) and not seen._runs
+        assert all(len(p) <= max(held + 30, block * (1 + n // held)) for p in out)
+
+
 def test_online_check(spark, stream, readings):
     trees = forest.fit_isolation_forest(readings, ["reading_number"], trees=10).cache()
     cols = ["reading_number", "iso_score", "z_classic", "is_far", "votes"]
-    got = core.drain(detect.stream_online_check(stream(), trees, rows=60))
-    assert table_of(got, *cols) == table_of(anomaly.online_check(readings, trees, rows=60), *cols)
+    want = table_of(anomaly.online_check(readings, trees, rows=60), *cols)
+    for groups in (64, 0):  # forests broadcast, or in the state of their groups
+        assert table_of(core.drain(detect.stream_online_check(stream(), trees, rows=60, broadcast_groups=groups)), *cols) == want
 
 
 def test_windows_and_sessions(stream, readings):
