@@ -2,7 +2,8 @@
 
 State per group: the last ``rows`` values, and counters.  See
 :mod:`telluria.streaming.ordered` for how rows come in order and in blocks.
-``ttl_ms`` forgets groups that have been silent for so long.
+``ttl_ms`` forgets groups that have been silent for so long; such a stream looks
+at the clock again and again, so it does not end by itself with ``availableNow``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from telluria import params
 from telluria.functions.frames import trailing_distances, trailing_moments, trailing_scores
-from telluria.operators.forest import BROADCAST_GROUPS, _as_forest, _group_key
+from telluria.operators.forest import _as_forest, _group_key
 from telluria.operators.models import score_batch
 from telluria.schema import AXES, KEYS, ORDER
 from telluria.streaming.ordered import HELD_ROWS, OrderedProcessor, keep_state
@@ -79,14 +80,13 @@ def online_flags(points: np.ndarray, fresh: np.ndarray, rows: int, min_rows: int
 
 
 class OnlineChecker(OrderedProcessor):
-    """``shared``: the forests of all groups, broadcast; without it each group
-    has its forest in its own state."""
+    """Each group has its forest in its own state, dealt to it at the start."""
 
     ring = (*AXES, "magnitude")
 
-    def __init__(self, columns: Sequence[str], shared, min_rows: int, z_threshold: float, iso_limit: float, **options):
+    def __init__(self, columns: Sequence[str], min_rows: int, z_threshold: float, iso_limit: float, **options):
         super().__init__(**options)
-        self.columns, self.shared, self.min_rows = list(columns), shared, min_rows
+        self.columns, self.min_rows = list(columns), min_rows
         self.z_threshold, self.iso_limit = z_threshold, iso_limit
 
     def init(self, handle) -> None:
@@ -98,10 +98,7 @@ class OnlineChecker(OrderedProcessor):
         self._forest.update((pickle.dumps(_as_forest(rows)),))
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.shared is not None:
-            self.model = self.shared.value.get(key[0])
-        else:
-            self.model = pickle.loads(bytes(self._forest.get()[0])) if self._forest.exists() else None
+        self.model = pickle.loads(bytes(self._forest.get()[0])) if self._forest.exists() else None
         yield from super().handleInputRows(key, rows, timerValues)
 
     def block(self, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,21 +117,13 @@ class OnlineChecker(OrderedProcessor):
 def stream_online_check(df: DataFrame, forest: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
                         rows: int = params.HISTORY_ROWS, min_rows: int = params.HISTORY_MIN,
                         z_threshold: float = 3.0, iso_limit: float = -0.5, ttl_ms: int | None = None,
-                        held_rows: int = HELD_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """Streaming twin of ``online_check`` with a frozen forest.  The trees of up
-    to ``broadcast_groups`` groups are broadcast; those of more are dealt to the
-    groups as their initial state."""
-    shared = None
-    if forest.select("_g").distinct().limit(broadcast_groups + 1).count() <= broadcast_groups:
-        trees: dict[str, list] = {}
-        for row in forest.orderBy("_g", "tree").collect():
-            trees.setdefault(row["_g"], []).append(row)
-        shared = df.sparkSession.sparkContext.broadcast({g: _as_forest(r) for g, r in trees.items()})
+                        held_rows: int = HELD_ROWS) -> DataFrame:
+    """Streaming twin of ``online_check`` with a frozen forest, whose trees are
+    dealt to the groups as their initial state; nothing is broadcast."""
     fields = [T.StructField("z_classic", T.DoubleType()), T.StructField("iso_score", T.DoubleType()),
               *[T.StructField(c, T.BooleanType()) for c in ("is_z_classic", "is_iso_online", "is_far")],
               T.StructField("votes", T.IntegerType()), T.StructField("is_anomaly", T.BooleanType())]
     schema = T.StructType([*df.schema.fields, *fields])
-    checker = OnlineChecker(schema.names, shared, min_rows, z_threshold, iso_limit, order=order, rows=rows,
+    checker = OnlineChecker(schema.names, min_rows, z_threshold, iso_limit, order=order, rows=rows,
                             ttl_ms=ttl_ms, held_rows=held_rows)
-    return keep_state(df.withColumn("_g", _group_key(by)), ["_g"], checker, schema, ttl_ms,
-                      None if shared is not None else forest)
+    return keep_state(df.withColumn("_g", _group_key(by)), ["_g"], checker, schema, ttl_ms, forest)

@@ -34,7 +34,7 @@ def test_detector(stream, readings):
 def test_detector_merges_sorted_runs_of_a_large_batch(stream, readings):
     """Groups of more rows than may be held are sorted in runs and merged."""
     cols = ["reading_number", "z", "roc", "votes", "is_anomaly"]
-    got = core.drain(detect.stream_detect(stream(), by=["flight_id"], roc_threshold=50, held_rows=60, ttl_ms=3_600_000))
+    got = core.drain(detect.stream_detect(stream(), by=["flight_id"], roc_threshold=50, held_rows=60))
     assert table_of(got, *cols) == table_of(anomaly.detect_flight(readings, by=["flight_id"], roc_threshold=50), *cols)
 
 
@@ -69,8 +69,7 @@ def test_online_check(spark, stream, readings):
     trees = forest.fit_isolation_forest(readings, ["reading_number"], trees=10).cache()
     cols = ["reading_number", "iso_score", "z_classic", "is_far", "votes"]
     want = table_of(anomaly.online_check(readings, trees, rows=60), *cols)
-    for groups in (64, 0):  # forests broadcast, or in the state of their groups
-        assert table_of(core.drain(detect.stream_online_check(stream(), trees, rows=60, broadcast_groups=groups)), *cols) == want
+    assert table_of(core.drain(detect.stream_online_check(stream(), trees, rows=60)), *cols) == want
 
 
 def test_windows_and_sessions(stream, readings):
