@@ -106,13 +106,13 @@ def _(s, d):
 @query("fit_second_regressor")
 def _(s, d):
     rows = models.split_random(r(s, d), KEY)
-    out = models.fit_second_regressor(rows.where("is_train"), rounds=10).transform(rows)
+    out = models.fit_second_regressor(rows.where("is_train")).transform(rows)
     return A.metrics_by(out, "magnitude", "magnitude_nn", ["is_train"])
 
 
 @query("fit_kmeans")
 def _(s, d):
-    return models.cluster_centers(s, models.fit_kmeans(r(s, d), max_k=4))
+    return models.cluster_centers(s, models.fit_kmeans(r(s, d)))
 
 
 @query("assign_clusters")
@@ -137,7 +137,7 @@ def _forecast(s, d):
 @query("fit_forecaster")
 def _(s, d):
     rows = O.forecast_baselines(_forecast(s, d))
-    model = models.fit_forecaster(rows.where("is_train"), trees=TREES, depth=8)
+    model = models.fit_forecaster(rows.where("is_train"))
     test = model.transform(rows.where("NOT is_train")).drop("_features")
     names = ["forecast", "pred_last", "pred_linear", "pred_mean"]
     return A.long_form(test, names, ["target"], "method", "prediction").transform(
@@ -147,7 +147,7 @@ def _(s, d):
 @query("prediction_error_anomalies")
 def _(s, d):
     rows = _forecast(s, d)
-    model = models.fit_forecaster(rows.where("is_train"), trees=TREES, depth=8)
+    model = models.fit_forecaster(rows.where("is_train"))
     out = anomaly.prediction_error_anomalies(model.transform(rows))
     return out.select("reading_number", "sensor_id", "abs_error", "error_threshold", "is_error_anomaly")
 
