@@ -6,17 +6,18 @@ from telluria.operators import anomaly, forest
 
 
 def planted(spark, n=1500):
-    """Three sensors with noise and rare jumps on x; ``planted`` marks them."""
-    rng = np.random.default_rng(42)
-    base = [(8100, 2300, -5200), (7900, 2500, -5100), (8300, 2100, -5400)]
-    rows = []
-    for i in range(n):
-        s = i % 3
-        v = np.array(base[s]) + rng.normal(0, 30, 3)
-        jump = i > 200 and rng.random() < 0.01
-        if jump:
-            v[0] += rng.choice([-1, 1]) * rng.uniform(700, 1600)
-        rows.append(("f", s, i, i * 0.0074, *map(float, v), float(np.sqrt((v ** 2).sum())), bool(jump)))
+    """Three sensors on slow drifts with a closed-form jitter; every 101st row
+    after the first 200 is a dropout or an overshoot of all axes, ``planted``."""
+    i = np.arange(n)
+    sensor = i % 3
+    centre = np.array([[5200.0, -3100.0, 8700.0], [4700.0, 3900.0, -9100.0], [-6100.0, 2500.0, 7800.0]])[sensor]
+    drift = 60 * np.sin(i / 400)[:, None] * np.array([1.0, 0.5, -0.7])
+    jitter = 50 * (np.modf(np.abs(np.sin(i[:, None] * np.array([12.9898, 78.233, 37.719]))) * 43758.5453)[0] - 0.5)
+    odd = (i > 200) & (i % 101 == 0)
+    factor = np.where(odd, np.where(i % 2 == 0, 0.4, 1.5), 1.0)
+    v = (centre + drift + jitter) * factor[:, None]
+    rows = [("f", int(s), int(k), float(k * 0.0074), *map(float, p), float(np.sqrt((p ** 2).sum())), bool(o))
+            for s, k, p, o in zip(sensor, i, v, odd)]
     return spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, "
                                        "bx double, by double, bz double, magnitude double, planted boolean")
 
