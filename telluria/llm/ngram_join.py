@@ -20,6 +20,10 @@ sets are collapsed first.  The join then runs on regions around pivots:
    overlap enough; one of the two is outside the region's commonest component.
    Both are dealt into blocks of bounded size, and a task joins two blocks.
 
+Before two sets are compared, their bitmaps are: each shingle turns over one bit of
+its set's map, so maps differ in at most as many bits as the sets have shingles not
+in common, and pairs beyond what linked sets may differ by go unread.
+
 No link between components is lost, and none is asked for inside one.  Distances
 are exact: whole sets are compared, shingles by 64-bit hashes.
 
@@ -81,10 +85,21 @@ def name_of(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def parity(shingles: np.ndarray) -> np.ndarray | None:
+    """A bitmap of two to four bits a shingle; each shingle turns one of them over.
+    Two bitmaps differ in no more bits than the sets have differing shingles."""
+    if not len(shingles):
+        return None
+    bits = max(64, 1 << (2 * len(shingles)).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, node`` of each row; and each task's shingle counts, in
+    """``doc_id, n, node, bits`` of each row; and each task's shingle counts, in
     stretches ``slot``, ``counts``."""
-    stretch = 1 << (COUNTERS - 6)
+    stretch, longs = 1 << (COUNTERS - 6), pa.list_(pa.int64())
+    columns = ["doc_id", "n", "node", "bits", "slot", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(1 << COUNTERS, np.int64)
@@ -95,15 +110,15 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             rows = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([name_of(s) for s in sets], pa.binary()), pa.nulls(rows, pa.int64()),
-                 pa.nulls(rows, pa.binary())], names=["doc_id", "n", "node", "slot", "counts"])
+                 pa.array([name_of(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], longs),
+                 pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary())], names=columns)
         none = pa.nulls(64, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, pa.nulls(64, pa.binary()), pa.array(range(64), pa.int64()),
+            [none, none, pa.nulls(64, pa.binary()), pa.nulls(64, longs), pa.array(range(64), pa.int64()),
              pa.array([S.pack(counts[i * stretch:(i + 1) * stretch].tobytes()) for i in range(64)], pa.binary())],
-            names=["doc_id", "n", "node", "slot", "counts"])
+            names=columns)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, slot long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, bits array<bigint>, slot long, counts binary")
 
 
 def counters(surveyed: DataFrame) -> np.ndarray:
@@ -266,6 +281,24 @@ def pairs_to_compare(entries: DataFrame, t: Threshold) -> DataFrame:
     return joined.where(F.col("times") + F.least("la", "lb") >= need).select("a", "b", "na", "nb")
 
 
+def near_enough(pairs: DataFrame, names: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of fitting sizes whose bitmaps differ in no more bits than linked sets have differing
+    shingles.  Of two bitmaps the longer is folded to half its length; pairs with
+    bitmaps further apart than that are kept."""
+    num, den = t
+    bits = names.select("node", "bits")
+    both = (pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a")
+            .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b"))
+    xor = lambda p, q: F.zip_with(p, q, lambda u, v: u.bitwiseXOR(v))
+    low = F.least(F.size("x"), F.size("y"))
+    cut = lambda c: F.when(F.size(c) == 2 * low, xor(F.slice(c, 1, low), F.slice(c, low + 1, low))).otherwise(F.col(c))
+    differ = F.aggregate(xor(cut("x"), cut("y")), F.lit(0), lambda total, v: total + F.bit_count(v))
+    alike = F.greatest(F.size("x"), F.size("y")) <= 2 * low
+    fits = differ * (num + den) <= (den - num) * (F.col("na") + F.col("nb"))
+    size = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return both.where(size & F.when(alike, fits).otherwise(True)).select("a", "b", "na", "nb")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``node, shingles``: the sets of the documents ``order_id`` of ``wanted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +399,7 @@ def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names
                     t: Threshold) -> DataFrame:
     """``node, root``, from the pairs to compare first and the members of regions
     ``region, a, na, place`` with their pivots ``b, nb``."""
-    compared = compare(pairs, docs, names, k)
+    compared = compare(near_enough(pairs, names, t), docs, names, k)
     links = compared.where(linked(t))
     roots = components(links)
     still = materialize(_open_regions(members, roots))
@@ -380,20 +413,22 @@ def find_components(members: DataFrame, pairs: DataFrame, docs: DataFrame, names
     compared = compared.unionByName(compare(unmet, docs, names, k))
     parts = still.where(F.col("size") <= SMALL).select(*kept).unionByName(rings(large, compared, t).select(*kept))
     more = pairs_between(parts, t).join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return components(links.unionByName(compare(more, docs, names, k).where(linked(t))))
+    return components(links.unionByName(compare(near_enough(more, names, t), docs, names, k).where(linked(t))))
 
 
 def prepare(df: DataFrame, id_col: str, text_col: str, k: int, t: Threshold) -> tuple[DataFrame, ...]:
     """Documents, their rows ``doc_id, n, node, order_id``, the distinct sets
-    ``node, order_id, n`` and what they meet in."""
+    ``node, order_id, n, bits`` and what they meet in."""
     spark = df.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).withColumn(
         "order_id", F.coalesce("doc_id", F.lit(int(S.LAST))))
     surveyed = materialize(survey(docs.select("doc_id", "text"), k))
-    rows = surveyed.where("slot is null").select("doc_id", "n", "node").withColumn(
+    whole = surveyed.where("slot is null").select("doc_id", "n", "node", "bits").withColumn(
         "order_id", F.coalesce("doc_id", F.lit(int(S.LAST))))
-    names = materialize(rows.where("n > 0").groupBy("node").agg(F.min("order_id").alias("order_id"), F.sum("n").alias("n")))
+    rows = whole.drop("bits")
+    names = materialize(whole.where("n > 0").groupBy("node").agg(
+        F.min("order_id").alias("order_id"), F.sum("n").alias("n"), F.first("bits").alias("bits")))
     rarity = spark.sparkContext.broadcast(counters(surveyed))
     total = int(names.agg(F.sum("n")).first()[0] or 0)
     slots = S.slots(spark, total * (t[1] - t[0]) // t[1] // ENTRIES + 1)

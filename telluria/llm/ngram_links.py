@@ -51,7 +51,7 @@ def links_of(entries: DataFrame, docs: DataFrame, names: DataFrame, k: int, t: J
     need = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den)) - F.greatest(whole("na"), whole("nb")) + 1
     pairs = (met.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"), F.sum("near").alias("near"))
              .where((F.col("near") > 0) & (F.col("times") >= need)).select("a", "b", "na", "nb"))
-    return J.compare(pairs, docs, names, k).where(J.linked(t))
+    return J.compare(J.near_enough(pairs, names, t), docs, names, k).where(J.linked(t))
 
 
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm.conftest import words
 
@@ -122,3 +123,28 @@ def test_linked_sets_meet_often_enough():
             assert len(first[0] & first[1]) >= need
             seen += need > 1
     assert seen > 50
+
+
+def test_bitmaps_keep_every_link(spark):
+    """Sets of sizes on both sides of a power of two, from equal to unlike."""
+    random = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n in (1, 2, 7, 31, 32, 33, 127, 128, 130, 500, 1023, 1025):
+        one = np.unique(random.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.02, 0.08, 0.1, 0.2, 0.3, 1.0):
+            drop = int(len(one) * share)
+            other = np.unique(np.concatenate([one[drop:], random.integers(0, 1 << 63, int(drop * random.random()), dtype=np.uint64)]))
+            if len(other):
+                at = len(sets)
+                sets += [one, other]
+                pairs.append((at, at + 1, len(np.intersect1d(one, other))))
+    node = lambda i: i.to_bytes(4, "big")
+    names = spark.createDataFrame([(node(i), [int(v) for v in J.parity(s)]) for i, s in enumerate(sets)],
+                                  "node binary, bits array<bigint>")
+    asked = spark.createDataFrame([(node(a), node(b), len(sets[a]), len(sets[b])) for a, b, _ in pairs],
+                                  "a binary, b binary, na long, nb long")
+    got = {bytes(r["a"]) for r in J.near_enough(asked, names, (17, 20)).collect()}
+    linked = {node(a) for a, b, met in pairs if 100 * met >= 85 * (len(sets[a]) + len(sets[b]) - met)}
+    assert linked <= got
+    unlike = {node(a) for a, b, met in pairs if len(sets[a]) > 100 and 2 * met < len(sets[a])}
+    assert unlike and not unlike & got
