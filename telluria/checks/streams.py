@@ -6,7 +6,7 @@ from telluria.checks.base import DET, GAP_POOLED, ROC_LIMIT, F, query, r, rounde
 from telluria.operators import forest, models
 from telluria.session import scratch_path
 from telluria.sources.tables import as_readings
-from telluria.streaming import core, detect, monitor
+from telluria.streaming import core, detect, monitor, progress
 
 WATERMARK = "40 days"
 
@@ -59,6 +59,16 @@ def _(s, d):
     return out.select("reading_number", "sensor_id", "z_classic", "iso_score", "is_far", "votes", "is_anomaly")
 
 
+@query("stream_progress", "SELECT 1::BIGINT AS runs, count(*) AS input_rows, 0::BIGINT AS late_rows FROM events")
+def _(s, d):
+    path = scratch_path(s, "progress_table")
+    with progress.recording(s, path):
+        core.drain(_stream(s, d))
+    runs = progress.summarize_progress(progress.read_progress(s, path))
+    return runs.agg(F.count(F.lit(1)).alias("runs"), F.sum("input_rows").alias("input_rows"),
+                    F.sum("late_rows").alias("late_rows"))
+
+
 @query("stream_monitor", sql("""w AS (SELECT *, bx > 90 AS f, (epoch_us(event_ts) // 600000000) * 600000000 - g.i * 600000000 AS start_us
   FROM readings, range(12) g(i))""", select="""SELECT start_us, count(*) AS n, round(min(magnitude), 4) AS mag_min, round(max(magnitude), 4) AS mag_max,
   max(bx) AS z_max, max(bz) AS roc_max, count(*) FILTER (f) AS n_anomalies, round(max(mission_time_s), 6) AS last_time FROM w GROUP BY start_us"""))

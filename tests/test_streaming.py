@@ -1,12 +1,14 @@
 """Every stream gives what its batch twin gives, for any split into files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import table_of
 from telluria.operators import anomaly, forest
 from telluria.schema import READINGS
-from telluria.streaming import core, detect, monitor
+from telluria.streaming import core, detect, monitor, progress
 
 
 @pytest.fixture(scope="module", params=[1, 4])
@@ -117,3 +119,27 @@ def test_retrain_goes_on_counting_after_a_restart(spark, readings, tmp_path):
         monitor.stream_retrain(stream, lambda: readings, lambda m, n: fits.append((part, n)), str(tmp_path / "cp"), every=100,
                                trees=2, depth=2, once=True).awaitTermination()
     assert fits == [(1, 1)]
+
+
+def test_progress_counts_rows_and_late_rows(spark, tmp_path):
+    """Spark drops by the watermark of the batch before: a row is late when a batch
+    at least two before its own saw a time more than ten seconds on."""
+    batches = [[1, 40, 100], [50, 60, 95, 120], [111, 100, 30, 130], [131]]
+    for i, seconds in enumerate(batches):
+        rows = [(f"{i}-{j}", t) for j, t in enumerate(seconds)]
+        spark.createDataFrame(rows, "id string, t long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.1)
+    stream = (spark.readStream.schema("id string, t long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+              .withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "10 seconds").dropDuplicates(["id", "ts"]))
+    with progress.recording(spark, f"{tmp_path}/progress", trigger_ms=0, held=2):
+        kept = core.drain(stream).count()
+    table = progress.read_progress(spark, f"{tmp_path}/progress")
+    late = []
+    for i, seconds in enumerate(batches):
+        seen = max((t for b in batches[:max(0, i - 1)] for t in b), default=0)
+        late.append(sum(t < seen - 10 for t in seconds))
+    got = table.where("input_rows > 0").orderBy("batch_id").select("input_rows", "late_rows").collect()
+    assert [tuple(x) for x in got] == [(len(b), n) for b, n in zip(batches, late)]
+    run = progress.summarize_progress(table).first()
+    assert (run["batches"], run["input_rows"], run["late_rows"]) == (4, 12, sum(late)) and kept == 12 - sum(late)
+    assert run["overruns"] == table.count()
