@@ -30,7 +30,7 @@ from telluria.llm.text import alnum_words, documents
 from telluria.session import materialize
 
 # Phrases whose places are counted, and their labels.
-PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 # Licence notices as their publishers word them.
 TEMPLATES = (
     ("mit", "released under the mit license"),

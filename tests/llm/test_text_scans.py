@@ -105,6 +105,15 @@ def test_licences(spark, corpus):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_base_phrases_are_those_of_the_contract(spark):
+    rows = [(1, "Released under the MIT License."), (2, "see the MIT License"), (3, "under the MIT-license, Under the mit license"),
+            (4, "Apache License, Version 2.0"), (5, "CC BY-NC")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got} == {
+        1: (5, 1, 1, 1, "mit"), 2: (4, 0, None, None, ""), 3: (8, 2, 0, 4, "mit"), 4: (5, 1, 0, 0, "apache-2"),
+        5: (3, 1, 0, 0, "cc-by-nc")}
+
+
 def counted(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
