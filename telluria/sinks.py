@@ -64,8 +64,25 @@ def render_magneto_lines(df: DataFrame, t: str = "mission_time_s", number: str =
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Decimal text with half-even rounding of the shortest decimal form."""
-    return F.bround(value.cast(f"decimal(30,{digits + 8})"), digits).cast(f"decimal(30,{digits})").cast("string")
+    """Text with ``digits`` (three at most) decimals, rounded half to even on the
+    exact binary value as C's ``printf`` does: 0.35 lies below its decimal form
+    and gives 0.3, 0.25 is a true tie and gives 0.2."""
+    scale, one = 10 ** digits, 1 << 52
+    x = F.abs(value.cast("double"))
+    whole = F.floor(x)
+    units = (x - whole) * F.lit(float(one))  # by a power of two, so nothing is lost
+    low = units - F.floor(units)  # bits below 2^-52, which only values below one have
+    scaled = F.floor(units) * F.lit(scale)
+    digit = F.shiftright(scaled, 52)
+    missing = F.lit(one >> 1) - scaled.bitwiseAND(F.lit(one - 1))  # to the middle
+    odd = (digit + whole % 2 * scale) % 2 == 1
+    more = low * scale
+    digit = digit + ((more > missing) | ((more == missing) & odd)).cast("long")
+    parts = F.concat((whole + (digit == scale).cast("long")).cast("string"), F.lit("." if digits else ""),
+                     F.lpad((digit % scale).cast("string"), digits, "0"))
+    large = F.concat(x.try_cast("decimal(38,0)").cast("string"), F.lit("." * bool(digits) + "0" * digits))
+    text = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x < 2.0 ** 53, parts).otherwise(large)
+    return F.concat(F.when(value < 0, "-").otherwise(""), text)
 
 
 def render_result_lines(df: DataFrame, t: str = "mission_time_s", number: str = "reading_number") -> DataFrame:

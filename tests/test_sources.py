@@ -89,3 +89,17 @@ def test_events(spark):
     got = {r.event: (r.skip_key, r.category) for r in P.categorize_events(P.with_skip_key(df)).collect()}
     assert got["Heartbeat ok"][0] == "heartbeat" and got["sample 3"][0] == "sample"
     assert got["Apogee error"] == (None, "Warning/Error") and got["Motor on"][1] == "Actuator" and got["nothing"][1] == "System"
+
+
+def test_fixed_decimals_round_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    from telluria.sinks import fixed
+
+    values = [0.25, 0.35, 0.05, 0.15, 12.35, 6.745, 0.005, 1.005, 2.675, 9.95, 99.96, 9.995, 0.0, 5e-324, 1e15 + 0.5,
+              2.0 ** 53, 1e17, -0.25, -12.35, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2, 3):
+        got = [row[0] for row in df.select(fixed(F.col("x"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]
+    assert df.select(fixed(F.lit(None).cast("double"), 1)).first()[0] is None
