@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telluria.llm.text import documents
-from telluria.session import materialize, scratch_path
+from telluria.session import materialize, scratch_path, stored
 
 CHUNK = 1 << 15  # characters; longer texts are cut
 OVERLAP = 256
@@ -234,16 +234,17 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     done = [count_whole(docs.where(~long), path)]
     store = scratch_path(spark, "long-texts")
     docs.where(long).withColumn("row", F.monotonically_increasing_id()).write.parquet(store)
-    stored = spark.read.parquet(store)
+    texts = spark.read.parquet(store)
     open_rows = None
     while True:
-        held = stored if open_rows is None else stored.join(open_rows, "row", "left_semi")
+        held = texts if open_rows is None else texts.join(open_rows, "row", "left_semi")
         chars = held.agg(F.sum(F.length("text"))).first()[0]
         if not chars:
             break
         pieces = cut(held, chunk, overlap).repartition(1 + chars // max(TASK_CHARS, chunk), "row", "no")
-        spliced = materialize(splice(encode_chunks(pieces, path, chunk, overlap)))
-        done.append(stored.select("row", "doc_id", "n_bytes").join(spliced.where("apart = 0"), "row")
+        # Splicing reads both neighbours of a boundary; the chunks are encoded once for both.
+        spliced = materialize(splice(stored(encode_chunks(pieces, path, chunk, overlap))))
+        done.append(texts.select("row", "doc_id", "n_bytes").join(spliced.where("apart = 0"), "row")
                     .select("doc_id", "n_bytes", "n_tokens", "n_chunks"))
         open_rows = spliced.where("apart > 0").select("row")
         chunk, overlap = chunk * WIDER, overlap * WIDER

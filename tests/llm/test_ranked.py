@@ -184,3 +184,18 @@ def test_ranked_search(spark, docs, corpus):
     assert sorted(map(tuple, ranked_search(docs, asked, top=2).collect()), key=repr) == direct_search(papers, items, 2)
     assert ranked_search(docs.limit(0), asked).count() == 0
     assert ranked_search(docs, asked.limit(0)).count() == 0
+
+
+def test_chunks_are_encoded_once(spark, monkeypatch):
+    plans, cut_lineage = [], token_counts.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(token_counts, "materialize", seen)
+    text = " ".join(f"word{i % 97}" for i in range(900))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(df, tokenizer_path(), chunk=1000, overlap=100).collect()}
+    assert got == dict(zip((1, 2), counter(tokenizer_path()).count([text, "short"])))
+    assert plans and not any("MapInArrow" in plan for plan in plans)
