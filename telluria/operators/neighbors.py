@@ -71,9 +71,9 @@ def _pack(points: DataFrame, axes: Sequence[str], by: Sequence[str], leaf_rows:
     return points
 
 
-def _closest(q: pd.DataFrame, p: pd.DataFrame, axes, count: int):
-    """For each query row the ``count`` nearest ids of ``p`` by distance and id:
-    yields arrays query index, distance, id, place."""
+def _closest(q: pd.DataFrame, p: pd.DataFrame, axes, count: int, reach: np.ndarray | None = None):
+    """For each query row the ``count`` nearest ids of ``p``, within its reach if
+    it has one, by distance and id: yields arrays query index, distance, id, place."""
     order = np.argsort(p["pid"].to_numpy(), kind="stable")
     p = p.iloc[order]
     px, qx = p[axes].to_numpy(float), q[axes].to_numpy(float)
@@ -91,6 +91,8 @@ def _closest(q: pd.DataFrame, p: pd.DataFrame, axes, count: int):
             d2 = d2 + x * x
         dist = np.sqrt(d2)
         edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
+        if reach is not None:
+            edge = np.minimum(edge, reach[a:a + step])
         qi, ci = np.nonzero(dist <= edge[:, None])
         # Copies share their place's distance, each id counts on its own.
         rep = sizes[ci]
@@ -135,7 +137,8 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
         own = q.select([*by, "pid"])
         parts = []
         if q.num_rows and p.num_rows:
-            for qi, d, nid, place in _closest(q.to_pandas(), p.to_pandas(), axes, count):
+            reach = q.column("r").to_numpy() if "r" in q.column_names else None
+            for qi, d, nid, place in _closest(q.to_pandas(), p.to_pandas(), axes, count, reach):
                 at, near = _lists(qi, d, nid, place, plain)
                 parts.append(own.take(pa.array(at)).append_column("near", near))
         empty = own.slice(0, 0).append_column("near", pa.array([], to_arrow_type(near_type)))
@@ -143,6 +146,16 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
 
     if (known or profile(points, by)).largest <= max(leaf_rows, 2 * count):  # each group is one leaf
         return points.groupBy(*by).applyInArrow(lambda table: found_in(table, table), out_type)
+    packed, routed = _packed_and_routed(points, count, axes, by, leaf_rows, slice_rows)
+    found = _meet_leaves(routed, packed, by, leaf_queries, found_in, out_type)
+    # A place meets the few leaves its radius touches, each with up to k + 1 entries.
+    return found.groupBy(*by, "pid").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, count).alias("near"))
+
+
+def _packed_and_routed(points: DataFrame, count: int, axes, by, leaf_rows: int, slice_rows: int):
+    """The points in their leaves, and each point in every leaf that may hold one
+    of its ``count`` nearest ids, with the distance ``r`` within which its own leaf has so many."""
     packed = materialize(_pack(points, axes, by, max(leaf_rows, 2 * count), slice_rows))
 
     def radius(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,13 +166,16 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
             r[qi[last[full]]] = d[last[full]]
         return pdf[[*by, *LEAF, "pid", *axes]].assign(r=r)
 
-    radius_type = T.StructType([*by_fields, *[T.StructField(c, T.LongType()) for c in LEAF],
-                                T.StructField("pid", id_type), *[packed.schema[a] for a in axes],
+    radius_type = T.StructType([*[points.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in LEAF],
+                                points.schema["pid"], *[packed.schema[a] for a in axes],
                                 T.StructField("r", T.DoubleType())])
     reach = packed.groupBy(*by, *LEAF).applyInPandas(radius, radius_type).drop(*LEAF)
-    routed = materialize(_route(reach, packed, axes, by))
+    return packed, materialize(_route(reach, packed, axes, by))
+
 
-    # Popular leaves are shared out: queries by hash, points by copying.
+def _meet_leaves(routed: DataFrame, packed: DataFrame, by, leaf_queries: int, fn, out_type: T.StructType) -> DataFrame:
+    """``fn(queries of a leaf, its points)``.  Popular leaves are shared out:
+    queries by hash, points by copying."""
     shares = routed.groupBy(*by, *LEAF).agg(F.ceil(F.count(F.lit(1)) / leaf_queries).alias("_s"))
     n_leaves = packed.select(*by, *LEAF).distinct().count()
     small = n_leaves if n_leaves <= BROADCAST_ROWS else None
@@ -167,11 +183,91 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
         "_share", F.floor(unit_hash("pid", seed=5) * F.col("_s"))).drop("_s")
     told = attach(packed, shares, [*by, *LEAF], groups=small, how="inner").withColumn(
         "_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1))).drop("_s")
+    told = told.toDF(*told.columns)  # columns of its own, where both sides come from one frame
     cell = [*by, *LEAF, "_share"]
-    found = asked.groupBy(*cell).cogroup(told.groupBy(*cell)).applyInArrow(found_in, out_type)
-    # A place meets the few leaves its radius touches, each with k + 1 entries.
-    return found.groupBy(*by, "pid").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, count).alias("near"))
+    return asked.groupBy(*cell).cogroup(told.groupBy(*cell)).applyInArrow(fn, out_type)
+
+
+def _neighbor_sums(q: pd.DataFrame, p: pd.DataFrame, axes, floor: bool):
+    """For each query row, over its neighbours in ``p`` (ids up to its last
+    neighbour's distance ``kd`` and id ``kid``, without itself): the sum of their
+    places' ``weight``, with ``floor`` of at least the distance, and how many they are."""
+    px, qx = p[axes].to_numpy(float), q[axes].to_numpy(float)
+    ids, weight = p["ids"].to_numpy(), p["weight"].to_numpy(float)
+    kd, kid, own = q["kd"].to_numpy(float), q["kid"].to_numpy(), q["pid"].to_numpy()
+    sizes = np.array([len(i) for i in ids])
+    flat, starts = np.concatenate([np.asarray(i) for i in ids]), np.cumsum(sizes) - sizes
+    total, number = np.zeros(len(q)), np.zeros(len(q), np.int64)
+    step = max(1, _BLOCK // len(p))
+    for a in range(0, len(q), step):
+        diff = [qx[a:a + step, None, i] - px[None, :, i] for i in range(len(axes))]
+        d2 = diff[0] * diff[0]
+        for x in diff[1:]:
+            d2 = d2 + x * x
+        dist = np.sqrt(d2)
+        qi, ci = np.nonzero(dist <= kd[a:a + step, None])
+        d, rep = dist[qi, ci], sizes[ci]
+        qi, ci, d = np.repeat(qi, rep) + a, np.repeat(ci, rep), np.repeat(d, rep)
+        nid = flat[starts[ci] + np.arange(len(ci)) - np.repeat(np.cumsum(rep) - rep, rep)]
+        near = ((d < kd[qi]) | (nid <= kid[qi])) & (nid != own[qi])
+        qi, ci, d = qi[near], ci[near], d[near]
+        total += np.bincount(qi, np.maximum(weight[ci], d) if floor else weight[ci], len(q))
+        number += np.bincount(qi, minlength=len(q))
+    return total, number
+
+
+def _box_factors(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[str], leaf_rows: int,
+                 slice_rows: int, leaf_queries: int = LEAF_QUERIES) -> DataFrame:
+    """``lof`` of every place with a neighbour, without a table of all pairs.
+    Places first learn the distance and id of their last neighbour.  With these
+    they visit the leaves in their reach twice more, where points carry their
+    own k-distance, then their density, and only sums come back."""
+    by, count = list(by), k + 1
+    packed, routed = _packed_and_routed(points, count, axes, by, leaf_rows, slice_rows)
+    kind, by_fields = points.schema["pid"].dataType, [points.schema[c] for c in by]
+    listed = T.StructType([*by_fields, T.StructField("pid", kind), T.StructField("d", T.ArrayType(T.DoubleType())),
+                           T.StructField("id", T.ArrayType(kind))])
+    summed = T.StructType([*by_fields, T.StructField("pid", kind), T.StructField("total", T.DoubleType()),
+                           T.StructField("number", T.LongType())])
+    plain = to_arrow_type(kind)
+
+    def nearest(q: pa.Table, p: pa.Table) -> pa.Table:
+        own = q.select([*by, "pid"])
+        parts = [own.slice(0, 0).append_column("d", pa.array([], pa.list_(pa.float64()))).append_column(
+            "id", pa.array([], pa.list_(plain)))]
+        if q.num_rows and p.num_rows:
+            for qi, d, nid, _ in _closest(q.to_pandas(), p.to_pandas(), axes, count, q.column("r").to_numpy()):
+                first = np.flatnonzero(np.append(True, qi[1:] != qi[:-1])) if len(qi) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(first, len(qi)), pa.int32())
+                parts.append(own.take(pa.array(qi[first])).append_column(
+                    "d", pa.ListArray.from_arrays(ends, pa.array(d, pa.float64()))).append_column(
+                    "id", pa.ListArray.from_arrays(ends, pa.array(nid, plain))))
+        return pa.concat_tables(parts)
+
+    near = _meet_leaves(routed, packed, by, leaf_queries, nearest, listed).groupBy(*by, "pid").agg(
+        F.sort_array(F.arrays_zip(F.flatten(F.collect_list("d")).alias("d"),
+                                  F.flatten(F.collect_list("id")).alias("id"))).alias("near"))
+    last = F.try_element_at(F.slice(F.filter("near", lambda n: n["id"] != F.col("pid")), 1, k), F.lit(-1))
+    ends = materialize(near.select(*by, "pid", last.alias("_e")).where("_e is not null").select(
+        *by, "pid", F.col("_e")["d"].alias("kd"), F.col("_e")["id"].alias("kid")))
+    asking = attach(packed.select(*by, "pid", *axes), ends, [*by, "pid"], how="inner")
+    routed = materialize(_route(asking.withColumn("r", F.col("kd")), packed, axes, by).drop("r"))
+
+    def sums(weights: DataFrame, floor: bool) -> DataFrame:
+        def run(q: pa.Table, p: pa.Table) -> pa.Table:
+            own = q.select([*by, "pid"])
+            total, number = (_neighbor_sums(q.to_pandas(), p.to_pandas(), axes, floor) if q.num_rows and p.num_rows
+                             else (np.zeros(q.num_rows), np.zeros(q.num_rows, np.int64)))
+            return own.append_column("total", pa.array(total)).append_column("number", pa.array(number))
+
+        told = attach(packed, weights, [*by, "pid"], how="inner")
+        return _meet_leaves(routed, told, by, leaf_queries, run, summed).groupBy(*by, "pid").agg(
+            (F.sum("total") / F.sum("number")).alias("mean"))
+
+    reach = sums(ends.select(*by, "pid", F.col("kd").alias("weight")), True)
+    lrd = materialize(reach.select(*by, "pid", (F.lit(1.0) / (F.col("mean") + F.lit(1e-10))).alias("weight")))
+    theirs = sums(lrd, False)
+    return attach(lrd, theirs, [*by, "pid"], how="inner").select(*by, "pid", (F.col("mean") / F.col("weight")).alias("lof"))
 
 
 def _route(reach: DataFrame, packed: DataFrame, axes, by) -> DataFrame:
@@ -223,6 +319,21 @@ def knn_self_join(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS, axes:
         F.col("_n.d").alias("distance"))
 
 
+def _pair_factors(near: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """``lof`` of every place with a neighbour, from its nearest places."""
+    mine = near.select(*by, "pid", F.slice(F.filter("near", lambda n: n["id"] != F.col("pid")), 1, k).alias("near"))
+    mine = materialize(mine.withColumn("k_distance", F.try_element_at("near", F.lit(-1))["d"]))
+    pairs = mine.select(*by, "pid", F.explode("near").alias("n")).select(
+        *by, "pid", F.col("n.place").alias("place"), F.col("n.d").alias("d"))
+    far = mine.select(*by, F.col("pid").alias("place"), "k_distance")
+    reach = attach(pairs, far, [*by, "place"], how="inner").withColumn(
+        "reach", F.greatest("k_distance", "d"))
+    lrd = materialize(reach.groupBy(*by, "pid").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd")))
+    theirs = lrd.select(*by, F.col("pid").alias("place"), F.col("lrd").alias("_their"))
+    ratio = attach(pairs, theirs, [*by, "place"], how="inner").groupBy(*by, "pid").agg(F.avg("_their").alias("_avg"))
+    return attach(lrd, ratio, [*by, "pid"], how="inner").select(*by, "pid", (F.col("_avg") / F.col("lrd")).alias("lof"))
+
+
 def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
                          contamination: float = params.LOF_CONTAMINATION, axes: Sequence[str] | str = AXES,
                          by: Sequence[str] = KEYS, leaf_rows: int = LEAF_ROWS,
@@ -236,18 +347,11 @@ def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
     by, axes = list(by), _columns(axes)
     known = known or profile(df, by)
     points = materialize(distinct_points(df, key, k, axes, by))
-    near = nearest_places(points, k, axes, by, leaf_rows, slice_rows=slice_rows, known=known)
-    mine = near.select(*by, "pid", F.slice(F.filter("near", lambda n: n["id"] != F.col("pid")), 1, k).alias("near"))
-    mine = materialize(mine.withColumn("k_distance", F.try_element_at("near", F.lit(-1))["d"]))
-    pairs = mine.select(*by, "pid", F.explode("near").alias("n")).select(
-        *by, "pid", F.col("n.place").alias("place"), F.col("n.d").alias("d"))
-    far = mine.select(*by, F.col("pid").alias("place"), "k_distance")
-    reach = attach(pairs, far, [*by, "place"], how="inner").withColumn(
-        "reach", F.greatest("k_distance", "d"))
-    lrd = materialize(reach.groupBy(*by, "pid").agg((F.lit(1.0) / (F.avg("reach") + F.lit(1e-10))).alias("lrd")))
-    theirs = lrd.select(*by, F.col("pid").alias("place"), F.col("lrd").alias("_their"))
-    ratio = attach(pairs, theirs, [*by, "place"], how="inner").groupBy(*by, "pid").agg(F.avg("_their").alias("_avg"))
-    lof = attach(lrd, ratio, [*by, "pid"], how="inner").select(*by, "pid", (F.col("_avg") / F.col("lrd")).alias("lof"))
+    if _is_vector(points, axes) or len(axes) > len(LEAF) or known.largest <= max(leaf_rows, 2 * (k + 1)):
+        near = nearest_places(points, k, axes, by, leaf_rows, slice_rows=slice_rows, known=known)
+        lof = _pair_factors(near, k, by)
+    else:
+        lof = _box_factors(points, k, axes, by, leaf_rows, slice_rows)
     places = attach(points.select(*by, *axes, "pid"), lof, [*by, "pid"], how="left").drop("pid")
     rows = materialize(attach(df, places, [*by, *axes]).withColumn("_neg", -F.col("lof")))
     return flag_lowest(rows, "_neg", contamination, "is_lof", by, slice_rows, known).drop("_neg")

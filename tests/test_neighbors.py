@@ -123,3 +123,21 @@ def test_far_outliers_visit_few_leaves(spark):
     assert leaves > 25 and len(visits) == len(x)
     assert visits["count"].mean() < leaves / 8 and visits["count"].max() < leaves / 2
     assert tree.leaves.groupBy("_node").count().agg({"count": "max"}).first()[0] <= 64
+
+
+def test_box_factors_equal_those_of_pairs(spark):
+    from telluria.operators import neighbors
+
+    rng = np.random.default_rng(4)
+    rows = [("f", int(i % 2), i, *map(float, rng.integers(0, 12, 3) if i % 3 else rng.normal(6, 3, 3))) for i in range(1500)]
+    rows += [("f", 7, 5000 + i, 1.0, 1.0, 1.0) for i in range(40)] + [("f", 8, 6000, 2.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, bx double, by double, bz double")
+    by, axes = ["flight_id", "sensor_id"], ["bx", "by", "bz"]
+    points = neighbors.materialize(neighbors.distinct_points(df, "reading_number", 9, axes, by))
+    pairs = neighbors._pair_factors(neighbors.nearest_places(points, 9, axes, by, leaf_rows=4096), 9, by)
+    want = {(r.sensor_id, r.pid): r.lof for r in pairs.collect()}
+    for queries in (16_384, 50):
+        boxes = neighbors._box_factors(points, 9, axes, by, leaf_rows=64, slice_rows=200, leaf_queries=queries)
+        got = {(r.sensor_id, r.pid): r.lof for r in boxes.collect()}
+        assert got.keys() == want.keys() and (8, 6000) not in got
+        assert all(np.isclose(got[p], want[p], rtol=1e-9) for p in want)
