@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from telluria.llm import spans as S
 
-CHUNK = 1 << 22  # text bytes that a task handles at once
+CHUNK = 1 << 21  # text bytes that a task handles at once
 BUCKET = 6 << 20  # text bytes that a bucket gets, each word counted once
 BLOCK = 1 << 24
 
@@ -78,35 +78,43 @@ def superkmer_parcels(docs: DataFrame, k: int, m: int, buckets: list[int], block
         hashes = WordHashes()
         for batch in batches:
             for part in S.slices(batch, CHUNK):
-                ids, marks = S.order_ids(part.column("doc_id")), S.prints(part.column("print"))
-                text, a, b, key, owner, start, more = _cut(part, k, m, hashes)
-                if not len(a):
-                    continue
-                order = np.lexsort((start, ids[owner]))  # the first place of a string comes first
-                firsts, sent, gone = {}, [], []
-                who, at = ids[owner].tolist(), start.tolist()
-                for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
-                    j = firsts.setdefault(text[x:y], i)
-                    # An equal row has the same place once more, which is no repeat.
-                    (sent if i == j or (who[i], at[i]) == (who[j], at[j]) else gone).append(i)
-                gone = np.array(gone, np.int64)
-                rows = S.span_parcels(ids[owner[gone]], marks[owner[gone]], start[gone], start[gone] + more[gone] + k,
-                                      blocks)
-                sent = np.array(sent, np.int64)
-                to = ((key[sent] >> np.uint64(7)) % np.uint64(len(buckets))).astype(np.int64)
-                by = np.argsort(to, kind="stable")
-                for group in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
-                    i = sent[group]
-                    docs_here, local = np.unique(owner[i], return_inverse=True)
-                    head = np.concatenate([[len(docs_here), len(i)], np.diff(ids[docs_here], prepend=0), marks[docs_here],
-                                           np.diff(local, prepend=0), np.diff(start[i], prepend=0)])
-                    body = b"\n".join([text[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())])
-                    rows.append((buckets[to[group[0]]], 2, S.pack(head.astype(np.int64).tobytes()), S.pack(body)))
-                yield S.parcels(rows)
+                # A function of its own: nothing of a part outlives it.
+                rows = _part_parcels(part, k, m, hashes, buckets, blocks)
+                if rows:
+                    yield S.parcels(rows)
 
     return docs.mapInArrow(run, S.PARCEL)
 
 
+def _part_parcels(part: pa.RecordBatch, k: int, m: int, hashes: WordHashes, buckets: list[int],
+                  blocks: list[int]) -> list[tuple]:
+    ids, marks = S.order_ids(part.column("doc_id")), S.prints(part.column("print"))
+    text, a, b, key, owner, start, more = _cut(part, k, m, hashes)
+    if not len(a):
+        return []
+    order = np.lexsort((start, ids[owner]))  # the first place of a string comes first
+    firsts, sent, gone = {}, [], []
+    who, at = ids[owner].tolist(), start.tolist()
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        j = firsts.setdefault(text[x:y], i)
+        # An equal row has the same place once more, which is no repeat.
+        (sent if i == j or (who[i], at[i]) == (who[j], at[j]) else gone).append(i)
+    del firsts, who, at, order
+    gone = np.array(gone, np.int64)
+    rows = S.span_parcels(ids[owner[gone]], marks[owner[gone]], start[gone], start[gone] + more[gone] + k, blocks)
+    sent = np.array(sent, np.int64)
+    to = ((key[sent] >> np.uint64(7)) % np.uint64(len(buckets))).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    for group in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
+        i = sent[group]
+        docs_here, local = np.unique(owner[i], return_inverse=True)
+        head = np.concatenate([[len(docs_here), len(i)], np.diff(ids[docs_here], prepend=0), marks[docs_here],
+                               np.diff(local, prepend=0), np.diff(start[i], prepend=0)])
+        body = b"\n".join([text[x:y] for x, y in zip(a[i].tolist(), b[i].tolist())])
+        rows.append((buckets[to[group[0]]], 2, S.pack(head.astype(np.int64).tobytes()), S.pack(body)))
+    return rows
+
+
 def window_keys(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
     """A hash of the bytes from each start to its stop, by running sums over a
     stretch of the text at a time; starts are in order."""

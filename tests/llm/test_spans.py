@@ -96,3 +96,21 @@ def test_covered():
 
     got = spans.covered(np.array([[0, 5], [2, 4], [5, 7], [9, 12], [10, 11]]))
     assert got.tolist() == [[0, 7], [9, 12]]
+
+
+def test_a_task_holds_one_part_at_a_time():
+    import pyarrow as pa
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = " ".join(f"w{i % 500}x{i % 7}" for i in range(60_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text + " end"]), pa.array([3, 4])],
+                                       names=["doc_id", "text", "print"])
+    run = superkmer.superkmer_parcels(Docs(), 20, 4, [0, 1], [0])
+    parts = run(iter([batch, batch]))
+    next(parts)
+    held = parts.gi_frame.f_locals
+    assert not any(isinstance(v, bytes) or len(v) > 1000 for k, v in held.items() if hasattr(v, "__len__") and k != "hashes")
+    assert superkmer.CHUNK <= 1 << 21
