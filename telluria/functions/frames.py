@@ -48,7 +48,8 @@ def trailing_scores(history: np.ndarray, values: np.ndarray, rows: int, min_rows
 
 
 def trailing_moments(history: np.ndarray, values: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, mean and population std of the last ``rows`` values with each one."""
+    """Count, mean and population std of the last ``rows`` values with each one;
+    equal values have no spread, however their mean is rounded."""
     line = np.concatenate([_lead(history, rows), values])
     out = np.zeros((3, len(values)))
     for a in range(0, len(values), _BLOCK):
@@ -58,7 +59,8 @@ def trailing_moments(history: np.ndarray, values: np.ndarray, rows: int) -> tupl
         n = there.sum(axis=1)
         mean = np.where(there, frame, 0.0).sum(axis=1) / np.maximum(n, 1)
         gap = np.where(there, frame - mean[:, None], 0.0)
-        out[:, a:b] = n, mean, np.sqrt((gap * gap).sum(axis=1) / np.maximum(n, 1))
+        even = np.fmax.reduce(frame, axis=1) == np.fmin.reduce(frame, axis=1)
+        out[:, a:b] = n, mean, np.where(even, 0.0, np.sqrt(np.einsum("ij,ij->i", gap, gap) / np.maximum(n, 1)))
     return out[0], out[1], out[2]
 
 

@@ -219,20 +219,24 @@ def zscore_classic(df: DataFrame, threshold: float = 3.0, rows: int = params.HIS
                    order: Sequence[str] = ORDER, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """|x - mean| / population std over the trailing frame with this row; NULL
     below ``min_rows`` rows or without spread."""
-    s = Series.of(df, by, order, slice_rows=slice_rows)
+    s = Series.of(df, by, order, numbered=True, slice_rows=slice_rows)
     return classic_z(s, threshold, rows, min_rows, value).df
 
 
 def classic_z(s: Series, threshold: float, rows: int, min_rows: int, value: str) -> Series:
-    def score(d, w):
-        frame = w.rowsBetween(1 - rows, 0)
-        mean, std = F.avg(value).over(frame), F.stddev_pop(value).over(frame)
-        z = F.when((F.count(value).over(frame) >= min_rows) & (std > 0),
-                   F.abs(F.col(value) - mean) / std)
-        return d.withColumn("z_classic", z).withColumn(
-            "is_z_classic", F.coalesce(F.col("z_classic") > threshold, F.lit(False)))
-
-    return s.mutate(score, before=rows - 1)
+    """Needs a numbered series.  On arrays: Spark's moving frame adds up all its
+    rows anew for each row."""
+
+    def score(frame: ArrayFrame) -> dict[str, np.ndarray]:
+        past, own, _ = frame.split(value)
+        n, mean, std = frames.trailing_moments(past, own, rows)
+        z = np.full(len(own), np.nan)
+        ok = (n >= min_rows) & (std > 0)
+        z[ok] = np.abs(own[ok] - mean[ok]) / std[ok]
+        return {"z_classic": z}
+
+    return s.compute(score, [value], ["z_classic"], before=rows - 1).map(
+        lambda d: d.withColumn("is_z_classic", F.coalesce(F.col("z_classic") > threshold, F.lit(False))))
 
 
 def median_trend(s: Series, value: str = Y, window: int | None = None, out: str = "trend") -> Series:

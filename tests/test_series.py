@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from conftest import table_of
+from telluria.functions import frames
 from telluria.operators import aggregates as A
 from telluria.operators import anomaly
 from telluria.operators import windows as W
@@ -142,3 +143,14 @@ def test_wide_median_puts_missing_values_last(spark):
     df = spark.createDataFrame(rows, "flight_id string, sensor_id int, reading_number long, mission_time_s double, magnitude double")
     wide, narrow = (W.zscore_detrended(df, slice_rows=n, window=151).orderBy("reading_number").toPandas().trend for n in (60, 1000))
     assert wide.equals(narrow)
+
+
+def test_equal_values_have_no_spread_and_the_classic_score_reads_arrays(spark):
+    line = np.full(600, 0.1)  # its mean is not 0.1 to the last bit
+    assert (frames.trailing_moments(line[:0], line, 500)[2] == 0).all()
+    rows = spark.createDataFrame([("f", 0, float(i), i, 0.1 if i < 300 else float(i % 7)) for i in range(400)],
+                                 "flight_id string, sensor_id int, mission_time_s double, reading_number long, magnitude double")
+    done = W.zscore_classic(rows, rows=100)
+    got = {r.reading_number: r.z_classic for r in done.select("reading_number", "z_classic").collect()}
+    assert all(got[i] is None for i in range(300)) and got[399] is not None
+    assert "InArrow" in done._jdf.queryExecution().executedPlan().toString()
