@@ -42,7 +42,9 @@ def stream_throughput(df: DataFrame, seconds: int = 5, ts: str = "event_ts", fla
 
 def stream_sessions(df: DataFrame, gap: str = "5 seconds", ts: str = "event_ts",
                     by: Sequence[str] = ("flight_id",), watermark: str = WATERMARK) -> DataFrame:
-    """Boot sessions: rows of a flight without a pause of ``gap`` or longer."""
+    """Boot sessions: rows of a flight without a pause of ``gap`` or longer.
+    Each task merges its rows to sessions before they go to the one task of their flight."""
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return _timed(df, ts, watermark).groupBy(*by, F.session_window(ts, gap).alias("_w")).agg(
         F.count(F.lit(1)).alias("n"), F.min(ts).alias("_a"), F.max(ts).alias("_b")).select(
         *by, "n", F.unix_micros("_a").alias("first_us"), F.unix_micros("_b").alias("last_us"))

@@ -83,6 +83,14 @@ def test_windows_and_sessions(stream, readings):
         assert table_of(core.drain(fn(stream()), "complete"), *cols) == table_of(fn(readings), *cols)
 
 
+def test_sessions_are_merged_before_they_are_shuffled(stream):
+    df = monitor.stream_sessions(stream(), "2 hours", watermark="40 days")
+    q = df.writeStream.format("noop").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    below = q._jsq.explainInternal(False).split("Exchange hashpartitioning")[-1]
+    assert "MergingSessions" in below
+
+
 def test_sinks_and_cutoff(spark, stream, readings, tmp_path):
     assert core.drain(core.stream_cutoff(stream())).count() == readings.where("mission_time_s <= 336").count()
     for _ in range(2):  # a second run finds nothing new
