@@ -14,7 +14,7 @@ from telluria.operators.aggregates import metrics_by, regression_metrics
 from telluria.operators.models import SEED, unit_hash
 from telluria.operators.series import Series
 from telluria.schema import AXES
-from telluria.session import SLICE_ROWS, attach
+from telluria.session import SLICE_ROWS, attach, stored
 
 Fit = Callable[[DataFrame], PipelineModel]
 
@@ -22,7 +22,7 @@ Fit = Callable[[DataFrame], PipelineModel]
 def cross_validate(df: DataFrame, fit: Fit, key: Sequence[str], target: str, prediction: str,
                    folds: int = 5, seed: int = SEED) -> DataFrame:
     """Metrics of each fold, the folds being shares of a key hash."""
-    placed = df.withColumn("fold", F.floor(unit_hash(*key, seed=seed) * folds).cast("int"))
+    placed = stored(df.withColumn("fold", F.floor(unit_hash(*key, seed=seed) * folds).cast("int")))
     parts = []
     for k in range(folds):
         model = fit(placed.where(F.col("fold") != k))

@@ -21,7 +21,7 @@ from telluria.operators.quantiles import percentiles
 from telluria.operators.series import RN, SIZE, Series
 from telluria.operators.windows import feature_names
 from telluria.schema import AXES, KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, profile
+from telluria.session import SLICE_ROWS, attach, profile, stored
 
 FLIGHT = ("flight_id",)
 SEED = 42
@@ -77,10 +77,18 @@ def _pipeline(learner, cols: Sequence[str], invalid: str = "skip") -> Pipeline:
                                             handleInvalid=invalid), learner])
 
 
+def _dealt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns of a fit as a table of even files.  A fit reads its rows
+    several times, and rows that come from windows lie in one partition a group."""
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return stored(df.select(*dict.fromkeys(cols)).repartition(parts))
+
+
 def fit_reconstruction_forest(df: DataFrame, target: str = "magnitude", cols: Sequence[str] = AXES,
                               trees: int = 200, depth: int = 20, seed: int = SEED,
                               out: str = "magnitude_rf") -> PipelineModel | None:
     """Random forest from the axes to the magnitude; None below ten rows."""
+    df = _dealt(df, [*cols, target])
     if df.limit(10).count() < 10:
         return None
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=out, numTrees=trees,
@@ -102,7 +110,7 @@ def fit_forecaster(features: DataFrame, trees: int = 50, depth: int = 12, min_le
     """Random forest on the 31 window features."""
     rf = RandomForestRegressor(featuresCol="_features", labelCol="target", predictionCol=out, numTrees=trees,
                                maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed)
-    return _pipeline(rf, feature_names(), "error").fit(features)
+    return _pipeline(rf, feature_names(), "error").fit(_dealt(features, [*feature_names(), "target"]))
 
 
 def fit_kmeans(df: DataFrame, k: int | None = None, max_k: int = 6, cols: Sequence[str] = AXES,

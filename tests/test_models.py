@@ -119,3 +119,19 @@ def test_lines_through_rows_of_one_time(spark):
         want = np.where(at < 1, at, 3 + (at - 1))
         want[-1] = 5.0  # the last of the rows at the end
         assert len(line) == 30 and np.allclose(line.time, at) and np.allclose(line.bx, want)
+
+
+def test_fits_read_their_source_once(spark, cube):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = cube.select(*KEY, "bx", "by", "bz", "magnitude")
+    counted, n = rows.mapInPandas(count, rows.schema), rows.count()
+    fit = lambda d: models.fit_reconstruction_forest(d, trees=2, depth=3)
+    assert fit(counted) is not None and seen.value == n
+    folds = evaluation.cross_validate(counted, fit, KEY, "magnitude", "magnitude_rf", folds=2)
+    assert folds.agg(F.sum("n")).first()[0] == n and seen.value == 2 * n
