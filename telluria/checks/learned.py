@@ -7,7 +7,7 @@ from telluria.checks.base import GAP_SENSOR, W, F, query, r, rounded, sql, table
 from telluria.operators import aggregates as A
 from telluria.operators import anomaly, evaluation, forest, interpolation, models, neighbors
 from telluria.operators import windows as O
-from telluria.session import scratch_path
+from telluria.session import scratch_path, stored
 
 KEY = ["reading_number"]
 TREES, DEPTH = 20, 10
@@ -130,7 +130,7 @@ def _(s, d):
 
 
 def _forecast(s, d):
-    feats = O.window_features(O.make_windows(r(s, d), gap=GAP_SENSOR))
+    feats = stored(O.window_features(O.make_windows(r(s, d), gap=GAP_SENSOR)))
     return models.split_temporal(feats, t="target_time")
 
 
