@@ -49,7 +49,7 @@ from telluria.llm.components import components
 from telluria.llm.superkmer import WordHashes, gram_hashes
 from telluria.session import BROADCAST_ROWS, materialize
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20  # text bytes cut into shingles at once
 COUNTERS = 20  # bits of a shingle that choose its counter
 FEW = 4  # sets of a region that are compared pair by pair at once
 SMALL = 256  # sets of a block; larger open regions are cut into rings
@@ -139,9 +139,9 @@ def window_parcels(docs: DataFrame, k: int, t: Threshold, rarity, slots: list[in
     num, den = t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, count = WordHashes(), rarity.value
+        hashes, count, seen = WordHashes(), rarity.value, set()
         for _, texts in _parts(batches):
-            seen, names, sizes, regions, lengths = set(), [], [], [], []
+            names, sizes, regions, lengths = [], [], [], []
             for s in shingle_sets(texts, k, hashes):
                 name = name_of(s)
                 if name is None or name in seen:

@@ -35,7 +35,7 @@ from telluria.llm.superkmer import WordHashes, gram_hashes
 from telluria.session import attach, materialize
 
 BITS = 6  # of a folded character
-CHUNK = 1 << 22
+CHUNK = 1 << 20  # text bytes at once; their n-grams take some 60 times that
 MODEL_BYTES = 64 << 20
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 

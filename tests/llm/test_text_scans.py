@@ -178,3 +178,15 @@ def test_model_is_modified_kneser_ney(spark):
     for g, v in got.items():
         by_context[g >> 6] += v
     assert all(v <= 1 + 1e-9 for v in by_context.values())
+
+
+def test_a_chunk_of_the_language_model_takes_little_memory():
+    import tracemalloc
+
+    from telluria.llm import quality as Q
+    text, table = "some plain words " * (Q.CHUNK // 17), Q.fold_table()
+    tracemalloc.start()
+    Q.folded([text], 5, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
