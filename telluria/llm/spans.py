@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 PARCEL = "slot long, kind int, head binary, body binary"
 LAST = np.iinfo(np.int64).max  # stands for a null id in orders
+MEETING = 1 << 21  # text bytes that meet their spans at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,7 +141,7 @@ def meet(parts: DataFrame, n: int, finish: Callable, fields: str, carried: str)
         place = {(int(ids[i]), int(marks[i])): (int(i), int(j)) for i, j in zip(new, ends)}
         both = np.stack([start, stop], axis=1)
         for body in papers:
-            for batch in pa.ipc.open_stream(body):
+            for batch in (part for whole in pa.ipc.open_stream(body) for part in slices(whole, MEETING)):
                 keys = zip(order_ids(batch.column("doc_id")).tolist(), prints(batch.column("print")).tolist())
                 out = []
                 for key, text in zip(keys, batch.column("text").cast(pa.binary()).to_pylist()):

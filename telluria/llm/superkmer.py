@@ -34,6 +34,7 @@ from telluria.llm import spans as S
 CHUNK = 1 << 21  # text bytes that a task handles at once
 BUCKET = 6 << 20  # text bytes that a bucket gets, each word counted once
 BLOCK = 1 << 24
+PAIRS = 1 << 16  # windows compared at once
 
 
 class WordHashes(dict):
@@ -115,7 +116,7 @@ def _part_parcels(part: pa.RecordBatch, k: int, m: int, hashes: WordHashes, buck
     return rows
 
 
-def window_keys(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
+def window_keys(letters: np.ndarray, start: np.ndarray, stop: np.ndarray, stretch: int = 1 << 17) -> np.ndarray:
     """A hash of the bytes from each start to its stop, by running sums over a
     stretch of the text at a time; starts are in order."""
     base = np.uint64(0x9E3779B97F4A7C15)
@@ -160,11 +161,14 @@ def repeated_windows(raw: bytes, start: np.ndarray, stop: np.ndarray, rank: np.n
     key = window_keys(np.frombuffer(raw, np.uint8), start, stop)
     by = np.argsort(key)
     same = np.diff(key[by]) == 0
-    i = np.flatnonzero(same)
-    one, two = by[i], by[i + 1]
-    size = stop[one] - start[one]
-    sure = (size == stop[two] - start[two]) & same_text(raw, start[one], start[two], np.minimum(size, stop[two] - start[two]))
-    if not sure.all():  # two windows with one hash: order these by their bytes
+    del key
+    i, sure = np.flatnonzero(same), True
+    for a in range(0, len(i), PAIRS):
+        one, two = by[i[a:a + PAIRS]], by[i[a:a + PAIRS] + 1]
+        size, other = stop[one] - start[one], stop[two] - start[two]
+        sure = sure and bool(((size == other) & same_text(raw, start[one], start[two], np.minimum(size, other))).all())
+    del i
+    if not sure:  # two windows with one hash: order these by their bytes
         texts = [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
         by = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
         same = np.array([texts[x] == texts[y] for x, y in zip(by[1:], by[:-1])], bool)
@@ -175,10 +179,29 @@ def repeated_windows(raw: bytes, start: np.ndarray, stop: np.ndarray, rank: np.n
     return out
 
 
+def string_windows(raw: bytearray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end, string and place in it of each window of ``k`` words;
+    strings end at line ends, words at blanks."""
+    letters = np.frombuffer(raw, np.uint8)
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    gaps = np.concatenate([a + np.flatnonzero((part == 32) | (part == 10)).astype(kind)
+                           for a in range(0, len(raw), 1 << 20) for part in [letters[a:a + (1 << 20)]]])
+    last = np.append(np.flatnonzero(letters[gaps] == 10), len(gaps))  # last word of each string
+    begin = np.concatenate([[0], last[:-1] + 1])
+    count = last - begin + 2 - k
+    piece = np.repeat(np.arange(len(count), dtype=kind), count)
+    step = np.arange(len(piece), dtype=kind)
+    step -= np.repeat((np.cumsum(count) - count).astype(kind), count)
+    word = begin.astype(kind)[piece]
+    word += step
+    bounds = np.concatenate([np.full(1, -1, kind), gaps, np.full(1, len(raw), kind)])
+    return bounds[word] + kind(1), bounds[word + kind(k)], piece, step
+
+
 def bucket_spans(parcels: DataFrame, n: int, k: int, blocks: list[int]) -> DataFrame:
     """Sort the windows of each bucket; spans of all but first occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, doc, mark, at, passed = [], [], [], [], []
+        raw, doc, mark, at, passed = bytearray(), [], [], [], []
         for batch in batches:
             for slot, kind, head, body in zip(*[batch.column(c).to_pylist() for c in ("slot", "kind", "head", "body")]):
                 if kind == 1:
@@ -190,27 +213,20 @@ def bucket_spans(parcels: DataFrame, n: int, k: int, blocks: list[int]) -> DataF
                 doc.append(np.cumsum(h[2:2 + d])[local])
                 mark.append(h[2 + d:2 + 2 * d][local])
                 at.append(np.cumsum(h[2 + 2 * d + s:]))
-                bodies.append(S.unpack(body))
+                if raw:
+                    raw += b"\n"
+                raw += S.unpack(body)
         if passed:
             yield S.parcels(passed)
-        if not bodies:
+        if not raw:
             return
-        raw = b"\n".join(bodies)
-        bodies.clear()
         doc, mark, at = map(np.concatenate, (doc, mark, at))
-        letters = np.frombuffer(raw, np.uint8)
-        gaps = np.flatnonzero((letters == 32) | (letters == 10))
-        starts, stops = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
-        last = np.append(np.flatnonzero(letters[gaps] == 10), len(gaps))  # last word of each string
-        begin = np.concatenate([[0], last[:-1] + 1])
-        count = last - begin + 2 - k
-        piece = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+        start, stop, piece, step = string_windows(raw, k)
         _, docrank = np.unique(doc, return_inverse=True)
-        rank = (docrank[piece].astype(np.int64) << 36) | (at[piece] + step)
-        word = begin[piece] + step
-        gone = repeated_windows(raw, starts[word], stops[word + k - 1], rank)
-        i = np.flatnonzero(gone)
+        rank = (docrank.astype(np.int64) << 36)[piece]
+        rank += at[piece]
+        rank += step
+        i = np.flatnonzero(repeated_windows(raw, start, stop, rank))
         if len(i):
             new = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(piece[i]) != 0)])
             f = np.flatnonzero(new)

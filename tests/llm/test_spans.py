@@ -114,3 +114,34 @@ def test_a_task_holds_one_part_at_a_time():
     held = parts.gi_frame.f_locals
     assert not any(isinstance(v, bytes) or len(v) > 1000 for k, v in held.items() if hasattr(v, "__len__") and k != "hashes")
     assert superkmer.CHUNK <= 1 << 21
+
+
+def test_a_bucket_takes_a_few_times_its_text():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(1200)]
+    texts += [texts[0], "x " + texts[1]]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts, "print": list(range(len(texts)))})
+
+    class Rows:
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, schema):
+            return Rows(list(run(iter(self.batches))))
+
+        def repartition(self, *how):
+            return self
+
+    sent = superkmer.superkmer_parcels(Rows([batch]), 20, 4, [0], [0])
+    size = sum(len(spans.unpack(b)) for s in sent.batches for k, b in zip(*map(pa.Array.to_pylist, (s["kind"], s["body"]))) if k == 2)
+    tracemalloc.start()
+    found = superkmer.bucket_spans(sent, 1, 20, [0]).batches
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 4 << 20 and found
+    assert peak < 7 * size + (8 << 20)
