@@ -122,8 +122,9 @@ def nearest_places(points: DataFrame, k: int, axes: Sequence[str], by: Sequence[
     place's own copies included, as the sorted array ``near``."""
     by, axes, count = list(by), list(axes), k + 1
     if _is_vector(points, axes) or len(axes) > len(LEAF):
-        v = F.col(axes[0]).cast("array<double>") if _is_vector(points, axes) else F.array(
-            *[F.col(a).cast("double") for a in axes])
+        v = F.col(axes[0]) if _is_vector(points, axes) else F.array(*[F.col(a).cast("double") for a in axes])
+        if not _is_vector(points, axes) or points.schema[axes[0]].dataType.elementType != T.FloatType():
+            v = v.cast("array<double>")  # floats travel as they are
         places = points.select(*by, "pid", "ids", v.alias("v"))
         return MetricTree.build(places, by, max(leaf_rows, 2 * count), task_rows=leaf_queries).nearest(k, leaf_queries)
     id_type = points.schema["pid"].dataType

@@ -141,3 +141,36 @@ def test_box_factors_equal_those_of_pairs(spark):
         got = {(r.sensor_id, r.pid): r.lof for r in boxes.collect()}
         assert got.keys() == want.keys() and (8, 6000) not in got
         assert all(np.isclose(got[p], want[p], rtol=1e-9) for p in want)
+
+
+@pytest.mark.parametrize("kind", ["noise", "lattice", "clusters"])
+def test_shares_of_leaves_give_the_same_neighbours(spark, kind, monkeypatch):
+    """Where bounds prune nothing a vector travels once a share, not once a leaf."""
+    from telluria.operators import metric
+
+    x, k = vectors(kind), 6
+    x = np.concatenate([x, x[:5], x[:2]])
+    monkeypatch.setattr(metric, "FEW_LEAVES", 0)
+    monkeypatch.setattr(metric, "ASKING", 150)
+    monkeypatch.setattr(metric, "HOLDING", 200)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = knn_self_join(df, "id", k, axes="vec", by=[], leaf_rows=30).toPandas().sort_values(["id", "neighbor_rank"])
+    for i, (order, d) in enumerate(near_by_definition(x, k)):
+        mine = got[got.id == i]
+        assert np.allclose(mine.distance, d) and list(mine.neighbor) == order
+
+
+def test_only_unstructured_vectors_go_by_shares(spark, monkeypatch):
+    from telluria.operators import metric
+
+    asked = []
+    whole = metric.MetricTree._by_shares
+    monkeypatch.setattr(metric.MetricTree, "_by_shares", lambda self, *a: asked.append(1) or whole(self, *a))
+    rng = np.random.default_rng(3)
+    for x, want in ((rng.normal(size=(900, 24)), 1),
+                    (np.concatenate([c + rng.normal(size=(30, 24)) / 50 for c in rng.normal(size=(30, 24)) * 5]), 0)):
+        df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+        asked.clear()
+        assert knn_self_join(df, "id", 4, axes="vec", by=[], leaf_rows=40).count() == len(x) * 4
+        assert len(asked) == want
