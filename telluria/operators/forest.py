@@ -132,6 +132,14 @@ def _as_forest(rows) -> Forest:
     return Forest([{k: r[k] for k in ("psi", "feature", "threshold", "left", "right", "path")} for r in rows])
 
 
+def forests_of(forest: DataFrame) -> dict[str, Forest]:
+    """The forest of each group, for as many groups as may be broadcast."""
+    by_group: dict[str, list] = {}
+    for row in forest.orderBy("_g", "tree").collect():
+        by_group.setdefault(row["_g"], []).append(row)
+    return {g: _as_forest(rows) for g, rows in by_group.items()}
+
+
 def score_isolation_forest(df: DataFrame, forest: DataFrame, key: Sequence[str], axes: Sequence[str] = AXES,
                            by: Sequence[str] = KEYS, out: str = "iso_score",
                            broadcast_groups: int = BROADCAST_GROUPS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -140,11 +148,7 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, key: Sequence[str],
     schema = T.StructType([*tagged.schema.fields, T.StructField(out, T.DoubleType())])
     names = list(axes)
     if forest.select("_g").distinct().limit(broadcast_groups + 1).count() <= broadcast_groups:
-        by_group: dict[str, list] = {}
-        for row in forest.orderBy("_g", "tree").collect():
-            by_group.setdefault(row["_g"], []).append(row)
-        sc = df.sparkSession.sparkContext
-        shared = sc.broadcast({g: _as_forest(r) for g, r in by_group.items()})
+        shared = df.sparkSession.sparkContext.broadcast(forests_of(forest))
 
         def run(batches):
             for batch in batches:

@@ -74,6 +74,21 @@ def test_online_check(spark, stream, readings):
     assert table_of(core.drain(detect.stream_online_check(stream(), trees, rows=60)), *cols) == want
 
 
+@pytest.mark.parametrize("groups", [64, 0])
+def test_online_check_scores_after_the_state(spark, stream, readings, monkeypatch, groups):
+    """Groups hold only their order; with more forests than may be broadcast, trees are dealt to the states."""
+    monkeypatch.setattr(detect, "BROADCAST_GROUPS", groups, raising=False)
+    monkeypatch.setattr(detect, "FRAMED_ROWS", 50, raising=False)
+    trees = forest.fit_isolation_forest(readings, ["reading_number"], trees=10).cache()
+    cols = ["reading_number", "event_ts", "iso_score", "z_classic", "is_far", "votes"]
+    df = detect.stream_online_check(stream(), trees, rows=60, held_rows=200)
+    assert table_of(core.drain(df), *cols) == table_of(anomaly.online_check(readings, trees, rows=60), *cols)
+    q = df.writeStream.format("noop").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    assert -1 < plan.find("MapInArrow") < plan.find("TransformWithState")
+
+
 def test_windows_and_sessions(stream, readings):
     add = lambda d: d.withColumns({"z": F.col("bx"), "roc": F.col("bz"), "is_anomaly": F.col("bx") > 50})
     for fn, cols in (
