@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from telluria.functions.scalar import magnitude
 from telluria.operators.aggregates import metrics_by, regression_metrics
-from telluria.operators.models import SEED, unit_hash
+from telluria.operators.models import SEED, _dealt, unit_hash
 from telluria.operators.series import Series
 from telluria.schema import AXES
 from telluria.session import SLICE_ROWS, attach, stored
@@ -99,7 +99,10 @@ def distribution_shift(df: DataFrame, model: PipelineModel, key: Sequence[str],
 
 def determinism_check(df: DataFrame, model: PipelineModel, key: Sequence[str], prediction: str,
                       tolerance: float = 1e-10, parts: int = 7) -> DataFrame:
-    """Score the rows twice under different partitionings and compare."""
+    """Score the rows twice under different partitionings and compare; ``parts``
+    is the least number of the second, which grows with the cluster."""
+    df = _dealt(df, [*key, *model.stages[0].getInputCols()])
+    parts = max(parts, 2 * df.sparkSession.sparkContext.defaultParallelism + 1)
     once = model.transform(df).select(*key, F.col(prediction).alias("_a"))
     again = model.transform(df.repartition(parts, *key)).select(*key, F.col(prediction).alias("_b"))
     diff = F.max(F.abs(F.col("_a") - F.col("_b")))

@@ -135,3 +135,15 @@ def test_fits_read_their_source_once(spark, cube):
     assert fit(counted) is not None and seen.value == n
     folds = evaluation.cross_validate(counted, fit, KEY, "magnitude", "magnitude_rf", folds=2)
     assert folds.agg(F.sum("n")).first()[0] == n and seen.value == 2 * n
+
+
+def test_determinism_check_grows_with_the_cluster(spark, cube):
+    """Rows are read once, and the second scoring has more parts than cores."""
+    import re
+
+    model = models.fit_reconstruction_forest(cube, trees=2, depth=2)
+    out = evaluation.determinism_check(cube, model, KEY, "magnitude_rf", parts=2)
+    plan = out._jdf.queryExecution().toString()
+    parts = [int(n) for n in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)]
+    assert parts and min(parts) > spark.sparkContext.defaultParallelism
+    assert tuple(out.first()) == (cube.count(), 0, 0.0, True)
