@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -126,7 +129,8 @@ def fit_kmeans(df: DataFrame, k: int | None = None, max_k: int = 6, cols: Sequen
 
 def _best_kmeans(df: DataFrame, k: int | None, max_k: int, cols: Sequence[str], seed: int,
                  out: str) -> PipelineModel | None:
-    n = df.count()
+    size = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count"), F.max("count")).first()
+    n, largest = size[0] or 0, size[1]
     if n < 3:
         return None
 
@@ -135,16 +139,51 @@ def _best_kmeans(df: DataFrame, k: int | None, max_k: int, cols: Sequence[str],
 
     if k is not None:
         return fit(k)
-    judge = ClusteringEvaluator(featuresCol="_features", predictionCol=out)
-    best, best_score = None, -2.0
-    for count in range(2, max(2, min(max_k, n // 100)) + 1):
+
+    def judged(count: int) -> tuple[PipelineModel, float]:
         model = fit(count)
-        score = judge.evaluate(model.transform(df)) if len(model.stages[-1].clusterCenters()) > 1 else -1.0
+        rows = model.transform(df).select(*cols, out).persist()  # two passes read the clusters
+        try:
+            return model, silhouette(rows, out, cols)
+        finally:
+            rows.unpersist()
+
+    counts = range(max(2, min(max_k, n // 100)), 1, -1)  # the dearest first
+    # MLlib draws its first centres by partition, so rows stay where they are and
+    # as many fits run at a time as fill the cores; each holds its rows in memory.
+    together = -(-df.sparkSession.sparkContext.defaultParallelism * largest // n)
+    with ThreadPool(min(len(counts), together)) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(judged), counts, chunksize=1)
+    best, best_score = None, -2.0
+    for model, score in reversed(found):
         if score > best_score:
             best, best_score = model, score
     return best
 
 
+def silhouette(df: DataFrame, label: str, cols: Sequence[str] = AXES) -> float:
+    """Mean silhouette by squared distance, the value of ``ClusteringEvaluator``
+    from plain columns: a mean squared distance to a cluster needs only its size,
+    its sums and its sum of squares.  -1 where there is one cluster."""
+    at, squares = F.col(label), reduce(add, [F.col(c) * F.col(c) for c in cols])
+    clusters = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.sum(squares).alias("_squares"),
+                                     *[F.sum(c).alias(c) for c in cols]).collect()
+    if len(clusters) < 2:
+        return -1.0
+    own, others = [], []
+    for s in clusters:
+        n = s["_n"]
+        dots = reduce(add, [F.col(c) * F.lit(s[c] / n) for c in cols])
+        away = F.greatest(squares + F.lit(s["_squares"] / n) - 2 * dots, F.lit(0.0))
+        others.append(F.when(at != s[label], away))
+        if n > 1:  # a row alone in its cluster has no value of its own and counts 0
+            own.append(F.when(at == s[label], away * F.lit(n / (n - 1))))
+    own, other = F.coalesce(*own, F.lit(None).cast("double")), F.least(*others)
+    score = F.when(F.col("_own") != F.col("_other"),
+                   (F.col("_other") - F.col("_own")) / F.greatest("_own", "_other")).otherwise(0.0)
+    return df.select(own.alias("_own"), other.alias("_other")).agg(F.avg(score)).first()[0]
+
+
 def cluster_centers(spark: SparkSession, model: PipelineModel | None, cols: Sequence[str] = AXES) -> DataFrame:
     centers = [[0.0] * len(cols)] if model is None else [c.tolist() for c in model.stages[-1].clusterCenters()]
     return spark.createDataFrame([(i, *c) for i, c in enumerate(centers)],

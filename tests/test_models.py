@@ -59,6 +59,59 @@ def test_clusters_of_three_blobs(spark):
     assert table_of(A.cluster_profile(model.transform(df), by=[]), "n") == [(150,)] * 3
 
 
+def test_fits_of_every_k_fill_the_cores(spark, monkeypatch):
+    """Rows of one task are clustered by all k at once, rows of many by one k at a
+    time, and each gives the centres it gives alone."""
+    import threading
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 1, (200, 3)) for c in (0, 50, 100)])[rng.permutation(600)]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], "bx double, by double, bz double")
+    real, lock, running, most = models._pipeline, threading.Lock(), [0], [0]
+    gate = threading.Barrier(5)
+
+    class Watched:
+        def __init__(self, *args):
+            self.inner, self.wait = real(*args), wait
+
+        def fit(self, rows):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            try:
+                if self.wait:
+                    gate.wait(timeout=60)
+                return self.inner.fit(rows)
+            finally:
+                with lock:
+                    running[0] -= 1
+
+    for rows, wait, expected in ((df.coalesce(1), True, 5), (df.repartition(16), False, 1)):
+        rows, most[0] = rows.cache(), 0
+        monkeypatch.setattr(models, "_pipeline", Watched)
+        centres = models.fit_kmeans(rows).stages[-1].clusterCenters()
+        monkeypatch.undo()
+        assert most[0] == expected
+        alone = models.fit_kmeans(rows, k=3).stages[-1].clusterCenters()
+        assert len(centres) == 3 and np.allclose(centres, alone, rtol=0, atol=1e-12)
+
+
+def test_silhouette_is_that_of_mllib(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rng = np.random.default_rng(1)
+    for k, alone in ((2, 0), (5, 2)):
+        points = [(*map(float, rng.normal(0, 9, 3)), int(c)) for c in rng.integers(0, k, 200)]
+        points += points[:20] + [(40.0 + i, -3.0, 0.0, k + i) for i in range(alone)]  # copies, and rows alone in a cluster
+        df = spark.createDataFrame(points, "bx double, by double, bz double, c int")
+        rows = models.VectorAssembler(inputCols=["bx", "by", "bz"], outputCol="f").transform(df)
+        want = ClusteringEvaluator(featuresCol="f", predictionCol="c").evaluate(rows)
+        assert abs(models.silhouette(df, "c") - want) < 1e-12
+    assert models.silhouette(df.withColumn("c", F.lit(0)), "c") == -1.0
+    same = spark.createDataFrame([(1.0, 2.0, 3.0, i % 2) for i in range(6)], "bx double, by double, bz double, c int")
+    assert models.silhouette(same, "c") == 0.0
+
+
 def test_bayesian_regression(cube):
     model = models.fit_bayesian_regression(cube)
     out = models.clip_uncertainty(model.predict(cube), "magnitude", "magnitude_gpr", "sigma")
