@@ -7,6 +7,7 @@ from telluria.checks.base import GAP_SENSOR, W, F, query, r, rounded, sql, table
 from telluria.operators import aggregates as A
 from telluria.operators import anomaly, evaluation, forest, interpolation, models, neighbors
 from telluria.operators import windows as O
+from telluria.schema import AXES, KEYS
 from telluria.session import scratch_path, stored
 
 KEY = ["reading_number"]
@@ -50,7 +51,8 @@ lf AS (SELECT nn.i, any_value(nn.sensor_id) AS sensor_id, avg(b.lrd) / any_value
 q AS (SELECT sensor_id, quantile_cont(-lof, 0.02) AS q FROM lf GROUP BY sensor_id)""",
     select="SELECT i AS reading_number, round(lof, 4) AS lof, -lof < q AS is_lof FROM lf JOIN q USING (sensor_id)"))
 def _(s, d):
-    out = neighbors.local_outlier_factor(r(s, d), "reading_number")
+    rows = r(s, d).select(*KEYS, "reading_number", *AXES)
+    out = neighbors.local_outlier_factor(rows, "reading_number")
     return rounded(out.select("reading_number", "lof", "is_lof"))
 
 
