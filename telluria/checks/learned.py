@@ -63,7 +63,8 @@ def _(s, d):
 
 @query("detect_anomalies")
 def _(s, d):
-    out = anomaly.detect_anomalies(r(s, d), by=["flight_id"])
+    rows = r(s, d).select("flight_id", "reading_number", "mission_time_s", *AXES, "magnitude")
+    out = anomaly.detect_anomalies(rows, by=["flight_id"])
     return out.select("reading_number", "iso_score", "z_detrended", "lof", "roc", "votes", "is_anomaly")
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telluria import params
-from telluria.operators.forest import isolation_forest, score_isolation_forest
-from telluria.operators.neighbors import local_outlier_factor
+from telluria.operators.forest import fit_isolation_forest, flag_lowest, score_isolation_forest
+from telluria.operators.neighbors import outlier_factors
 from telluria.operators.projections import after_last_gap
 from telluria.operators.series import RN, SIZE, Series
 from telluria.operators.windows import (adaptive_roc_flag, classic_z, detrended, detrended_score, history_rule, roc,
                                         trailing_z)
-from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS, attach, materialize, profile
+from telluria.schema import AXES, KEYS, ORDER
+from telluria.session import SLICE_ROWS, attach, materialize, profile, stored
 
 
 def ensemble_vote(df: DataFrame, flags: Sequence[str], min_votes: int = params.MIN_VOTES,
@@ -52,14 +52,19 @@ def detect_anomalies(df: DataFrame, by: Sequence[str] = KEYS, key: str = "readin
     """Isolation forest, detrended z-score, local outlier factor and adaptive
     rate of change on one frame, and their vote.  Groups below ``min_rows`` rows
     keep their scores but get NULL flags and no vote.  The rows are numbered and
-    their groups measured once; every detector extends that frame."""
+    their groups measured once.  They are stored with trend and step, and once more
+    with the scores of forest and neighbours; all flags are found on that."""
     s = detrended(Series.of(df, by, order, numbered=True, slice_rows=slice_rows))
     known = s.profile
-    rows = materialize(roc(s).rows.withColumn("_enough", F.col(SIZE) >= min_rows).drop(RN, SIZE))
+    rows = stored(roc(s).rows.withColumn("_enough", F.col(SIZE) >= min_rows).drop(RN, SIZE))
+    forest = materialize(fit_isolation_forest(rows, [key], by=by, trees=trees, known=known))
+    factors = outlier_factors(rows, key, neighbors, by=by, slice_rows=slice_rows, known=known)
+    scored = score_isolation_forest(rows, forest, [key], by=by)
+    rows = stored(attach(scored, factors, [*by, *AXES]).withColumn("_neg", -F.col("lof")))
+    rows = flag_lowest(rows, "iso_score", contamination, "is_iso", by, slice_rows, known)
+    rows = flag_lowest(rows, "_neg", lof_contamination, "is_lof", by, slice_rows, known).drop("_neg")
     rows = detrended_score(rows, z_threshold, by, slice_rows, known)
     rows = adaptive_roc_flag(rows, "magnitude", by, slice_rows, known)
-    rows = isolation_forest(rows, [key], by=by, contamination=contamination, trees=trees, slice_rows=slice_rows, known=known)
-    rows = local_outlier_factor(rows, key, neighbors, lof_contamination, by=by, slice_rows=slice_rows, known=known)
     flags = ["is_iso", "is_z_detrended", "is_lof", "is_roc_adaptive"]
     rows = ensemble_vote(rows, flags, min_votes)
     return rows.withColumns({c: F.when(F.col("_enough"), F.col(c)) for c in (*flags, "votes", "is_anomaly")}

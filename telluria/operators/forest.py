@@ -20,7 +20,7 @@ from telluria import params
 from telluria.operators.models import unit_hash
 from telluria.operators.quantiles import percentiles
 from telluria.schema import AXES, KEYS
-from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile, stored
 
 TREES, SAMPLE = 100, 256
 CHUNK_ROWS = 200_000
@@ -202,5 +202,5 @@ def isolation_forest(df: DataFrame, key: Sequence[str], axes: Sequence[str] = AX
     """Fit on the rows themselves, score them, flag the most unusual share."""
     known = known or profile(df, by)
     forest = materialize(fit_isolation_forest(df, key, axes, by, trees, sample, seed, known))
-    scored = materialize(score_isolation_forest(df, forest, key, axes, by))
+    scored = stored(score_isolation_forest(df, forest, key, axes, by))
     return flag_lowest(scored, "iso_score", contamination, "is_iso", by, slice_rows, known)

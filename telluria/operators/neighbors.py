@@ -557,23 +557,32 @@ def _pair_factors(near: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     return attach(lrd, ratio, [*by, "pid"], how="inner").select(*by, "pid", (F.col("_avg") / F.col("lrd")).alias("lof"))
 
 
+def outlier_factors(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS, axes: Sequence[str] | str = AXES,
+                    by: Sequence[str] = KEYS, leaf_rows: int | None = None, slice_rows: int = SLICE_ROWS,
+                    known: Profile | None = None) -> DataFrame:
+    """``lof`` of every place: one row for each group and point of the axes.
+    Copies of a place have equal factors, so the work is done once per place."""
+    by, axes = list(by), _columns(axes)
+    points = stored(distinct_points(df, key, k, axes, by))
+    if _is_vector(points, axes) or len(axes) > len(LEAF):
+        near = nearest_places(points, k, axes, by, leaf_rows or LEAF_ROWS, slice_rows=slice_rows, known=known)
+        places = attach(points.select(*by, *axes, "pid"), _pair_factors(near, k, by), [*by, "pid"], how="left")
+    else:
+        places = _box_factors(points, k, axes, by, leaf_rows or BOX_ROWS, slice_rows)
+    return places.drop("pid")
+
+
 def local_outlier_factor(df: DataFrame, key: str, k: int = params.LOF_NEIGHBORS,
                          contamination: float = params.LOF_CONTAMINATION, axes: Sequence[str] | str = AXES,
                          by: Sequence[str] = KEYS, leaf_rows: int | None = None,
                          slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> DataFrame:
     """Density of the neighbours relative to the row's own, and the flag of the
-    most isolated share.  Copies of a place have equal factors, so the work is
-    done once per place.  A row without any neighbour, alone in its group, has a
+    most isolated share.  A row without any neighbour, alone in its group, has a
     NULL factor and flag."""
     from telluria.operators.forest import flag_lowest
 
     by, axes = list(by), _columns(axes)
     known = known or profile(df, by)
-    points = stored(distinct_points(df, key, k, axes, by))
-    if _is_vector(points, axes) or len(axes) > len(LEAF):
-        near = nearest_places(points, k, axes, by, leaf_rows or LEAF_ROWS, slice_rows=slice_rows, known=known)
-        places = attach(points.select(*by, *axes, "pid"), _pair_factors(near, k, by), [*by, "pid"], how="left")
-    else:
-        places = _box_factors(points, k, axes, by, leaf_rows or BOX_ROWS, slice_rows)
-    rows = stored(attach(df, places.drop("pid"), [*by, *axes]).withColumn("_neg", -F.col("lof")))
+    places = outlier_factors(df, key, k, axes, by, leaf_rows, slice_rows, known)
+    rows = stored(attach(df, places, [*by, *axes]).withColumn("_neg", -F.col("lof")))
     return flag_lowest(rows, "_neg", contamination, "is_lof", by, slice_rows, known).drop("_neg")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile, stored
 
 RN, SIZE, SLICE, BORROWED = "_rn", "_n", "_slice", "_borrowed"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position below
@@ -54,7 +54,7 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
     """
     by = list(by)
     mid = F.col("_mid")
-    laid = materialize(
+    laid = stored(
         df.orderBy(*by, *order).withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright(mid, _POSITION_BITS)))
     runs = laid.groupBy(*by, "_part").agg(F.min("_mid").alias("_m0"),
