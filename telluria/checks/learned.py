@@ -70,7 +70,8 @@ def _(s, d):
 
 @query("detect_per_sensor")
 def _(s, d):
-    out = anomaly.detect_per_sensor(r(s, d), gap=GAP_SENSOR)
+    rows = r(s, d).select(*KEYS, "reading_number", "mission_time_s", *AXES, "magnitude")
+    out = anomaly.detect_per_sensor(rows, gap=GAP_SENSOR)
     return out.select("reading_number", "sensor_id", "votes", "is_anomaly", "show_z")
 
 
