@@ -54,7 +54,7 @@ def detect_anomalies(df: DataFrame, by: Sequence[str] = KEYS, key: str = "readin
     keep their scores but get NULL flags and no vote.  The rows are numbered and
     their groups measured once.  They are stored with trend and step, and once more
     with the scores of forest and neighbours; all flags are found on that."""
-    s = detrended(Series.of(df, by, order, numbered=True, slice_rows=slice_rows))
+    s = detrended(Series.of(df, by, order, numbered=True, slice_rows=slice_rows, cut=stored))
     known = s.profile
     rows = stored(roc(s).rows.withColumn("_enough", F.col(SIZE) >= min_rows).drop(RN, SIZE))
     forest = materialize(fit_isolation_forest(rows, [key], by=by, trees=trees, known=known))

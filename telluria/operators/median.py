@@ -85,7 +85,7 @@ def wide_medians(rows: DataFrame, by: Sequence[str], value: str, half: Column, o
 
     points = rows.select(*by, F.col(RN).alias("_pos"), half.cast("long").alias("_h"),
                          F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("_y"))
-    ranked = number_rows(points, by, ["_y", "_pos"]).withColumnRenamed(SIZE, "_n").withColumn(
+    ranked = number_rows(points, by, ["_y", "_pos"], stored).withColumnRenamed(SIZE, "_n").withColumn(
         "_t", F.greatest(F.lit(tile_rows), F.ceil(n / TILES)).cast("long"))
     ranked = stored(ranked.withColumns({
         "_p": F.floor((F.col("_pos") - 1) / F.col("_t")), "_b": F.floor((F.col(RN) - 1) / F.col("_t"))}))

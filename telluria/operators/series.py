@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telluria.schema import KEYS, ORDER
-from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile, stored
+from telluria.session import SLICE_ROWS, Profile, attach, materialize, profile
 
 RN, SIZE, SLICE, BORROWED = "_rn", "_n", "_slice", "_borrowed"
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position below
@@ -45,16 +45,19 @@ class ArrayFrame:
         return v[:self.start], v[self.start:self.stop], v[self.stop:]
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
+                cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Exact 1-based row number and size of each group, without a window over
     the group: one distributed sort, then per-partition counts shift the
     positions inside the partitions.
 
-    ``order`` must be total inside a group.
+    ``order`` must be total inside a group.  The sorted rows are kept by ``cut``:
+    a checkpoint, after which columns taken from ``df`` still work, or a smaller
+    table (``session.stored``), after which only names do.
     """
     by = list(by)
     mid = F.col("_mid")
-    laid = stored(
+    laid = cut(
         df.orderBy(*by, *order).withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright(mid, _POSITION_BITS)))
     runs = laid.groupBy(*by, "_part").agg(F.min("_mid").alias("_m0"),
@@ -80,12 +83,13 @@ class Series:
 
     @classmethod
     def of(cls, df: DataFrame, by: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-           numbered: bool = False, slice_rows: int = SLICE_ROWS, known: Profile | None = None) -> Series:
+           numbered: bool = False, slice_rows: int = SLICE_ROWS, known: Profile | None = None,
+           cut: Callable[[DataFrame], DataFrame] = materialize) -> Series:
         """``numbered`` adds the row number and the group size as columns; a
         ``known`` profile of the groups is not measured again."""
         groups, largest = known or profile(df, by)
         if largest > slice_rows:
-            return cls(number_rows(df, by, order), by, order, slice_rows, True, groups, largest)
+            return cls(number_rows(df, by, order, cut), by, order, slice_rows, True, groups, largest)
         series = cls(df, by, order, slice_rows, False, groups, largest)
         if numbered:
             series = series.mutate(lambda d, w: d.withColumns({
